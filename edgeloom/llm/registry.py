@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from edgeloom.llm import distinct, frequent, overlap
+from edgeloom.llm import distinct, frequent, mixing, overlap, packing
 
-_MODULES = (overlap, frequent, distinct)
+_MODULES = (overlap, frequent, distinct, packing, mixing)
 
 
 def queries() -> dict:
