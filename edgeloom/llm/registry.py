@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from edgeloom.llm import distinct, frequent, mixing, overlap, packing
+from edgeloom.llm import distinct, frequent, mixing, overlap, packing, toxicity
 
-_MODULES = (overlap, frequent, distinct, packing, mixing)
+_MODULES = (overlap, frequent, distinct, packing, mixing, toxicity)
 
 
 def queries() -> dict:

@@ -208,3 +208,93 @@ def fit(docs: list[list[np.ndarray]], y: np.ndarray, rounds: int = 12, rate: flo
             o = order[a : a + 256]
             fm.step([flat[chosen[i]] for i in o], target[o], weight[o], rate, l2)
     return fm
+
+
+THRESHOLD = 1.0  # on the machine's scale, before the logistic function
+
+
+def rater_shares(labels: DataFrame, key: str = "doc_id", rater: str = "rater_id", label: str = "toxic") -> DataFrame:
+    """(key, y): the share of raters that saw a case. Repeated rows of a rater count once; undecided ones do not count."""
+    once = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(key, rater, label).distinct()
+    return once.groupBy(key).agg(F.avg(F.col(label).cast("double")).alias("y"))
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, seed: int = 42) -> FactorizationMachine:
+    """Fit on at most ``max_labelled`` labelled documents, the ones whose keys hash lowest.
+
+    Terms are hashed on the executors; the driver gets their numbers only, of a bounded number of documents.
+    """
+    picked = rater_shares(labels, key).orderBy(key_hash(seed, key)).limit(max_labelled)
+    # max_labelled rows of two numbers
+    rows = docs.select(key, text).join(F.broadcast(picked), key).select(key, "y", text)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bags = [passages(t) for t in b.column(2).to_pylist()]
+            sizes = pa.array([[len(p) for p in d] for d in bags], pa.list_(pa.int32()))
+            ids = pa.array([np.concatenate(d) if d else np.zeros(0, np.int32) for d in bags], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), sizes, ids], ["id", "y", "sizes", "ids"])
+
+    got = rows.mapInArrow(hashed, "id bigint, y double, sizes array<int>, ids array<int>").toArrow().sort_by("id")
+    bags = []
+    for sizes, ids in zip(got.column("sizes").to_pylist(), got.column("ids").combine_chunks(), strict=True):
+        flat = ids.values.to_numpy(zero_copy_only=False).astype(np.int32)
+        bags.append(np.split(flat, np.cumsum(sizes)[:-1]) if sizes else [])
+    return fit(bags, got.column("y").to_numpy(), seed=seed)
+
+
+def score(docs: DataFrame, fm: FactorizationMachine, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns and ``score``: the likelihood in 0..1 that a passage of the text is a case.
+
+    The whole text counts, its highest passage decides. Null, empty and wordless texts score 0.
+    """
+    spark = docs.sparkSession
+    model = spark.sparkContext.broadcast(fm)  # BUCKETS * (FACTORS + 1) numbers, whatever the data
+    src = docs.select(*keep, text)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", score double"
+    names = [*keep, "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for b in batches:
+            for a in range(0, b.num_rows, 1000):
+                part = b.slice(a, 1000)
+                bags = [passages(t) for t in part.column(len(keep)).to_pylist()]
+                s = m.scores([p for d in bags for p in d])
+                out, at = np.zeros(len(bags)), 0
+                for i, d in enumerate(bags):
+                    if d:
+                        out[i] = 1 / (1 + np.exp(-float(s[at : at + len(d)].max())))
+                        at += len(d)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(out)], names)
+
+    return src.mapInArrow(run, schema)
+
+
+def _scored(spark: SparkSession, d: str, keep: list[str]) -> DataFrame:
+    docs = load(spark, d, "documents")
+    return score(docs, train(docs, load(spark, d, "review_labels")), keep)
+
+
+def _case() -> F.Column:
+    return F.col("score") > float(1 / (1 + np.exp(-THRESHOLD)))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d, ["doc_id"]).where(_case()).select("doc_id")
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A score for every document."""
+    return _scored(spark, d, ["doc_id", "source"]).select("doc_id", "source", F.round("score", 6).alias("score"), _case().alias("flagged"))
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Per source: documents, how many are flagged, and the rate."""
+    s = _scored(spark, d, ["source"]).groupBy("source")
+    out = s.agg(F.count(F.lit(1)).alias("documents"), F.count(F.when(_case(), 1)).alias("flagged"))
+    return out.withColumn("rate", F.round(F.col("flagged") / F.col("documents"), 6))
+
+
+QUERIES = {"p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+ORACLE: dict[str, str] = {}
