@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from edgeloom.plans import problems
+from edgeloom.plans import edge_queries, problems
 
-_MODULES = (problems,)
+_MODULES = (edge_queries, problems)
 
 
 def queries() -> dict:
