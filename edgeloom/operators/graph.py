@@ -102,40 +102,28 @@ def largest_wcc_edges(edges: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest id of the strong component.
 
-    Nodes without an edge in or out inside what is left are trimmed as components of their own. Then every node takes
-    the smallest id that reaches it (its colour); within a colour, what reaches the colour's node is its component.
-    Colours finish together, so one round settles a component per colour.
+    Edges that start at a node without predecessors or end at one without successors lie on no cycle and are trimmed,
+    round by round. In what is left every node takes the smallest id that reaches it (its colour); within a colour, what
+    reaches the colour's node is its component. All colours finish together; the rest goes round again.
     """
     e = cut(digraph(edges))
-    left = cut(nodes(e))
-    done: DataFrame | None = None
+    every = nodes(e)
     e = cut(e.where("Source <> Target"))
-
-    def add(part: DataFrame) -> None:
-        nonlocal done
-        done = part if done is None else done.unionByName(part)
-
-    def within(e: DataFrame, keep: DataFrame) -> DataFrame:
-        return cut(induced(e, keep))
-
-    while True:
-        # trim
-        while True:
-            inner = e.select(F.col("Source").alias("node")).intersect(e.select(F.col("Target").alias("node")))
-            core = cut(left.join(inner, "node", "left_semi"))
-            gone = cut(left.join(core, "node", "left_anti"))
-            if gone.isEmpty():
-                break
-            add(gone.select("node", F.col("node").alias("component")))
-            left, e = core, within(e, core)
-        if left.isEmpty():
-            break
+    n = e.count()
+    settled: DataFrame | None = None
+    while n:
+        heads, tails = e.select("Target").toDF("Source").distinct(), e.select("Source").toDF("Target").distinct()
+        trimmed = cut(e.join(heads, "Source", "left_semi").join(tails, "Target", "left_semi").select("Source", "Target"))
+        m = trimmed.count()
+        e, n, stable = trimmed, m, m == n
+        if not stable or not m:
+            continue
 
         def spread(c: DataFrame, e: DataFrame = e) -> DataFrame:
             sent = e.join(c, e.Source == c.node).select(F.col("Target").alias("node"), "colour")
             return c.unionByName(sent).groupBy("node").agg(F.min("colour").alias("colour"))
 
-        colour = until_stable(left.select("node", F.col("node").alias("colour")), spread)
+        colour = until_stable(nodes(e).select("node", F.col("node").alias("colour")), spread)
         ca, cb = colour.toDF("Source", "ca"), colour.toDF("Target", "cb")
         same = cut(e.join(ca, "Source").join(cb, "Target").where("ca = cb").select("Source", "Target"))
 
@@ -143,13 +131,14 @@ def strong_components(edges: DataFrame) -> DataFrame:
             return r.unionByName(same.join(r, same.Target == r.node).select(F.col("Source").alias("node"))).distinct()
 
         reached = until_stable(colour.where("node = colour").select("node"), back)
-        settled = cut(colour.join(reached, "node", "left_semi").select("node", F.col("colour").alias("component")))
-        add(settled)
-        left = cut(left.join(settled, "node", "left_anti"))
-        e = within(e, left)
-    if done is None:
-        return left.select("node", F.col("node").alias("component"))
-    return done
+        found = cut(colour.join(reached, "node", "left_semi").select("node", F.col("colour").alias("component")))
+        settled = found if settled is None else settled.unionByName(found)
+        gone = found.select("node")
+        e = cut(e.join(gone.toDF("Source"), "Source", "left_anti").join(gone.toDF("Target"), "Target", "left_anti").select("Source", "Target"))
+        n = e.count()
+    if settled is None:
+        return every.select("node", F.col("node").alias("component"))
+    return every.join(settled, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def clustering(edges: DataFrame) -> DataFrame:

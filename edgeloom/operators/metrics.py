@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.operators import graph
+from edgeloom.session import cut
 
 
 def _summary(name: str, column: str) -> list:
@@ -28,11 +29,12 @@ def degree_metrics(edges: DataFrame) -> DataFrame:
 
 def graph_metrics(edges: DataFrame, centralities: bool = False, pivots: int = 10) -> DataFrame:
     """``degree_metrics`` with strong and weak component sizes; optionally betweenness and closeness summaries."""
+    edges = cut(graph.digraph(edges))
     out = degree_metrics(edges)
     for name, comp in (("scc", graph.strong_components(edges)), ("wcc", graph.weak_components(edges))):
-        size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+        size = cut(comp).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
         out = out.join(F.broadcast(size.agg(F.count(F.lit(1)).alias(f"{name}_count"), *_summary(name, "n"))))  # one row
     if centralities:
-        b, c = graph.betweenness(edges, pivots), graph.closeness(edges)
+        b, c = cut(graph.betweenness(edges, pivots)), cut(graph.closeness(edges))
         out = out.join(F.broadcast(b.agg(*_summary("betweenness", "betweenness")))).join(F.broadcast(c.agg(*_summary("closeness", "closeness"))))
     return out
