@@ -40,7 +40,7 @@ def read_call_log(spark: SparkSession, path: str | list[str], day_from_name: boo
     """
     df = spark.read.schema(CALL_LOG).csv(path)
     if day_from_name:
-        df = df.withColumn("day", F.regexp_extract(F.col("_metadata.file_name"), r"(\d{2}-\d{2})", 1))
+        df = df.withColumn("day", F.regexp_extract(F.col("_metadata.file_name"), r"(?:^|\D)(\d{2}-\d{2})(?:\D|$)", 1))
     keys = ["Source", "Target"] + (["day"] if day_from_name else [])
     out = dedup_first(df.select("Date", *keys), keys, [F.col("Date")]).withColumn("Class", F.lit(1))
     return out if day_from_name else canonical(out)
