@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.functions.ids import id_text
+from edgeloom.functions.ids import id_number
 
 CALL_LOG = "Date timestamp_ntz, Source string, Target string, Calls string, some string, duration string, rate string"
 CITATION_EDGES = "Source string, Target string"
@@ -68,14 +68,15 @@ def read_friendships(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.lit(None).cast("timestamp_ntz").alias("Date"), "Source", "Target", F.lit(1).alias("Class"))
 
 
-def call_edges(df: DataFrame, *keep: str) -> DataFrame:
-    """Distinct call edges of a table with the call-log columns: first call of each pair, canonical ids.
+def call_edges(df: DataFrame) -> DataFrame:
+    """Distinct call edges of a table with the call-log columns: Date of the first call of each pair, canonical ids.
 
-    Rows of Class 0 are no calls; rows without a readable id are left out.
+    Rows of Class 0 are no calls; rows without a readable id are left out. The ids are grouped as numbers, half the
+    bytes of their text in the shuffle.
     """
-    rows = df.where("Class = 1").select("Date", id_text("Source").alias("Source"), id_text("Target").alias("Target"), *keep)
-    rows = rows.where("Source is not null and Target is not null")
-    return dedup_first(rows, ["Source", "Target"], [F.col("Date"), *[F.col(k) for k in keep]]).withColumn("Class", F.lit(1))
+    rows = df.where("Class = 1").select("Date", id_number("Source").alias("s"), id_number("Target").alias("t"))
+    e = rows.where("s is not null and t is not null").groupBy("s", "t").agg(F.min("Date").alias("Date"))
+    return e.select("Date", F.col("s").cast("string").alias("Source"), F.col("t").cast("string").alias("Target"), F.lit(1).alias("Class"))
 
 
 def citation_edges(edges: DataFrame, dates: DataFrame) -> DataFrame:
