@@ -63,6 +63,11 @@ def p5_distinct(spark: SparkSession, d: str) -> DataFrame:
     return merge_all_groups(parts, list(_dims()), list(_items()))
 
 
+def p5_partials(spark: SparkSession, d: str) -> DataFrame:
+    """The mergeable partial results themselves: a sketch per day, feed, split and item, to be stored and joined later."""
+    return sketches(load(spark, d, "dynamobi"), _dims(), _items()).withColumn("standard_error", F.lit(standard_error()))
+
+
 def registers(df: DataFrame, dims: Mapping[str, Column], item: Column, log_registers: int = LOG_REGISTERS) -> DataFrame:
     """(dims..., register, rank): the plain form of a sketch, from md5, so that any engine can rebuild and merge it.
 
@@ -95,7 +100,7 @@ def p5_registers_day(spark: SparkSession, d: str) -> DataFrame:
     return register_estimates(registers(load(spark, d, "dynamobi"), dims, id_number("Target")), ["day"])
 
 
-QUERIES = {"p5_distinct": p5_distinct, "p5_registers_day": p5_registers_day}
+QUERIES = {"p5_distinct": p5_distinct, "p5_partials": p5_partials, "p5_registers_day": p5_registers_day}
 
 _M = 1 << LOG_REGISTERS
 ORACLE = {

@@ -49,10 +49,10 @@ def thresholds(items: DataFrame, source: str, tokens: str, rest: dict[str, float
     spark = items.sparkSession
     for k in range(ROUNDS):
         shift = BITS * (ROUNDS - k - 1)
-        at = spark.createDataFrame([(s, p) for s, p in prefix.items()], f"`{source}` string, p bigint")
+        at = spark.createDataFrame([(s, p) for s, p in prefix.items()], f"`{source}` string, __p bigint")
         # as many rows as there are sources in the plan
-        inside = items.join(F.broadcast(at), source).where(F.shiftright("h", shift + BITS) == F.col("p"))
-        hist = inside.groupBy(source, F.shiftright("h", shift).bitwiseAND((1 << BITS) - 1).alias("b")).agg(F.sum(tokens).alias("t"))
+        inside = items.join(F.broadcast(at), source).where(F.shiftright("__h", shift + BITS) == F.col("__p"))
+        hist = inside.groupBy(source, F.shiftright("__h", shift).bitwiseAND((1 << BITS) - 1).alias("b")).agg(F.sum(tokens).alias("t"))
         sums: dict[str, list[tuple[int, int]]] = {}
         for r in hist.collect():
             sums.setdefault(r[0], []).append((int(r[1]), int(r[2])))
@@ -81,13 +81,13 @@ def mix(docs: DataFrame, key: str, source: str, tokens: str, weights: list[tuple
     spark = docs.sparkSession
     names = [s for s, _, _ in weights]
     items = docs.select(F.col(key), F.col(source), F.col(tokens).cast("bigint").alias(tokens)).where(F.col(source).isin(names) & (F.col(tokens) > 0))
-    items = items.withColumn("h", _hash48(seed, key))
+    items = items.withColumn("__h", _hash48(seed, key))
     stock = {r[0]: int(r[1]) for r in items.groupBy(source).agg(F.sum(tokens)).collect()}
     plan = plan_budgets(stock, weights, total)
     edge = thresholds(items, source, tokens, {s: p["rest"] for s, p in plan.items()})
     rows = [(s, int(p["full"]), int(edge[s])) for s, p in plan.items()]
-    table = spark.createDataFrame(rows, f"`{source}` string, full_copies int, edge bigint")
-    copies = (F.col("full_copies") + (F.col("h") < F.col("edge")).cast("int")).alias("copies")
+    table = spark.createDataFrame(rows, f"`{source}` string, __full int, __edge bigint")
+    copies = (F.col("__full") + (F.col("__h") < F.col("__edge")).cast("int")).alias("copies")
     chosen = items.join(F.broadcast(table), source).select(key, source, tokens, copies).where("copies > 0")
     got = chosen.groupBy(source).agg(
         F.count(F.lit(1)).alias("items"), F.sum(F.col(tokens) * F.col("copies")).alias("taken_tokens"), F.max("copies").alias("most_copies")

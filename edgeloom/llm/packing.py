@@ -158,9 +158,9 @@ def pack(sizes: DataFrame, item: str, size: str, packs: Sequence[tuple[int, int]
     if not packs:
         return spark.createDataFrame([], _PIECE).drop("closed", "grp")
     src = sizes.select(F.col(item).cast("bigint"), F.coalesce(F.col(size).cast("bigint"), F.lit(0)))
-    n_tasks = src.rdd.getNumPartitions()
     # the containers of a task must not change when it is run again: packed once, kept in the shared folder
     done = cut(src.mapInArrow(_pack_items(packs, windows, fan_in), _PIECE))
+    n_tasks = max(1, done.rdd.getNumPartitions())
     result = done.where("closed")
     left, level = done.where("not closed"), 1
     while True:

@@ -184,7 +184,7 @@ def fit(docs: list[list[np.ndarray]], y: np.ndarray, rounds: int = 12, rate: flo
         fm.v[:] = 0
         return fm
     fm.w[:] = _log_odds(docs, y)
-    keep = [i for i, d in enumerate(docs) if d]
+    keep = [i for i, d in enumerate(docs) if d and y[i] != 0.5]  # an even vote teaches nothing
     flat = [p for i in keep for p in docs[i]]
     size = np.array([len(docs[i]) for i in keep])
     start = np.r_[0, np.cumsum(size)[:-1]]
