@@ -293,3 +293,53 @@ def propflow(edges: DataFrame, roots: DataFrame, depth: int = 5, weight: str | N
         flow = score.where(F.col("level") == d).join(e, F.col("node") == F.col("f")).select("root", F.col("t").alias("node"), (F.col("score") * F.col("p")).alias("score"), F.lit(d + 1).alias("level"))
         score = cut(score.unionByName(flow).groupBy("root", "node").agg(F.sum("score").alias("score"), F.min("level").alias("level")))
     return score.groupBy("root").agg(F.avg("score").alias("mean_score"))
+
+
+def max_flow(edges: DataFrame, pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(Source, Target, max_flow): most edge-disjoint paths of each distinct pair, unit capacities; 0 between unlinked nodes.
+
+    Shortest augmenting paths, one per pair and round, for all pairs side by side: a level-synchronous search of each
+    pair's residual graph keeps one predecessor per node, and the path found flips its edges. A pair is done when its
+    Target is out of reach. Rounds are at most the largest flow plus one; bound the pairs on large graphs. Source = Target
+    gives null.
+    """
+    e = cut(digraph(edges).where("Source <> Target").toDF("u", "v"))
+    ends = pairs.select("Source", "Target").where("Source is not null and Target is not null").distinct()
+    k = ["Source", "Target"]
+    live = cut(ends.where("Source <> Target"))
+    used = cut(live.select(*k, F.lit("").alias("u"), F.lit("").alias("v")).where("false"))
+    flow = cut(live.withColumn("f", F.lit(0)))
+    for _ in range(max_rounds):
+        if live.isEmpty():
+            break
+        seen = cut(live.select(*k, F.col("Source").alias("at"), F.lit(None).cast("string").alias("via"), F.lit(True).alias("fwd"), F.lit(0).alias("level")))
+        front, depth, found = seen, 0, None
+        while not front.isEmpty():
+            depth += 1
+            ahead = front.join(e, front["at"] == e["u"]).select(*k, F.col("u").alias("via"), F.col("v").alias("at"), F.lit(True).alias("fwd"))
+            ahead = ahead.join(used.select(*k, F.col("u").alias("via"), F.col("v").alias("at")), [*k, "via", "at"], "left_anti").select(*k, "via", "at", "fwd")
+            back = front.select(*k, F.col("at").alias("v")).join(used, [*k, "v"]).select(*k, F.col("v").alias("via"), F.col("u").alias("at"), F.lit(False).alias("fwd"))
+            new = ahead.unionByName(back).join(seen.select(*k, "at"), [*k, "at"], "left_anti")
+            new = new.groupBy(*k, "at").agg(F.min(F.struct("via", "fwd")).alias("p")).select(*k, "at", "p.via", "p.fwd", F.lit(depth).alias("level"))
+            new = cut(new)
+            hit = new.where(F.col("at") == F.col("Target")).select(*k)
+            found = cut(hit if found is None else found.unionByName(hit))
+            seen = cut(seen.unionByName(new))
+            front = cut(new.join(found, k, "left_anti").select(*new.columns))
+        # walk back from each Target
+        at = found.withColumn("at", F.col("Target"))
+        steps = None
+        for _ in range(depth):
+            s = cut(at.join(seen, [*k, "at"]).where("via is not null").select(*k, "via", "at", "fwd"))
+            if s.isEmpty():
+                break
+            steps = s if steps is None else steps.unionByName(s)
+            at = s.select(*k, F.col("via").alias("at"))
+        if steps is None:
+            break
+        add = steps.where("fwd").select(*k, F.col("via").alias("u"), F.col("at").alias("v"))
+        drop = steps.where("not fwd").select(*k, F.col("at").alias("u"), F.col("via").alias("v"))
+        used = cut(used.join(drop, [*k, "u", "v"], "left_anti").select(*k, "u", "v").unionByName(add))
+        flow = cut(flow.join(found.withColumn("one", F.lit(1)), k, "left").select(*k, (F.col("f") + F.coalesce("one", F.lit(0))).alias("f")))
+        live = found
+    return ends.join(flow, k, "left").select(*k, F.col("f").cast("bigint").alias("max_flow"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from edgeloom.plans import edge_queries, graph_queries, problems
+from edgeloom.plans import edge_queries, graph_queries, problems, study_queries
 
-_MODULES = (edge_queries, graph_queries, problems)
+_MODULES = (edge_queries, graph_queries, problems, study_queries)
 
 
 def queries() -> dict:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.functions.hashing import hash_int, sql_hash_int, sql_key_hash
+from edgeloom.functions import moments
+from edgeloom.functions.hashing import sql_hash_int, sql_key_hash
 from edgeloom.functions.ids import id_text, sql_id_text
 from edgeloom.operators import graph, model, order, report, sample, split
 from edgeloom.plans import graphs as g
@@ -161,9 +162,8 @@ def gen_gnp(spark: SparkSession, d: str) -> DataFrame:
 
 def gen_random_dates(spark: SparkSession, d: str) -> DataFrame:
     """A hashed moment of July 2008 for every debug row."""
-    h = F.pmod(hash_int(SEED, "row_id"), F.lit(31 * 86400))
-    at = F.expr("timestamp_ntz'2008-07-01 00:00:00'")
-    return load(spark, d, "debug").select("row_id", (at + F.make_dt_interval(secs=h)).alias("moment"))
+    at = moments.random_moment("2008-07-01", "2008-08-01", SEED, "row_id")
+    return load(spark, d, "debug").select("row_id", at.alias("moment"))
 
 
 def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
