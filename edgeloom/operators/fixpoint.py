@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.session import cut
+from edgeloom.session import cut, discard
 
 
 def signature(df: DataFrame) -> tuple:
@@ -23,6 +23,7 @@ def until_stable(start: DataFrame, step: Callable[[DataFrame], DataFrame], max_r
     for _ in range(max_rounds):
         new = cut(step(now))
         new_sig = signature(new)
+        discard(now)
         if new_sig == sig:
             return new
         now, sig = new, new_sig

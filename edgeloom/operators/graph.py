@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from edgeloom.functions.hashing import key_hash
 from edgeloom.operators.fixpoint import until_stable
 from edgeloom.operators.split import induced, nodes
-from edgeloom.session import cut
+from edgeloom.session import cut, discard
 
 
 def digraph(edges: DataFrame) -> DataFrame:
@@ -181,13 +181,17 @@ def katz(edges: DataFrame, alpha: float = 0.1, beta: float = 1.0, iterations: in
     e = cut(digraph(edges))
     n_df = cut(nodes(e))
     n = n_df.count()
-    x = n_df.withColumn("x", F.lit(0.0))
+    x, before = n_df.withColumn("x", F.lit(0.0)), None
     for i in range(iterations if iterations is not None else max_iter):
         got = e.join(x, e.Source == x.node).groupBy(F.col("Target").alias("node")).agg(F.sum("x").alias("s"))
-        new = x.withColumnRenamed("x", "old").join(got, "node", "left").select("node", (F.lit(alpha) * F.coalesce("s", F.lit(0.0)) + F.lit(beta)).alias("x"), "old")
-        last = iterations is not None and i == iterations - 1
-        if iterations is None or i % 4 == 3 or last:
+        new = x.withColumnRenamed("x", "old").join(got, "node", "left") if iterations is None else n_df.join(got, "node", "left")
+        new = new.withColumn("x", F.lit(alpha) * F.coalesce("s", F.lit(0.0)) + F.lit(beta)).drop("s")
+        if iterations is None or i % 4 == 3 or i == iterations - 1:
+            # the plan must not grow with the rounds
             new = cut(new)
+            if before is not None:
+                discard(before)
+            before = new
         if iterations is None:
             change = new.agg(F.sum(F.abs(F.col("x") - F.col("old")))).first()[0]
             if change is None or change < tol * n:

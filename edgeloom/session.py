@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,11 +38,52 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="edgeloom-ckpt-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     sc.setCheckpointDir(made)
     return made
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage reliably: the rows go to the shared folder, so a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage reliably: the rows are written once to the shared folder and read back from there.
+
+    A lost executor costs no recomputation of what came before. Unlike checkpoint(), a written table is computed once, not
+    twice, and the planner knows its size; columns that are not needed later are not read.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/edgeloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+_written: list[str] = []
+
+
+def _delete(path: str) -> None:
+    from pyspark import SparkContext
+
+    try:
+        if path.startswith("/") or path.startswith("file:"):
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+        elif (jvm := SparkContext._jvm) is not None:
+            hp = jvm.org.apache.hadoop.fs.Path(path)
+            hp.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(hp, True)
+    except Exception:  # noqa: BLE001  the folder's owner may have removed it
+        pass
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``cut`` that nothing reads any more, such as the round before the last of a loop."""
+    path = getattr(df, "_written_at", None) if "_written_at" in vars(df) else None
+    if path in _written:
+        _written.remove(path)
+        _delete(path)
+
+
+@atexit.register
+def clean() -> None:
+    """Delete all tables that ``cut`` has written; results that read them must be stored before. Runs at exit."""
+    while _written:
+        _delete(_written.pop())
