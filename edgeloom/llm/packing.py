@@ -160,11 +160,10 @@ def pack(sizes: DataFrame, item: str, size: str, packs: Sequence[tuple[int, int]
     src = sizes.select(F.col(item).cast("bigint"), F.coalesce(F.col(size).cast("bigint"), F.lit(0)))
     # the containers of a task must not change when it is run again: packed once, kept in the shared folder
     done = cut(src.mapInArrow(_pack_items(packs, windows, fan_in), _PIECE))
-    n_tasks = max(1, done.rdd.getNumPartitions())
     result = done.where("closed")
     left, level = done.where("not closed"), 1
+    groups = 1 + (left.agg(F.max("grp")).first()[0] or 0)
     while True:
-        groups = (n_tasks + fan_in - 1) // fan_in
         fill = F.sum("tokens").over(_by_container())
         ordered = (
             left.withColumn("fill", fill)
@@ -176,7 +175,7 @@ def pack(sizes: DataFrame, item: str, size: str, packs: Sequence[tuple[int, int]
         result = result.unionByName(merged.where("closed"))
         if groups == 1:
             break
-        left, n_tasks, level = merged.where("not closed"), groups, level + 1
+        left, groups, level = merged.where("not closed"), (groups + fan_in - 1) // fan_in, level + 1
     return result.drop("closed", "grp")
 
 
