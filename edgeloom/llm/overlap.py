@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.functions.ids import id_number, sql_id_number
+from edgeloom.session import cut
 from edgeloom.sources.tables import load
 
 TRAIN, EVAL = 1, 2
@@ -42,10 +43,11 @@ def canonical_records(df: DataFrame, row_id: str, fields: Sequence[str], split:
     """(id, s, t, f): canonical numbers of both fields, f = 1 train, 2 evaluation.
 
     Rows without an id, of another split, or with a field that has no number cannot repeat anything and are left out.
+    Written once: each later step reads numbers instead of parsing the ids again.
     """
     f = F.when(F.col(split) == train, TRAIN).when(F.col(split).isin(*evals), EVAL)
     s, t = (id_number(c) for c in fields)
-    out = df.select(F.col(row_id).alias("id"), s.alias("s"), t.alias("t"), f.alias("f"))
+    out = cut(df.select(F.col(row_id).alias("id"), s.alias("s"), t.alias("t"), f.alias("f")))
     return out.where("id is not null and s is not null and t is not null and f is not null")
 
 
