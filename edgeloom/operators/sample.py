@@ -167,9 +167,11 @@ def negative_test(train: DataFrame, test: DataFrame, train_negatives: DataFrame,
 def with_negatives(train: DataFrame, test: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Both frames with their negatives appended."""
     cols = ["Date", *KEY, "Class"]
+    # both are read several times
+    train, test = cut(train.select(*cols)), cut(test.select(*cols))
     nt = cut(negative_train(train, test, seed))
     ns = negative_test(train, test, nt, seed)
-    return train.select(*cols).unionByName(nt), test.select(*cols).unionByName(ns)
+    return train.unionByName(nt), test.unionByName(ns)
 
 
 def negative_corrupt(edges: DataFrame, seed: int = 42) -> DataFrame:

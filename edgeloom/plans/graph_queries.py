@@ -106,7 +106,7 @@ def propflow(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _predictable(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    tr = _train(spark, d)
+    tr = cut(_train(spark, d))  # the graph is read several times
     return tr, split.filter_test(tr, g.test_pairs(spark, d))
 
 
@@ -191,7 +191,6 @@ def feat_node2vec(spark: SparkSession, d: str) -> DataFrame:
 def rf_predict(spark: SparkSession, d: str) -> DataFrame:
     """Forest on the ten heuristics: trained on train pairs with negatives, applied to the predictable test pairs."""
     tr, te = _predictable(spark, d)
-    tr = cut(tr)
     frame = tr.select("Date", *KEY, "Class").unionByName(sample.negative_train(tr, g.calls_of(spark, d, "test"), SEED))
     names = [h for h in pairs.HEURISTICS if h != "katz"]
     fit = cut(pairs.heuristics(tr, frame, with_katz=False))
