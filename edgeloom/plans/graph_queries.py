@@ -95,9 +95,9 @@ def reachable_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shortest_path_count(spark: SparkSession, d: str) -> DataFrame:
-    """Distances up to 4 and shortest paths from every cited or citing paper."""
+    """Distances, however long, and shortest paths from every cited or citing paper."""
     e = g.citations(spark, d)
-    return graph.bfs_counts(e, split.nodes(e).toDF("root"), DEPTH)
+    return graph.bfs_counts(e, split.nodes(e).toDF("root"))
 
 
 def propflow(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from conftest import rows
 
 from edgeloom.operators import graph, metrics, pairs, walks
+from edgeloom.plans import graph_queries
 
 # node: in, out, clustering, average neighbour degree, katz
 WANT = {
@@ -150,3 +151,14 @@ def test_node2vec_weights(spark):
     third = [r.walk[2] for r in w if r.walk[:2] == ["a", "b"]]
     share = [third.count(x) / len(third) for x in "acd"]
     assert share == pytest.approx([2 / 3.25, 1 / 3.25, 0.25 / 3.25], abs=0.05)
+
+
+def test_shortest_path_count_has_every_distance(spark, tmp_path):
+    # two ways from 0 to 2, then a chain
+    e = {(0, 1), (0, 9), (9, 2)} | {(i, i + 1) for i in range(1, 8)}
+    spark.createDataFrame(sorted(e), "Source int, Target int").write.parquet(str(tmp_path / "hepph_edges.parquet"))
+    text = {(str(a), str(b)) for a, b in e}
+    d = {v: _reach(text, v) for v in {x for p in text for x in p}}
+    got = graph_queries.shortest_path_count(spark, str(tmp_path))
+    assert rows(got) == sorted(((v, u, d[v][0][u], d[v][1][u]) for v in d for u in d[v][0]), key=repr)
+    assert got.agg({"dist": "max"}).first()[0] == 8
