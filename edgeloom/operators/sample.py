@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,32 +87,45 @@ def sample_traverse(edges: DataFrame, size: int, method: str = "bfs", seed: int
     return edges.join(chosen, KEY, "left_semi").select(*edges.columns)
 
 
-def sample_walk(edges: DataFrame, size: int, seed: int = 42, restart: float = 0.15, walkers: int = 64, max_steps: int = 1000) -> DataFrame:
+def sample_walk(edges: DataFrame, size: int, seed: int = 42, restart: float = 0.15, walkers: int | None = None, max_steps: int = 1000, dead_ends: int = 100) -> DataFrame:
     """Random walks with restart until ``size`` distinct edges are met, the first ones by (step, walker).
 
-    ``walkers`` hashed walkers run side by side; each returns to its start with probability ``restart`` and at a dead
-    end, and starts are drawn from nodes with successors. Gives what it has after ``max_steps``.
+    Hashed walkers run side by side, one for 16 wanted edges and 64 at least. Each returns to its start at a dead end;
+    after a move with probability ``restart``, and after ``dead_ends`` dead ends, it takes a new hashed start among the nodes with
+    successors. Gives all edges when there are at most ``size``; raises RuntimeError when ``size`` is not met within
+    ``max_steps``.
     """
     e = cut(graph.digraph(edges))
+    if e.count() <= size:
+        return edges.join(e, KEY, "left_semi").select(*edges.columns)
+    walkers = walkers or max(64, -(-size // 16))
     index = walks.edge_index(e)
-    starts = order.global_rank(e.select(F.col("Source").alias("node")).distinct(), order.shuffled(seed, "node"), "rn").where(F.col("rn") <= walkers)
-    state = cut(starts.select(F.col("rn").alias("walker"), F.col("node").alias("start"), F.col("node").alias("at")))
-    met: DataFrame | None = None
+    starts = cut(order.global_rank(e.select("Source").distinct(), order.shuffled(seed, "Source"), "rn").select(F.col("rn").alias("draw"), F.col("Source").alias("drawn")))
+    n = F.lit(starts.count())
+    state = e.sparkSession.range(1, walkers + 1).select(F.col("id").alias("walker"), (F.pmod(F.col("id") - 1, n) + 1).alias("draw")).join(starts, "draw")
+    state = cut(state.select("walker", F.col("drawn").alias("start"), F.col("drawn").alias("at"), F.lit(0).alias("dead")))
+    first: DataFrame | None = None
+    recent: list[DataFrame] = []
     for step in range(max_steps):
-        u = hash_int(seed, "walker", F.lit(step), F.lit("r")) / F.lit(float(1 << 32))
-        state = state.withColumn("at", F.when(u < restart, F.col("start")).otherwise(F.col("at")))
         moved = walks.pick_uniform(state, index, "at", hash_int(seed, "walker", F.lit(step)), "to")
-        moved = cut(moved)
-        new = moved.where("to is not null").select(F.lit(step).alias("step"), "walker", F.col("at").alias("Source"), F.col("to").alias("Target"))
-        met = new if met is None else met.unionByName(new)
-        state = moved.select("walker", "start", F.coalesce("to", "start").alias("at"))
-        if step % 10 == 9:
-            met = cut(met)
-            if met.select(*KEY).distinct().count() >= size:
-                break
-    first = met.groupBy(*KEY).agg(F.min(F.struct("step", "walker")).alias("o"))
-    chosen = order.prefix(first, ["o"], size).select(*KEY)
-    return edges.join(chosen, KEY, "left_semi").select(*edges.columns)
+        dead = F.col("dead") + F.when(F.col("to").isNull(), 1).otherwise(0)
+        u = hash_int(seed, "walker", F.lit(step), F.lit("r")) / F.lit(float(1 << 32))
+        moved = moved.withColumn("dead", dead).withColumn("new", (F.col("to").isNotNull() & (u < restart)) | (F.col("dead") == dead_ends))
+        moved = moved.withColumn("draw", F.pmod(hash_int(seed, "walker", F.lit(step), F.lit("s")), n) + 1).join(starts, "draw")
+        moved = cut(moved.select("walker", "start", "at", "to", "dead", "new", "drawn"))
+        recent.append(moved.where("to is not null").select("at", "to", F.lit(step).alias("step"), "walker").toDF(*KEY, "step", "walker"))
+        state = moved.select(
+            "walker", F.when(F.col("new"), F.col("drawn")).otherwise(F.col("start")).alias("start"),
+            F.when(F.col("new"), F.col("drawn")).otherwise(F.coalesce("to", "start")).alias("at"), F.when(F.col("dead") == dead_ends, 0).otherwise(F.col("dead")).alias("dead"),
+        )
+        if step % 10 == 9 or step == max_steps - 1:
+            met = reduce(DataFrame.unionByName, recent).groupBy(*KEY).agg(F.min(F.struct("step", "walker")).alias("o"))
+            first = cut(met if first is None else first.unionByName(met).groupBy(*KEY).agg(F.min("o").alias("o")))
+            recent = []
+            if first.count() >= size:
+                chosen = order.prefix(first, ["o"], size).select(*KEY)
+                return edges.join(chosen, KEY, "left_semi").select(*edges.columns)
+    raise RuntimeError(f"random walks met fewer than {size} distinct edges within {max_steps} steps")
 
 
 def sample_graph(edges: DataFrame, size: int, sampling: str, seed: int = 42) -> DataFrame:

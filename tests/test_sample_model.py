@@ -39,6 +39,18 @@ def test_samplers(edges, how):
     assert got == rows(sample.sample_graph(edges, n // 4, how), *KEY)
 
 
+def test_walk_sample_reaches_its_size(spark):
+    # every edge leads to a dead end: 64 starts meet at most 64 of them
+    e = spark.range(300).select(F.col("id").cast("string").alias("Source"), F.lit("end").alias("Target"))
+    assert sample.sample_walk(e, 90, restart=0.0, walkers=64, dead_ends=1).distinct().count() == 90
+    # and a cycle of two never comes to a dead end: new starts come by restart
+    e = spark.range(200).select(F.col("id").cast("string").alias("Source"), F.col("id").bitwiseXOR(F.lit(1)).cast("string").alias("Target"))
+    assert sample.sample_walk(e, 150).distinct().count() == 150
+    assert sample.sample_walk(e, 500).count() == 200
+    with pytest.raises(RuntimeError):
+        sample.sample_walk(e, 199, walkers=1, max_steps=3)
+
+
 def test_unknown_sampler_keeps_all(edges):
     assert sample.sample_graph(edges, 3, "none").count() == edges.count()
 
