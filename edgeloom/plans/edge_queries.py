@@ -78,8 +78,8 @@ def fraction_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def capped_split(spark: SparkSession, d: str) -> DataFrame:
-    """Like fraction_split, with the test part capped at 500 rows after the train prefix."""
-    return order.fraction_split(g.growth(spark, d), order.shuffled(SEED, *KEY), 0.25, cap=500)
+    """Like fraction_split, with the test part capped at 500,000 rows after the train prefix."""
+    return order.fraction_split(g.growth(spark, d), order.shuffled(SEED, *KEY), 0.25, cap=500_000)
 
 
 def train_test_split(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from edgeloom.operators import order, split
+from edgeloom.plans import edge_queries
 from edgeloom.sources import edges as src
 
 
@@ -65,3 +66,9 @@ def test_splits(spark):
     assert rows(split.known_nodes(test, train)) == [("a", "b"), ("c", "a"), ("c", "a")]
     assert rows(split.induced(train, spark.createDataFrame([("a",), ("b",)], "node string"))) == [("a", "b")]
     assert rows(split.edge_subgraph(train, test)) == [("a", "b")]
+
+
+def test_capped_split_keeps_the_window(spark, tmp_path):
+    e = spark.range(1000).selectExpr("cast(id as string) Source", "cast(id + 1 as string) Target", "id Date")
+    e.write.parquet(str(tmp_path / "youtube_growth.parquet"))
+    assert rows(edge_queries.capped_split(spark, str(tmp_path)).groupBy("part").count()) == [("test", 750), ("train", 250)]
