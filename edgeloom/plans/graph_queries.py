@@ -179,13 +179,13 @@ def walk_avg_len(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embed_deepwalk(spark: SparkSession, d: str) -> DataFrame:
-    return embed.deepwalk(g.citations(spark, d), 10, 2, SEED, size=16, iterations=2)
+    return embed.deepwalk(g.citations(spark, d), seed=SEED)
 
 
 def feat_node2vec(spark: SparkSession, d: str) -> DataFrame:
     e = g.citations(spark, d)
-    emb = embed.node2vec(e, 10, 2, 1.0, 1.0, SEED, size=16, iterations=2)
-    return embed.embedding_features(e.withColumn("Class", F.lit(1)), emb, 16)
+    emb = embed.node2vec(e, seed=SEED)
+    return embed.embedding_features(e.withColumn("Class", F.lit(1)), emb, 128)
 
 
 def rf_predict(spark: SparkSession, d: str) -> DataFrame:

@@ -12,8 +12,6 @@ from edgeloom.sources import generators
 from edgeloom.sources.edges import dedup_first
 from edgeloom.sources.tables import load
 
-WALKS = {"size": 16, "walk_length": 10, "num_walks": 2, "iterations": 1}
-
 
 def _sized(edges: DataFrame) -> list[int]:
     return [edges.count() // 2]
@@ -28,7 +26,7 @@ def study_sizes(spark: SparkSession, d: str) -> DataFrame:
 def study_embeddings(spark: SparkSession, d: str) -> DataFrame:
     """Forests on node2vec and deepwalk features of the growth edges."""
     e = g.growth(spark, d)
-    return ex.sweep_sizes(e, _sized(e), families=["node2vec", "deepwalk"], depth=10, **WALKS)
+    return ex.sweep_sizes(e, _sized(e), families=["node2vec", "deepwalk"], depth=10)
 
 
 def study_calendar(spark: SparkSession, d: str) -> DataFrame:

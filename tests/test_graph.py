@@ -3,8 +3,9 @@ from collections import deque
 
 import pytest
 from conftest import rows
+from pyspark.ml.feature import Word2Vec
 
-from edgeloom.operators import graph, metrics, pairs, walks
+from edgeloom.operators import embed, graph, metrics, pairs, walks
 from edgeloom.plans import graph_queries
 
 # node: in, out, clustering, average neighbour degree, katz
@@ -162,3 +163,13 @@ def test_shortest_path_count_has_every_distance(spark, tmp_path):
     got = graph_queries.shortest_path_count(spark, str(tmp_path))
     assert rows(got) == sorted(((v, u, d[v][0][u], d[v][1][u]) for v in d for u in d[v][0]), key=repr)
     assert got.agg({"dist": "max"}).first()[0] == 8
+
+
+def test_embedding_queries_use_the_full_setting(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 1)], "Source int, Target int").write.parquet(str(tmp_path / "hepph_edges.parquet"))
+    seen = []
+    monkeypatch.setattr(embed, "Word2Vec", lambda **kw: seen.append(kw) or Word2Vec(**kw))
+    monkeypatch.setattr(embed.walk_ops, "uniform_walks", lambda e, length, num, seed: seen.append((length, num)) or walks.node2vec_walks(e, 4, 1, seed=seed))
+    emb = graph_queries.embed_deepwalk(spark, str(tmp_path)).collect()
+    assert seen[0] == (80, 10) and (seen[1]["vectorSize"], seen[1]["maxIter"]) == (128, 4)
+    assert len(emb) == 3 and all(len(r.emb) == 128 for r in emb)
