@@ -2,7 +2,11 @@
 
 A document is a bag of passages (sentences, lines, windows of long ones); it is a case if one of them is. Labels are
 per document, so training picks in each round the passages that explain a label (multiple-instance learning). The
-pairwise part of the machine learns interactions of terms, such as an insult with a group mention.
+linear part holds what a term says alone; no pair of words has a weight of its own. What words say only together, such
+as an insult with a group mention, is left to the pairwise part of the machine.
+
+A passage is its set of distinct words, a word the sum of its terms (normal form and letter groups). So a word's share of
+the score is computed once per task, and a passage is scored by adding up a few numbers per word.
 """
 
 from __future__ import annotations
@@ -10,8 +14,9 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.functions.hashing import key_hash
+from edgeloom.session import cut
 from edgeloom.sources.tables import load
 
 BUCKETS = 1 << 17
@@ -26,6 +32,8 @@ FACTORS = 8
 MAX_LABELLED = 20_000  # documents the model is fitted on, the ones with the smallest hash
 WINDOW = 40  # words of a passage at most; longer ones are read in overlapping windows
 STEP = 30
+PIECE = 64  # characters of a word at most; longer ones are read in overlapping pieces
+KNOWN_WORDS = 1 << 18  # words a task remembers the shares of
 
 # Letters of other scripts that look like Latin ones.
 _LOOK_ALIKE = str.maketrans(
@@ -34,6 +42,8 @@ _LOOK_ALIKE = str.maketrans(
 )
 # Signs that stand for letters inside a word.
 _SIGNS = str.maketrans("013457@$!€", "oieastasie")
+# One-letter words of the languages at hand, which may stand before a spaced-out word.
+_LONE = frozenset("aeiouy")
 
 _PASSAGE = re.compile(r"(?<=[.!?…])\s+|[\r\n]+")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*·]){2,}[^\W_](?![^\W_])")
@@ -41,206 +51,344 @@ _URL = re.compile(r"https?://\S+")
 _WORD = re.compile(r"[^\W_](?:[\w@$!*€'’\-.]*[\w*])?")
 _SQUEEZE = re.compile(r"(.)\1+")
 _MASKED = re.compile(r"[a-z]+\*+[a-z]*|[a-z]+[#%&_]{2,}[a-z]*")
+_NO_WORD = re.compile(r"[^\w]|_")
 
 
 def plain(text: str) -> str:
-    """Case, accents, invisible characters, look-alike letters and spaced-out words undone."""
+    """Case, accents, invisible characters and look-alike letters undone."""
+    if text.isascii():
+        return text.lower()
     s = unicodedata.normalize("NFKD", text)
     if not s.isascii():
         s = "".join(c for c in s if unicodedata.category(c) not in ("Mn", "Cf"))
     s = s.casefold()
-    if not s.isascii():
-        s = s.translate(_LOOK_ALIKE)
-    return s
+    return s if s.isascii() else s.translate(_LOOK_ALIKE)
+
+
+def _join_spaced(m: re.Match) -> str:
+    """Letters apart as one word; once more without the first where that may be a word by itself."""
+    w = _NO_WORD.sub("", m[0])
+    return f" {w} {w[1:]} " if w[0] in _LONE else f" {w} "
+
 
+def _letter_groups(w: str) -> list[str]:
+    padded = f"^{w}$"
+    return [f"#{padded[i : i + 4]}" for i in range(len(padded) - 3)] if len(w) >= 4 else []
 
-@lru_cache(maxsize=200_000)
+
+@lru_cache(maxsize=100_000)
 def word_terms(w: str) -> tuple[str, ...]:
-    """The terms of one raw word: its normal form first, then its letter groups."""
+    """The terms of one raw word: its normal form first, then its letter groups.
+
+    A compound of '_' or '-' also has the terms of its parts. A run of more than 24 letters is no word by itself; its
+    letter groups still count.
+    """
     if w.isdigit():
         return ("0",)
     if _MASKED.fullmatch(w):
         return ("*", f"*{w[0]}", f"*{w[0]}{w[-1]}{len(w)}")
-    letters = sum(c.isalpha() for c in w)
     if w.isalpha():
         base = w
-    elif letters >= 1 and any(c in "013457@$!€" for c in w):
-        base = re.sub(r"[^a-z]", "", w.translate(_SIGNS)) or "0"
+    elif any(c.isalpha() for c in w) and any(c in "013457@$!€" for c in w):
+        base = re.sub(r"[^a-z_]", "", w.translate(_SIGNS))
     else:
         base = re.sub(r"[^\w]", "", w)
-    if "_" in w or len(base) > 24:
-        return ("<name>",)
-    base = _SQUEEZE.sub(r"\1", base)
-    if len(base) < 4:
-        return (base,)
-    padded = f"^{base}$"
-    return (base, *(f"#{padded[i : i + 4]}" for i in range(len(padded) - 3)))
+    parts = [p for p in base.split("_") if p]
+    out = ["<name>"] if len(parts) > 1 else []
+    for p in parts:
+        p = _SQUEEZE.sub(r"\1", p)
+        out.append(p if len(p) <= 24 else "<long>")
+        out += _letter_groups(p)
+    if "-" in w:
+        for p in w.split("-"):
+            if 2 < len(p) < len(w):
+                out += word_terms(p)
+    return tuple(dict.fromkeys(out)) or ("0",)
 
 
 def bucket(term: str) -> int:
     return zlib.crc32(term.encode()) & (BUCKETS - 1)
 
 
-@lru_cache(maxsize=200_000)
-def _word_buckets(w: str) -> tuple[str, tuple[int, ...]]:
-    t = word_terms(w)
-    return t[0], tuple(bucket(x) for x in t)
-
-
-def passages(text: str | None) -> list[np.ndarray]:
-    """Bucket ids of each distinct passage of the whole text; none for null, empty or wordless texts."""
+def passages(text: str | None) -> list[list[str]]:
+    """The distinct raw words of each passage of the whole text; none for null, empty or wordless texts."""
     if not text:
         return []
-    out: dict[bytes, np.ndarray] = {}
-    for part in _PASSAGE.split(text):
-        s = _URL.sub(" <url> ", plain(part))
-        s = _SPACED.sub(lambda m: re.sub(r"[^\w]|_", "", m[0]), s)
-        raw = _WORD.findall(s)
-        for a in range(0, max(1, len(raw) - (WINDOW - STEP)), STEP):
-            words = raw[a : a + WINDOW]
-            if not words:
-                continue
-            ids: set[int] = set()
-            before = "^"
-            for w in words:
-                if "-" in w and len(w) > 3:
-                    for x in w.split("-"):
-                        if len(x) > 2:
-                            ids.update(_word_buckets(x)[1])
-                base, own = _word_buckets(w)
-                ids.update(own)
-                ids.add(bucket(f"{before} {base}"))
-                before = base
-            arr = np.fromiter(sorted(ids), np.int32, len(ids))
-            out[arr.tobytes()] = arr
-    return list(out.values())
+    s = plain(text)
+    if "://" in s:
+        s = _URL.sub(" <url> ", s)
+    s = _SPACED.sub(_join_spaced, s)
+    out = []
+    for part in _PASSAGE.split(s):
+        raw = _WORD.findall(part)
+        if not raw:
+            continue
+        if len(part) > PIECE and len(max(raw, key=len)) > PIECE:
+            raw = [w[i : i + PIECE] for w in raw for i in range(0, max(1, len(w) - 3), PIECE - 3)]
+        if len(raw) <= WINDOW:
+            out.append(list(dict.fromkeys(raw)))
+        else:
+            out += [list(dict.fromkeys(raw[a : a + WINDOW])) for a in range(0, len(raw) - (WINDOW - STEP), STEP)]
+    return out
+
+
+class Bags(NamedTuple):
+    """Documents as passages of words, all of them numbered: ragged rows as flat arrays with the start of each row."""
+
+    terms: np.ndarray  # buckets of the words' terms
+    term_start: np.ndarray  # per word and one more
+    words: np.ndarray  # word numbers of the passages
+    word_start: np.ndarray  # per passage and one more
+    start: np.ndarray  # first passage of each document and one more
+
+    @classmethod
+    def of(cls, docs: Sequence[Sequence[Sequence[str]]]) -> Bags:
+        """Passages that a document repeats are taken once."""
+        number: dict[str, int] = {}
+        once = [list({tuple(p): None for p in d}) for d in docs]
+        words = np.array([number.setdefault(w, len(number)) for d in once for p in d for w in p], np.int64)
+        terms = [[bucket(t) for t in word_terms(w)] for w in number]
+        return cls(
+            np.array([t for r in terms for t in r], np.int64), _starts([len(r) for r in terms]),
+            words, _starts([len(p) for d in once for p in d]), _starts([len(d) for d in once]),
+        )
+
+    def pick(self, docs: np.ndarray) -> Bags:
+        """The same words, only these documents."""
+        p, start = _rows(np.arange(len(self.word_start) - 1), self.start, docs)
+        words, word_start = _rows(self.words, self.word_start, p)
+        return self._replace(words=words, word_start=word_start, start=start)
+
+
+def _starts(sizes: Sequence[int]) -> np.ndarray:
+    return np.r_[0, np.cumsum(np.asarray(sizes, np.int64))].astype(np.int64)
+
+
+def _rows(flat: np.ndarray, start: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The named ragged rows and their starts."""
+    n = start[rows + 1] - start[rows]
+    at = _starts(n)
+    return flat[np.repeat(start[rows] - at[:-1], n) + np.arange(at[-1])], at
+
+
+def _sum(x: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sums of ragged rows, none of them empty."""
+    return np.add.reduceat(x, start[:-1], axis=0) if len(x) else np.zeros((0, *x.shape[1:]), x.dtype)
 
 
 class FactorizationMachine:
-    """score(x) = b + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j with x_i = 1 / sqrt(terms of the passage)."""
+    """score(x) = b + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j with x_i = 1 / sqrt(terms of the passage).
+
+    ``factors`` = 0 leaves the linear part only.
+    """
 
     def __init__(self, buckets: int = BUCKETS, factors: int = FACTORS, seed: int = 42) -> None:
         rng = np.random.default_rng(seed)
         self.b = np.float32(-2.0)
         self.w = np.zeros(buckets, np.float32)
-        self.v = (rng.standard_normal((buckets, factors)) * 0.05).astype(np.float32)
+        self.v = (rng.standard_normal((buckets, factors)) * 0.2).astype(np.float32)
         self.gw = np.full(buckets, 1e-2, np.float32)
         self.gv = np.full((buckets, factors), 1e-2, np.float32)
 
-    @staticmethod
-    def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = np.fromiter((len(r) for r in rows), np.int64, len(rows))
-        start = np.r_[0, np.cumsum(n)[:-1]]
-        return np.concatenate(rows), start, 1.0 / np.sqrt(n).astype(np.float32)
-
-    def scores(self, rows: list[np.ndarray], step: int = 4096) -> np.ndarray:
-        out = [self._scores(*self._flat(rows[a : a + step]))[0] for a in range(0, len(rows), step)]
-        return np.concatenate(out) if out else np.zeros(0, np.float32)
-
-    def _scores(self, ids: np.ndarray, start: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lin = np.add.reduceat(self.w[ids], start)
-        v = self.v[ids]
-        s = np.add.reduceat(v, start, axis=0)
-        q = np.add.reduceat((v * v).sum(1), start)
-        return self.b + lin * x + 0.5 * ((s * s).sum(1) - q) * x * x, s
-
-    def step(self, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, rate: float, l2: float) -> None:
-        """One AdaGrad step of weighted log loss on a batch."""
-        ids, start, x = self._flat(rows)
-        score, s = self._scores(ids, start, x)
-        g = ((1 / (1 + np.exp(-score)) - y) * weight).astype(np.float32)
-        n = np.diff(np.r_[start, len(ids)])
-        row = np.repeat(np.arange(len(rows)), n)
-        gl = (g * x)[row]
-        v = self.v[ids]
-        gf = (g * x * x)[row, None] * (s[row] - v)
-        uniq, inv = np.unique(ids, return_inverse=True)
-        dw = np.bincount(inv, gl, len(uniq)).astype(np.float32) + l2 * self.w[uniq]
-        dv = np.stack([np.bincount(inv, gf[:, k], len(uniq)) for k in range(v.shape[1])], 1).astype(np.float32) + l2 * self.v[uniq]
+    def shares(self, terms: np.ndarray, term_start: np.ndarray) -> np.ndarray:
+        """[word, (terms, sum of w, sum of |v|^2, sum of v...)]: what a word adds to a passage."""
+        v = self.v[terms]
+        n = np.diff(term_start).astype(np.float32)
+        return np.column_stack([n, _sum(self.w[terms], term_start), _sum((v * v).sum(1), term_start), _sum(v, term_start)]).astype(np.float32)
+
+    def from_shares(self, total: np.ndarray) -> np.ndarray:
+        """Scores of passages from the sums of their words' shares."""
+        s = total[:, 3:]
+        return self.b + total[:, 1] / np.sqrt(total[:, 0]) + 0.5 * ((s * s).sum(1) - total[:, 2]) / total[:, 0]
+
+    def scores(self, bags: Bags) -> np.ndarray:
+        """One per passage."""
+        table = self.shares(bags.terms, bags.term_start)
+        out = [np.zeros(0, np.float32)]
+        for a in range(0, len(bags.word_start) - 1, 4096):
+            at = bags.word_start[a : a + 4097]
+            out.append(self.from_shares(_sum(table[bags.words[at[0] : at[-1]]], at - at[0])))
+        return np.concatenate(out)
+
+    def step(self, bags: Bags, chosen: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float, l2: float) -> None:
+        """One AdaGrad step of weighted log loss on the chosen passages."""
+        words, at = _rows(bags.words, bags.word_start, chosen)
+        known, word = np.unique(words, return_inverse=True)
+        terms, term_at = _rows(bags.terms, bags.term_start, known)
+        total = _sum(self.shares(terms, term_at)[word], at)
+        g = ((1 / (1 + np.exp(-self.from_shares(total))) - y) * weight).astype(np.float32)
+        # per passage: the factor of dw, of v and the sum vector; then per word, then per term
+        gx, gq = g / np.sqrt(total[:, 0]), g / total[:, 0]
+        per = np.column_stack([gx, gq, gq[:, None] * total[:, 3:]])[np.repeat(np.arange(len(chosen)), np.diff(at))]
+        per = _grouped(per, word)[np.repeat(np.arange(len(known)), np.diff(term_at))]
+        uniq, inv = np.unique(terms, return_inverse=True)
+        d = _grouped(per, inv)
+        dw = d[:, 0] + l2 * self.w[uniq]
         self.gw[uniq] += dw * dw
-        self.gv[uniq] += dv * dv
         self.w[uniq] -= rate * dw / np.sqrt(self.gw[uniq])
-        self.v[uniq] -= 0.3 * rate * dv / np.sqrt(self.gv[uniq])
+        v = self.v[uniq]
+        dv = d[:, 2:] - d[:, 1:2] * v + l2 * v
+        self.gv[uniq] += dv * dv
+        self.v[uniq] = v - rate * dv / np.sqrt(self.gv[uniq])
         self.b -= np.float32(0.05 * rate * g.sum() / max(1.0, float(weight.sum())))
 
 
-def _log_odds(docs: list[list[np.ndarray]], y: np.ndarray) -> np.ndarray:
+def _grouped(x: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each group 0, 1, ..., none of them empty."""
+    o = np.argsort(group, kind="stable")
+    return np.add.reduceat(x[o], np.r_[0, np.flatnonzero(np.diff(group[o])) + 1], axis=0)
+
+
+def _log_odds(bags: Bags, y: np.ndarray) -> np.ndarray:
     """Smoothed log odds of the terms by document, the start of the linear part."""
-    pos = np.zeros(BUCKETS)
-    neg = np.zeros(BUCKETS)
-    for d, t in zip(docs, y, strict=True):
-        if d:
-            ids = np.unique(np.concatenate(d))
-            pos[ids] += t
-            neg[ids] += 1 - t
+    words, at = _rows(bags.words, bags.word_start, np.arange(len(bags.word_start) - 1))
+    doc = np.repeat(np.repeat(np.arange(len(y)), np.diff(bags.start)), np.diff(at))
+    pair = np.unique(doc * np.int64(len(bags.term_start)) + words)
+    doc, words = pair // len(bags.term_start), pair % len(bags.term_start)
+    terms, at = _rows(bags.terms, bags.term_start, words)
+    pair = np.unique(np.repeat(doc, np.diff(at)) * np.int64(BUCKETS) + terms)
+    doc, terms = pair // BUCKETS, pair % BUCKETS
+    pos, neg = np.bincount(terms, y[doc], BUCKETS), np.bincount(terms, 1 - y[doc], BUCKETS)
     p, n = max(1.0, float(y.sum())), max(1.0, float((1 - y).sum()))
     return np.where(pos + neg > 0, np.log((pos + 0.5) / (p + 1)) - np.log((neg + 0.5) / (n + 1)), 0.0)
 
 
-def fit(docs: list[list[np.ndarray]], y: np.ndarray, rounds: int = 12, rate: float = 0.1, l2: float = 2e-4, seed: int = 42) -> FactorizationMachine:
+SETTLED = 0.01  # a calm passage with a likelihood below this teaches nothing in a round
+
+
+def fit(bags: Bags, y: np.ndarray, rounds: int = 12, rate: float = 0.1, l2: float = 2e-4, factors: int = FACTORS, seed: int = 42) -> FactorizationMachine:
     """Fit on bags of passages; y is the share of raters that saw a case. Without both classes all scores are low."""
-    fm = FactorizationMachine(seed=seed)
+    fm = FactorizationMachine(factors=factors, seed=seed)
     if not len(y) or y.max() < 0.5 or y.min() > 0.5:
         fm.v[:] = 0
         return fm
-    fm.w[:] = _log_odds(docs, y)
-    keep = [i for i, d in enumerate(docs) if d and y[i] != 0.5]  # an even vote teaches nothing
-    flat = [p for i in keep for p in docs[i]]
-    size = np.array([len(docs[i]) for i in keep])
-    start = np.r_[0, np.cumsum(size)[:-1]]
-    owner = np.repeat(np.arange(len(keep)), size)
-    yk = y[keep]
+    fm.w[:] = _log_odds(bags, y)
+    keep = np.flatnonzero((np.diff(bags.start) > 0) & (y != 0.5))  # an even vote teaches nothing
+    if not len(keep):
+        return fm
+    bags, case = bags.pick(keep), y[keep] > 0.5
+    owner = np.repeat(np.arange(len(keep)), np.diff(bags.start))
     rng = np.random.default_rng(seed)
     for r in range(rounds):
-        s = fm.scores(flat)
-        top = np.maximum.reduceat(s, start)
-        # a positive document teaches through its likeliest passages, a negative one through all of them
+        s = fm.scores(bags)
+        top = np.maximum.reduceat(s, bags.start[:-1])
+        # a positive document teaches through its likeliest passages, a negative one through all that could be cases
         best = s >= top[owner] - (0.5 if r else 0.25)
-        # labels that the model firmly contradicts weigh less: raters err
         prob = 1 / (1 + np.exp(-top))
-        trust = np.where(yk > 0.5, 0.3 + 0.7 * prob, 0.3 + 0.7 * (1 - prob)) if r > 2 else np.ones(len(yk))
-        chosen = np.flatnonzero(np.where(yk[owner] > 0.5, best, True))
-        n_chosen = np.bincount(owner[chosen], minlength=len(keep))
-        weight = trust[owner[chosen]] * np.where(yk[owner[chosen]] > 0.5, 2.0 / n_chosen[owner[chosen]], 1.0)
-        target = (yk[owner[chosen]] > 0.5).astype(np.float32)
+        # labels that the model firmly contradicts weigh less: raters err
+        trust = np.where(case, 0.3 + 0.7 * prob, 0.3 + 0.7 * (1 - prob)) if r > 2 else np.ones(len(keep))
+        open_ = 1 / (1 + np.exp(-s)) > SETTLED if r else True
+        chosen = np.flatnonzero(np.where(case[owner], best, open_))
+        mine = owner[chosen]
+        n_chosen = np.bincount(mine, minlength=len(keep))
+        weight = trust[mine] * np.where(case[mine], 2.0 / np.maximum(n_chosen[mine], 1), 1.0)
         order = rng.permutation(len(chosen))
         for a in range(0, len(order), 256):
             o = order[a : a + 256]
-            fm.step([flat[chosen[i]] for i in o], target[o], weight[o], rate, l2)
+            fm.step(bags, chosen[o], case[mine[o]].astype(np.float32), weight[o], rate, l2)
     return fm
 
 
-THRESHOLD = 1.0  # on the machine's scale, before the logistic function
+def document_scores(fm: FactorizationMachine, bags: Bags) -> np.ndarray:
+    """The highest passage of each document; minus infinity without any."""
+    out = np.full(len(bags.start) - 1, -np.inf)
+    full = np.diff(bags.start) > 0
+    if full.any():
+        out[full] = np.maximum.reduceat(fm.scores(bags), bags.start[:-1][full])
+    return out
+
+
+FOLDS = 3
+BLUR = 0.5  # how far a document's score moves between fits, about
+
+
+def threshold(bags: Bags, y: np.ndarray, n: np.ndarray, seed: int = 42, **how) -> float:
+    """Where to call a document a case: the best F2 on documents that the model was not fitted on, in FOLDS inner folds.
+
+    F2 as a missed case weighs more than a needless review. Documents on which two raters or more agree are looked at
+    (with fewer than 20 cases among them, all that are decided). A document is counted as flagged by degrees around the
+    threshold (BLUR), so that single scores do not move it. 0 where there is nothing to choose by.
+    """
+    sure = (n >= 2) & ((y == 0) | (y == 1))
+    if (sure & (y == 1)).sum() < 20:
+        sure = y != 0.5
+    fold = np.random.default_rng(seed).permutation(len(y)) % FOLDS
+    s = np.full(len(y), -99.0)
+    for k in range(FOLDS):
+        mine = fold == k
+        if mine.any() and not mine.all():
+            fm = fit(bags.pick(np.flatnonzero(~mine)), y[~mine], seed=seed, **how)
+            s[mine] = np.maximum(document_scores(fm, bags.pick(np.flatnonzero(mine))), -99.0)
+    s, case = s[sure], y[sure] > 0.5
+    if not case.any() or case.all():
+        return 0.0
+    at = np.linspace(-2, 2, 81)
+    f2 = []
+    for a in at:
+        p = 1 / (1 + np.exp(np.clip((a - s) / BLUR, -50, 50)))
+        f2.append(5 * p[case].sum() / (4 * case.sum() + p.sum()))
+    return float(at[int(np.argmax(f2))])
 
 
 def rater_shares(labels: DataFrame, key: str = "doc_id", rater: str = "rater_id", label: str = "toxic") -> DataFrame:
-    """(key, y): the share of raters that saw a case. Repeated rows of a rater count once; undecided ones do not count."""
+    """(key, y, n): the share of raters that saw a case, and how many raters. Repeated rows of a rater count once; undecided ones do not count."""
     once = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(key, rater, label).distinct()
-    return once.groupBy(key).agg(F.avg(F.col(label).cast("double")).alias("y"))
+    return once.groupBy(key).agg(F.avg(F.col(label).cast("double")).alias("y"), F.count(F.lit(1)).alias("n"))
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, seed: int = 42) -> FactorizationMachine:
-    """Fit on at most ``max_labelled`` labelled documents, the ones whose keys hash lowest.
+def labelled_bags(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, seed: int = 42) -> tuple[Bags, np.ndarray, np.ndarray]:
+    """(bags, y, n) of at most ``max_labelled`` labelled documents, the ones whose keys hash lowest.
 
-    Terms are hashed on the executors; the driver gets their numbers only, of a bounded number of documents.
+    Passages are read on the executors; the driver gets the words of a bounded number of documents.
     """
     picked = rater_shares(labels, key).orderBy(key_hash(seed, key)).limit(max_labelled)
-    # max_labelled rows of two numbers
-    rows = docs.select(key, text).join(F.broadcast(picked), key).select(key, "y", text)
+    # max_labelled rows of three numbers
+    rows = docs.select(key, text).join(F.broadcast(picked), key).select(key, "y", "n", text)
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bags = [passages(t) for t in b.column(2).to_pylist()]
-            sizes = pa.array([[len(p) for p in d] for d in bags], pa.list_(pa.int32()))
-            ids = pa.array([np.concatenate(d) if d else np.zeros(0, np.int32) for d in bags], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), sizes, ids], ["id", "y", "sizes", "ids"])
+            bags = pa.array([passages(t) for t in b.column(3).to_pylist()], pa.list_(pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), b.column(2), bags], ["id", "y", "n", "bags"])
+
+    got = rows.mapInArrow(read, "id bigint, y double, n bigint, bags array<array<string>>").toArrow().sort_by("id")
+    return Bags.of(got.column("bags").to_pylist()), got.column("y").to_numpy(), got.column("n").to_numpy()
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, seed: int = 42, **how) -> FactorizationMachine:
+    """A machine fitted on the labelled documents and moved so that a score above 0 is a case. ``how`` goes to ``fit``."""
+    bags, y, n = labelled_bags(docs, labels, key, text, max_labelled, seed)
+    fm = fit(bags, y, seed=seed, **how)
+    fm.b -= np.float32(threshold(bags, y, n, seed, **how))
+    return fm
+
+
+class _Scorer:
+    """Scores of documents; remembers the shares of at most KNOWN_WORDS words."""
+
+    def __init__(self, fm: FactorizationMachine) -> None:
+        self.fm, self.number = fm, {}
+        self.table = np.zeros((0, 3 + fm.v.shape[1]), np.float32)
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.number) + len(words) > KNOWN_WORDS:
+            self.number, self.table = {}, self.table[:0]
+        new = [w for w in words if w not in self.number]
+        if new:
+            terms = [[bucket(t) for t in word_terms(w)] for w in new]
+            rows = self.fm.shares(np.array([t for r in terms for t in r], np.int64), _starts([len(r) for r in terms]))
+            self.number.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
+            self.table = np.concatenate([self.table, rows])
 
-    got = rows.mapInArrow(hashed, "id bigint, y double, sizes array<int>, ids array<int>").toArrow().sort_by("id")
-    bags = []
-    for sizes, ids in zip(got.column("sizes").to_pylist(), got.column("ids").combine_chunks(), strict=True):
-        flat = ids.values.to_numpy(zero_copy_only=False).astype(np.int32)
-        bags.append(np.split(flat, np.cumsum(sizes)[:-1]) if sizes else [])
-    return fit(bags, got.column("y").to_numpy(), seed=seed)
+    def __call__(self, texts: Sequence[str | None]) -> np.ndarray:
+        docs = [passages(t) for t in texts]
+        self.learn({w for d in docs for p in d for w in p})
+        number, out = self.number, np.zeros(len(docs))
+        size = np.array([len(d) for d in docs])
+        if size.any():
+            words = np.array([number[w] for d in docs for p in d for w in p], np.int64)
+            s = self.fm.from_shares(_sum(self.table[words], _starts([len(p) for d in docs for p in d])))
+            out[size > 0] = 1 / (1 + np.exp(-np.maximum.reduceat(s, _starts(size)[:-1][size > 0]).astype(float)))
+        return out
 
 
 def score(docs: DataFrame, fm: FactorizationMachine, keep: list[str], text: str = "text") -> DataFrame:
@@ -249,24 +397,19 @@ def score(docs: DataFrame, fm: FactorizationMachine, keep: list[str], text: str
     The whole text counts, its highest passage decides. Null, empty and wordless texts score 0.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fm)  # BUCKETS * (FACTORS + 1) numbers, whatever the data
+    model = spark.sparkContext.broadcast((fm.b, fm.w, fm.v))  # BUCKETS * (FACTORS + 1) numbers, whatever the data
     src = docs.select(*keep, text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", score double"
     names = [*keep, "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        m = FactorizationMachine(0, 0)
+        m.b, m.w, m.v = model.value
+        scorer = _Scorer(m)
         for b in batches:
-            for a in range(0, b.num_rows, 1000):
-                part = b.slice(a, 1000)
-                bags = [passages(t) for t in part.column(len(keep)).to_pylist()]
-                s = m.scores([p for d in bags for p in d])
-                out, at = np.zeros(len(bags)), 0
-                for i, d in enumerate(bags):
-                    if d:
-                        out[i] = 1 / (1 + np.exp(-float(s[at : at + len(d)].max())))
-                        at += len(d)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(out)], names)
+            for a in range(0, b.num_rows, 500):
+                part = b.slice(a, 500)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(scorer(part.column(len(keep)).to_pylist()))], names)
 
     return src.mapInArrow(run, schema)
 
@@ -277,7 +420,13 @@ def _scored(spark: SparkSession, d: str, keep: list[str]) -> DataFrame:
 
 
 def _case() -> F.Column:
-    return F.col("score") > float(1 / (1 + np.exp(-THRESHOLD)))
+    return F.col("score") > 0.5
+
+
+def source_rates(scored: DataFrame, source: str = "source") -> DataFrame:
+    """(source, documents, flagged, rate)."""
+    out = scored.groupBy(source).agg(F.count(F.lit(1)).alias("documents"), F.count(F.when(_case(), 1)).alias("flagged"))
+    return out.withColumn("rate", F.round(F.col("flagged") / F.col("documents"), 6))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -291,10 +440,23 @@ def p8_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     """Per source: documents, how many are flagged, and the rate."""
-    s = _scored(spark, d, ["source"]).groupBy("source")
-    out = s.agg(F.count(F.lit(1)).alias("documents"), F.count(F.when(_case(), 1)).alias("flagged"))
-    return out.withColumn("rate", F.round(F.col("flagged") / F.col("documents"), 6))
+    return source_rates(_scored(spark, d, ["source"]))
 
 
-QUERIES = {"p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
-ORACLE: dict[str, str] = {}
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """Per source, what must hold of the scores: every document has one, in 0..1; the rate is that of the scores."""
+    docs = load(spark, d, "documents")
+    scored = cut(score(docs, train(docs, load(spark, d, "review_labels")), ["doc_id", "source"]).withColumn("flag", _case()))
+    per = scored.groupBy("source").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_distinct("doc_id").alias("ids"), F.count(F.when((F.col("score") < 0) | (F.col("score") > 1) | F.col("score").isNull(), 1)).alias("outside"),
+        F.count(F.when(F.col("flag"), 1)).alias("hits"),
+    )
+    j = per.alias("a").join(source_rates(scored).alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
+    same = (F.col("hits") == F.col("flagged")) & (F.abs(F.col("rate") - F.col("hits") / F.col("a.documents")) < 1e-6)
+    return j.select("a.source", "a.documents", "ids", "outside", same.alias("rate_agrees"))
+
+
+QUERIES = {"p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates, "p8_check": p8_check}
+ORACLE: dict[str, str] = {
+    "p8_check": "select source, count(*) documents, count(distinct doc_id) ids, 0::bigint outside, true rate_agrees from documents group by 1",
+}

@@ -111,48 +111,67 @@ def test_mixture_edges(spark):
     assert rows(items) == [(1, "a", 10, 1)] * 2
 
 
+def _terms(text):
+    return [{t for w in p for t in toxicity.word_terms(w)} for p in toxicity.passages(text)]
+
+
 @pytest.mark.parametrize(
     ("a", "b"),
-    [("IDIOT", "idiot"), ("іdіоt", "idiot"), ("id​iot", "idiot"), ("1d10t", "idiot"), ("i d i o t", "idiot"), ("i.d.i.o.t", "idiot"), ("idiiiiot", "idiot"), ("ídíot", "idiot"), ("id-iot", "idiot")],
-)
+    [("IDIOT", "idiot"), ("іdіоt", "idiot"), ("id​iot", "idiot"), ("1d10t", "idiot"), ("i d i o t", "idiot"), ("i.d.i.o.t", "idiot"), ("idiiiiot", "idiot"), ("ídíot", "idiot"), ("id-iot", "idiot"),
+     ("you_idiot_x", "idiot"), ("a i d i o t", "idiot")],
+)
 def test_disguised_words_share_the_word(a, b):
-    (x,), (y,) = toxicity.passages(f"what an {a} he is"), toxicity.passages(f"what an {b} he is")
-    assert toxicity.bucket(b) in set(x) & set(y)
+    (x,), (y,) = _terms(f"what an {a} he is"), _terms(f"what an {b} he is")
+    assert b in x & y
+
+
+def test_long_words_keep_their_letter_groups():
+    (x,) = _terms("whatastupididiotyoureallyare")
+    assert {"#stup", "#idio", "<long>"} <= x
+    assert {t for w in toxicity.passages("ab" * 40_000)[0] for t in toxicity.word_terms(w)} >= {"#abab", "#baba"}
 
 
 def test_whole_texts_are_read():
     words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x" for i in range(700)]
-    seen = set(np.concatenate(toxicity.passages(" ".join(words))))
-    assert all(toxicity.bucket(toxicity.word_terms(w)[0]) in seen for w in words)
+    assert set(words) == {w for p in toxicity.passages(" ".join(words)) for w in p}
     for t in NASTY:
-        toxicity.passages(t)
+        assert all(len(w) <= toxicity.PIECE for p in toxicity.passages(t) for w in p)
     assert toxicity.passages(None) == toxicity.passages("") == toxicity.passages(" \n ") == []
 
 
-def _corpus(n, seed):
-    """Calm sentences; cases insult a person or attack a group. Both words also occur apart, without harm."""
+def _crossed(n, seed):
+    """Predicates that are vile of one kind of noun and harmless of the other, and the other way round: no word tells."""
     rng = random.Random(seed)
-    things, groups, slurs = ["server", "cable", "index", "soup", "wheel"], ["foreigners", "women", "pilots", "nurses"], ["vermin", "garbage", "scum"]
+    nouns = [["foreigners", "women", "pilots", "nurses"], ["servers", "cables", "wheels", "soups"]]
+    said = [["vermin", "garbage", "scum", "filth"], ["horny", "naked", "juicy", "moaning"]]
+
+    def pair(hit):
+        a = rng.randrange(2)
+        return f"{rng.choice(nouns[a])} are {rng.choice(said[a if hit else 1 - a])}"
+
     docs = []
     for i in range(n):
-        parts = [f"Set the {rng.choice(things)} to {rng.randrange(99)}." for _ in range(rng.randrange(1, 5))]
-        parts.append(rng.choice([f"The {rng.choice(things)} collects {rng.choice(slurs)}.", f"Many {rng.choice(groups)} use the {rng.choice(things)}."]))
-        y = rng.random() < 0.3
+        y = rng.random() < 0.4
+        parts = [f"Set the {rng.choice(['disk', 'light'])} to {rng.randrange(99)}." for _ in range(rng.randrange(3))] + [pair(False)]
         if y:
-            parts.insert(rng.randrange(len(parts)), f"{rng.choice(groups)} are {rng.choice(slurs)}")
+            parts.append(pair(True))
+        rng.shuffle(parts)
         docs.append((i, "\n".join(parts), y))
     return docs
 
 
 def test_machine_learns_interactions_on_held_out_texts(spark):
-    train, test = _corpus(700, 1), _corpus(300, 2)
+    """The same fit without factors stays below 0.9, so it is the pairwise part that decides."""
+    train, test = _crossed(700, 1), _crossed(300, 2)
     labels = [(i, r, int(y if r or i % 20 else not y)) for i, _, y in train for r in (0, 1, 2)] + [(None, 1, 1), (3, 9, None), (10**6, 1, 1)]
     df = spark.createDataFrame([(i, t, 0.5) for i, t, _ in train], "doc_id long, text string, y double")
-    fm = toxicity.train(df, spark.createDataFrame(labels, "doc_id long, rater_id int, toxic int"))
     held = spark.createDataFrame([(i, t) for i, t, _ in test], "doc_id long, text string")
-    got = {r.doc_id: r.score > 0.5 for r in toxicity.score(held, fm, ["doc_id"]).collect()}
-    right = sum(got[i] == y for i, _, y in test)
-    assert right / len(test) > 0.95
+    right = {}
+    for k in (0, toxicity.FACTORS):
+        fm = toxicity.train(df, spark.createDataFrame(labels, "doc_id long, rater_id int, toxic int"), factors=k)
+        got = {r.doc_id: r.score > 0.5 for r in toxicity.score(held, fm, ["doc_id"]).collect()}
+        right[k] = sum(got[i] == y for i, _, y in test) / len(test)
+    assert right[0] < 0.9 and right[toxicity.FACTORS] > 0.95
     odd = spark.createDataFrame(list(enumerate(NASTY)), "doc_id long, text string")
     scores = {r.doc_id: r.score for r in toxicity.score(odd, fm, ["doc_id"]).collect()}
     assert scores[0] == scores[1] == scores[2] == 0.0 and len(scores) == len(NASTY)
@@ -168,26 +187,43 @@ def test_machine_without_labels(spark):
 
 def test_rater_shares(spark):
     df = spark.createDataFrame([(1, 1, 1), (1, 1, 1), (1, 2, 0), (1, 3, None), (2, 1, None), (None, 1, 1)], "doc_id long, rater_id int, toxic int")
-    assert rows(toxicity.rater_shares(df)) == [(1, 0.5)]
+    assert rows(toxicity.rater_shares(df)) == [(1, 0.5, 2)]
 
 
 def test_gradient():
-    """The step follows the numerical gradient of the loss."""
-    fm = toxicity.FactorizationMachine(buckets=64, factors=3, seed=1)
-    rows_ = [np.array([1, 5, 9], np.int32), np.array([5, 7], np.int32)]
+    """The step follows the numerical gradient of the loss, and word shares add up to the plain formula."""
+    fm = toxicity.FactorizationMachine(factors=3, seed=1)
+    fm.w[:] = np.random.default_rng(2).standard_normal(len(fm.w)) * 0.1
+    bags = toxicity.Bags.of([[["fool", "cat"], ["cat", "dog", "fool"]]])
     y = np.array([1.0, 0.0], np.float32)
+    for p, got in zip([["fool", "cat"], ["cat", "dog", "fool"]], fm.scores(bags), strict=True):
+        ids = [toxicity.bucket(t) for w in p for t in toxicity.word_terms(w)]
+        pairs = sum(float(fm.v[a] @ fm.v[b]) for i, a in enumerate(ids) for b in ids[:i])
+        assert got == pytest.approx(float(fm.b) + sum(fm.w[ids]) / len(ids) ** 0.5 + pairs / len(ids), abs=1e-4)
 
     def loss():
-        s = fm.scores(rows_).astype(float)
+        s = fm.scores(bags).astype(float)
         return float(np.sum(np.log1p(np.exp(s)) - y * s))
 
-    v0 = fm.v.copy()
-    base, eps, num = loss(), 1e-2, {}
-    for k in (1, 5, 7, 9):
-        fm.v[k, 0] += eps
-        num[k] = (loss() - base) / eps
-        fm.v[k, 0] -= eps
-    fm.step(rows_, y, np.ones(2, np.float32), 1e-3, 0.0)
-    assert all(np.sign(v0[k, 0] - fm.v[k, 0]) == np.sign(g) for k, g in num.items() if abs(g) > 1e-3)
-
-
+    v0, w0 = fm.v.copy(), fm.w.copy()
+    base, eps, dv, dw = loss(), 1e-2, {}, {}
+    for k in (toxicity.bucket(t) for t in ("fool", "#fool", "cat", "dog")):
+        for table, num in ((fm.v[:, 0], dv), (fm.w, dw)):
+            table[k] += eps
+            num[k] = (loss() - base) / eps
+            table[k] -= eps
+    fm.step(bags, np.array([0, 1]), y, np.ones(2, np.float32), 1e-3, 0.0)
+    assert all(np.sign(v0[k, 0] - fm.v[k, 0]) == np.sign(g) for k, g in dv.items() if abs(g) > 2e-3)
+    assert all(np.sign(w0[k] - fm.w[k]) == np.sign(g) for k, g in dw.items() if abs(g) > 2e-3)
+
+
+def test_threshold_and_bags():
+    docs = [t for _, t, _ in _crossed(200, 3)]
+    y = np.array([float(c) for *_, c in _crossed(200, 3)])
+    bags = toxicity.Bags.of([toxicity.passages(t) for t in docs])
+    assert -2 <= toxicity.threshold(bags, y, np.full(200, 2)) <= 2
+    assert toxicity.threshold(bags, np.zeros(200), np.full(200, 2)) == 0
+    some = bags.pick(np.array([5, 3]))
+    fm = toxicity.fit(bags, y)
+    assert list(toxicity.document_scores(fm, some)) == pytest.approx(list(toxicity.document_scores(fm, bags)[[5, 3]]))
+    assert list(toxicity.document_scores(fm, toxicity.Bags.of([[], [["cat"]], []]))[[0, 2]]) == [-np.inf] * 2
