@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from typing import NamedTuple
@@ -71,43 +70,62 @@ def _join_spaced(m: re.Match) -> str:
     return f" {w} {w[1:]} " if w[0] in _LONE else f" {w} "
 
 
-def _letter_groups(w: str) -> list[str]:
-    padded = f"^{w}$"
-    return [f"#{padded[i : i + 4]}" for i in range(len(padded) - 3)] if len(w) >= 4 else []
-
-
 @lru_cache(maxsize=100_000)
-def word_terms(w: str) -> tuple[str, ...]:
-    """The terms of one raw word: its normal form first, then its letter groups.
+def word_parts(w: str) -> tuple[str, ...]:
+    """The normal form of one raw word, the parts of a compound of '_' or '-' too; '<...>' and '*...' are marks.
 
-    A compound of '_' or '-' also has the terms of its parts. A run of more than 24 letters is no word by itself; its
-    letter groups still count.
+    A part has a term for itself, unless it runs to more than 24 letters, and, being no mark, one per letter group.
     """
+    if w.isalpha():
+        return (_SQUEEZE.sub(r"\1", w),)
     if w.isdigit():
-        return ("0",)
+        return ("<0>",)
     if _MASKED.fullmatch(w):
         return ("*", f"*{w[0]}", f"*{w[0]}{w[-1]}{len(w)}")
-    if w.isalpha():
-        base = w
-    elif any(c.isalpha() for c in w) and any(c in "013457@$!€" for c in w):
+    if any(c.isalpha() for c in w) and any(c in "013457@$!€" for c in w):
         base = re.sub(r"[^a-z_]", "", w.translate(_SIGNS))
     else:
         base = re.sub(r"[^\w]", "", w)
-    parts = [p for p in base.split("_") if p]
-    out = ["<name>"] if len(parts) > 1 else []
-    for p in parts:
-        p = _SQUEEZE.sub(r"\1", p)
-        out.append(p if len(p) <= 24 else "<long>")
-        out += _letter_groups(p)
+    parts = [_SQUEEZE.sub(r"\1", p) for p in base.split("_") if p]
+    out = ["<name>", *parts] if len(parts) > 1 else parts
     if "-" in w:
-        for p in w.split("-"):
-            if 2 < len(p) < len(w):
-                out += word_terms(p)
-    return tuple(dict.fromkeys(out)) or ("0",)
+        out += [x for p in w.split("-") if 2 < len(p) < len(w) for x in word_parts(p)]
+    return tuple(dict.fromkeys(out)) or ("<0>",)
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)  # any odd number
+_POWERS = np.cumprod(np.full(256, _BASE, np.uint64))
+
 
+def _to_bucket(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(64 - 17)).astype(np.int64) & (BUCKETS - 1)
 
-def bucket(term: str) -> int:
-    return zlib.crc32(term.encode()) & (BUCKETS - 1)
+
+def term_buckets(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the terms of each word, and where each word's terms start (one more than words).
+
+    Terms are hashed by arithmetic on all characters at once: a part as a whole, and its groups of four, ends included.
+    """
+    parts = [word_parts(w) for w in words]
+    flat = [p for r in parts for p in r]
+    if not flat:
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    word = np.repeat(np.arange(len(parts)), [len(r) for r in parts])
+    size = np.array([len(p) for p in flat])
+    mark = np.array([p[0] in "<*" for p in flat])
+    code = np.frombuffer("".join([f"^{p}$" for p in flat]).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    start = _starts(size + 2)
+    at = np.arange(len(code)) - np.repeat(start[:-1], size + 2)
+    whole = np.add.reduceat(code * _POWERS[at & 255], start[:-1])
+    whole = np.where((size > 24) & ~mark, np.uint64(1), whole)
+    group = np.flatnonzero((at < np.repeat(size - 1, size + 2)) & np.repeat((size >= 4) & ~mark, size + 2))
+    four = np.full(len(group), 7, np.uint64)
+    for k in range(4):
+        four = four * _BASE + code[group + k]
+    owner = np.r_[word, np.repeat(word, size + 2)[group]]
+    order = np.argsort(owner, kind="stable")
+    return np.r_[_to_bucket(whole), _to_bucket(four)][order], _starts(np.bincount(owner, minlength=len(parts)))
 
 
 def passages(text: str | None) -> list[list[str]]:
@@ -147,10 +165,8 @@ class Bags(NamedTuple):
         number: dict[str, int] = {}
         once = [list({tuple(p): None for p in d}) for d in docs]
         words = np.array([number.setdefault(w, len(number)) for d in once for p in d for w in p], np.int64)
-        terms = [[bucket(t) for t in word_terms(w)] for w in number]
         return cls(
-            np.array([t for r in terms for t in r], np.int64), _starts([len(r) for r in terms]),
-            words, _starts([len(p) for d in once for p in d]), _starts([len(d) for d in once]),
+            *term_buckets(list(number)), words, _starts([len(p) for d in once for p in d]), _starts([len(d) for d in once]),
         )
 
     def pick(self, docs: np.ndarray) -> Bags:
@@ -186,7 +202,7 @@ class FactorizationMachine:
         rng = np.random.default_rng(seed)
         self.b = np.float32(-2.0)
         self.w = np.zeros(buckets, np.float32)
-        self.v = (rng.standard_normal((buckets, factors)) * 0.2).astype(np.float32)
+        self.v = (rng.standard_normal((buckets, factors)) * 0.1).astype(np.float32)
         self.gw = np.full(buckets, 1e-2, np.float32)
         self.gv = np.full((buckets, factors), 1e-2, np.float32)
 
@@ -229,7 +245,7 @@ class FactorizationMachine:
         v = self.v[uniq]
         dv = d[:, 2:] - d[:, 1:2] * v + l2 * v
         self.gv[uniq] += dv * dv
-        self.v[uniq] = v - rate * dv / np.sqrt(self.gv[uniq])
+        self.v[uniq] = v - 0.5 * rate * dv / np.sqrt(self.gv[uniq])
         self.b -= np.float32(0.05 * rate * g.sum() / max(1.0, float(weight.sum())))
 
 
@@ -256,8 +272,11 @@ def _log_odds(bags: Bags, y: np.ndarray) -> np.ndarray:
 SETTLED = 0.01  # a calm passage with a likelihood below this teaches nothing in a round
 
 
-def fit(bags: Bags, y: np.ndarray, rounds: int = 12, rate: float = 0.1, l2: float = 2e-4, factors: int = FACTORS, seed: int = 42) -> FactorizationMachine:
-    """Fit on bags of passages; y is the share of raters that saw a case. Without both classes all scores are low."""
+def fit(bags: Bags, y: np.ndarray, trust: np.ndarray | None = None, rounds: int = 12, rate: float = 0.1, l2: float = 2e-4, factors: int = FACTORS, seed: int = 42) -> FactorizationMachine:
+    """Fit on bags of passages; y is the share of raters that saw a case. Without both classes all scores are low.
+
+    ``trust`` weighs the documents; without it a label that the model comes to contradict weighs less.
+    """
     fm = FactorizationMachine(factors=factors, seed=seed)
     if not len(y) or y.max() < 0.5 or y.min() > 0.5:
         fm.v[:] = 0
@@ -274,14 +293,16 @@ def fit(bags: Bags, y: np.ndarray, rounds: int = 12, rate: float = 0.1, l2: floa
         top = np.maximum.reduceat(s, bags.start[:-1])
         # a positive document teaches through its likeliest passages, a negative one through all that could be cases
         best = s >= top[owner] - (0.5 if r else 0.25)
-        prob = 1 / (1 + np.exp(-top))
-        # labels that the model firmly contradicts weigh less: raters err
-        trust = np.where(case, 0.3 + 0.7 * prob, 0.3 + 0.7 * (1 - prob)) if r > 2 else np.ones(len(keep))
+        if trust is not None:
+            by_doc = trust[keep]
+        else:
+            prob = 1 / (1 + np.exp(-top))
+            by_doc = np.where(case, 0.3 + 0.7 * prob, 0.3 + 0.7 * (1 - prob)) if r > 2 else np.ones(len(keep))
         open_ = 1 / (1 + np.exp(-s)) > SETTLED if r else True
         chosen = np.flatnonzero(np.where(case[owner], best, open_))
         mine = owner[chosen]
         n_chosen = np.bincount(mine, minlength=len(keep))
-        weight = trust[mine] * np.where(case[mine], 2.0 / np.maximum(n_chosen[mine], 1), 1.0)
+        weight = by_doc[mine] * np.where(case[mine], 2.0 / np.maximum(n_chosen[mine], 1), 1.0)
         order = rng.permutation(len(chosen))
         for a in range(0, len(order), 256):
             o = order[a : a + 256]
@@ -299,19 +320,12 @@ def document_scores(fm: FactorizationMachine, bags: Bags) -> np.ndarray:
 
 
 FOLDS = 3
+RATER_ERROR = 0.1  # how often a rater is wrong, about
 BLUR = 0.5  # how far a document's score moves between fits, about
 
 
-def threshold(bags: Bags, y: np.ndarray, n: np.ndarray, seed: int = 42, **how) -> float:
-    """Where to call a document a case: the best F2 on documents that the model was not fitted on, in FOLDS inner folds.
-
-    F2 as a missed case weighs more than a needless review. Documents on which two raters or more agree are looked at
-    (with fewer than 20 cases among them, all that are decided). A document is counted as flagged by degrees around the
-    threshold (BLUR), so that single scores do not move it. 0 where there is nothing to choose by.
-    """
-    sure = (n >= 2) & ((y == 0) | (y == 1))
-    if (sure & (y == 1)).sum() < 20:
-        sure = y != 0.5
+def held_out_scores(bags: Bags, y: np.ndarray, seed: int = 42, **how) -> np.ndarray:
+    """Each document's score by a machine that was not fitted on it."""
     fold = np.random.default_rng(seed).permutation(len(y)) % FOLDS
     s = np.full(len(y), -99.0)
     for k in range(FOLDS):
@@ -319,15 +333,37 @@ def threshold(bags: Bags, y: np.ndarray, n: np.ndarray, seed: int = 42, **how) -
         if mine.any() and not mine.all():
             fm = fit(bags.pick(np.flatnonzero(~mine)), y[~mine], seed=seed, **how)
             s[mine] = np.maximum(document_scores(fm, bags.pick(np.flatnonzero(mine))), -99.0)
-    s, case = s[sure], y[sure] > 0.5
-    if not case.any() or case.all():
+    return s
+
+
+def case_likelihood(s: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How likely a document is a case, given its held-out score and the votes of raters who err at RATER_ERROR."""
+    votes = np.round(y * n)
+    odds = np.clip(s, -6, 6) + (2 * votes - n) * np.log((1 - RATER_ERROR) / RATER_ERROR)
+    return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+
+
+def threshold(s: np.ndarray, case: np.ndarray, beta: float = 1.0) -> float:
+    """Where to call a document a case: the best F-beta on held-out scores ``s``; a larger beta finds more and errs more.
+
+    Both what is a case (a likelihood) and what is flagged (by degrees around the threshold) are counted in parts, so
+    that single documents and wrong votes do not move it. 0 where there is nothing to choose by.
+    """
+    if not len(s) or case.max() < 0.5 or case.min() > 0.5:
         return 0.0
     at = np.linspace(-2, 2, 81)
-    f2 = []
-    for a in at:
-        p = 1 / (1 + np.exp(np.clip((a - s) / BLUR, -50, 50)))
-        f2.append(5 * p[case].sum() / (4 * case.sum() + p.sum()))
-    return float(at[int(np.argmax(f2))])
+    flag = 1 / (1 + np.exp(np.clip((at[:, None] - s[None, :]) / BLUR, -50, 50)))
+    f = (1 + beta**2) * (flag * case).sum(1) / (beta**2 * case.sum() + flag.sum(1))
+    return float(at[int(np.argmax(f))])
+
+
+def fit_labelled(bags: Bags, y: np.ndarray, n: np.ndarray, seed: int = 42, **how) -> FactorizationMachine:
+    """The machine in use: labels weighed by how likely they are right, the score moved so that above 0 is a case."""
+    s = held_out_scores(bags, y, seed, **how)
+    likely = case_likelihood(s, y, n)
+    fm = fit(bags, y, np.where(y > 0.5, likely, 1 - likely), seed=seed, **how)
+    fm.b -= np.float32(threshold(s, likely))
+    return fm
 
 
 def rater_shares(labels: DataFrame, key: str = "doc_id", rater: str = "rater_id", label: str = "toxic") -> DataFrame:
@@ -356,10 +392,7 @@ def labelled_bags(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, seed: int = 42, **how) -> FactorizationMachine:
     """A machine fitted on the labelled documents and moved so that a score above 0 is a case. ``how`` goes to ``fit``."""
-    bags, y, n = labelled_bags(docs, labels, key, text, max_labelled, seed)
-    fm = fit(bags, y, seed=seed, **how)
-    fm.b -= np.float32(threshold(bags, y, n, seed, **how))
-    return fm
+    return fit_labelled(*labelled_bags(docs, labels, key, text, max_labelled, seed), seed=seed, **how)
 
 
 class _Scorer:
@@ -374,8 +407,7 @@ class _Scorer:
             self.number, self.table = {}, self.table[:0]
         new = [w for w in words if w not in self.number]
         if new:
-            terms = [[bucket(t) for t in word_terms(w)] for w in new]
-            rows = self.fm.shares(np.array([t for r in terms for t in r], np.int64), _starts([len(r) for r in terms]))
+            rows = self.fm.shares(*term_buckets(new))
             self.number.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
             self.table = np.concatenate([self.table, rows])
 

@@ -112,7 +112,7 @@ def test_mixture_edges(spark):
 
 
 def _terms(text):
-    return [{t for w in p for t in toxicity.word_terms(w)} for p in toxicity.passages(text)]
+    return [{t for w in p for t in toxicity.word_parts(w)} for p in toxicity.passages(text)]
 
 
 @pytest.mark.parametrize(
@@ -126,9 +126,15 @@ def test_disguised_words_share_the_word(a, b):
 
 
 def test_long_words_keep_their_letter_groups():
-    (x,) = _terms("whatastupididiotyoureallyare")
-    assert {"#stup", "#idio", "<long>"} <= x
-    assert {t for w in toxicity.passages("ab" * 40_000)[0] for t in toxicity.word_terms(w)} >= {"#abab", "#baba"}
+    def buckets(w):
+        return set(toxicity.term_buckets([w])[0])
+
+    long = "whatastupididiotyoureallyare"
+    assert len(buckets("idiot") & buckets(long)) >= 2 and len(buckets("idiot")) == 5 and len(buckets(long)) == len(long) - 1
+    assert buckets("ox") != buckets("xo") and len(buckets("ox")) == 1 and len(buckets("<url>")) >= 1
+    several, start = toxicity.term_buckets(["idiot", "ox", long])
+    assert [set(several[a:b]) for a, b in zip(start, start[1:])] == [buckets("idiot"), buckets("ox"), buckets(long)]
+    assert all(len(w) <= toxicity.PIECE for p in toxicity.passages("ab" * 40_000) for w in p)
 
 
 def test_whole_texts_are_read():
@@ -197,7 +203,7 @@ def test_gradient():
     bags = toxicity.Bags.of([[["fool", "cat"], ["cat", "dog", "fool"]]])
     y = np.array([1.0, 0.0], np.float32)
     for p, got in zip([["fool", "cat"], ["cat", "dog", "fool"]], fm.scores(bags), strict=True):
-        ids = [toxicity.bucket(t) for w in p for t in toxicity.word_terms(w)]
+        ids = toxicity.term_buckets(p)[0]
         pairs = sum(float(fm.v[a] @ fm.v[b]) for i, a in enumerate(ids) for b in ids[:i])
         assert got == pytest.approx(float(fm.b) + sum(fm.w[ids]) / len(ids) ** 0.5 + pairs / len(ids), abs=1e-4)
 
@@ -207,7 +213,7 @@ def test_gradient():
 
     v0, w0 = fm.v.copy(), fm.w.copy()
     base, eps, dv, dw = loss(), 1e-2, {}, {}
-    for k in (toxicity.bucket(t) for t in ("fool", "#fool", "cat", "dog")):
+    for k in toxicity.term_buckets(["fol", "cat", "dog"])[0]:
         for table, num in ((fm.v[:, 0], dv), (fm.w, dw)):
             table[k] += eps
             num[k] = (loss() - base) / eps
@@ -221,8 +227,12 @@ def test_threshold_and_bags():
     docs = [t for _, t, _ in _crossed(200, 3)]
     y = np.array([float(c) for *_, c in _crossed(200, 3)])
     bags = toxicity.Bags.of([toxicity.passages(t) for t in docs])
-    assert -2 <= toxicity.threshold(bags, y, np.full(200, 2)) <= 2
-    assert toxicity.threshold(bags, np.zeros(200), np.full(200, 2)) == 0
+    s = toxicity.held_out_scores(bags, y)
+    likely = toxicity.case_likelihood(s, y, np.full(200, 2))
+    assert -2 <= toxicity.threshold(s, likely, 2) <= toxicity.threshold(s, likely) <= 2
+    assert toxicity.threshold(s, np.zeros(200)) == 0 == toxicity.threshold(s[:0], s[:0])
+    # two raters outweigh the model where one does not
+    assert toxicity.case_likelihood(np.full(2, -3.0), np.ones(2), np.array([1, 2])).round().tolist() == [0, 1]
     some = bags.pick(np.array([5, 3]))
     fm = toxicity.fit(bags, y)
     assert list(toxicity.document_scores(fm, some)) == pytest.approx(list(toxicity.document_scores(fm, bags)[[5, 3]]))
