@@ -19,6 +19,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,10 @@ _WORD = re.compile(r"[^\W_](?:[\w@$!*€'’\-.]*[\w*])?")
 _SQUEEZE = re.compile(r"(.)\1+")
 _MASKED = re.compile(r"[a-z]+\*+[a-z]*|[a-z]+[#%&_]{2,}[a-z]*")
 _NO_WORD = re.compile(r"[^\w]|_")
+_INVISIBLE = regex.compile(r"[\p{Mn}\p{Cf}]+")
+_SIGNED = re.compile(r"(?=.*[^\W\d_])(?=.*[013457@$!€])")
+_NO_LATIN = re.compile(r"[^a-z_]+")
+_NO_LETTER = re.compile(r"[^\w]+")
 
 
 def plain(text: str) -> str:
@@ -59,7 +64,7 @@ def plain(text: str) -> str:
         return text.lower()
     s = unicodedata.normalize("NFKD", text)
     if not s.isascii():
-        s = "".join(c for c in s if unicodedata.category(c) not in ("Mn", "Cf"))
+        s = _INVISIBLE.sub("", s)
     s = s.casefold()
     return s if s.isascii() else s.translate(_LOOK_ALIKE)
 
@@ -82,10 +87,9 @@ def word_parts(w: str) -> tuple[str, ...]:
         return ("<0>",)
     if _MASKED.fullmatch(w):
         return ("*", f"*{w[0]}", f"*{w[0]}{w[-1]}{len(w)}")
-    if any(c.isalpha() for c in w) and any(c in "013457@$!€" for c in w):
-        base = re.sub(r"[^a-z_]", "", w.translate(_SIGNS))
-    else:
-        base = re.sub(r"[^\w]", "", w)
+    base = _NO_LATIN.sub("", w.translate(_SIGNS)) if _SIGNED.match(w) else _NO_LETTER.sub("", w)
+    if base.isalpha() and "-" not in w:
+        return (_SQUEEZE.sub(r"\1", base),)
     parts = [_SQUEEZE.sub(r"\1", p) for p in base.split("_") if p]
     out = ["<name>", *parts] if len(parts) > 1 else parts
     if "-" in w:
@@ -255,14 +259,19 @@ def _grouped(x: np.ndarray, group: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x[o], np.r_[0, np.flatnonzero(np.diff(group[o])) + 1], axis=0)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def _log_odds(bags: Bags, y: np.ndarray) -> np.ndarray:
     """Smoothed log odds of the terms by document, the start of the linear part."""
     words, at = _rows(bags.words, bags.word_start, np.arange(len(bags.word_start) - 1))
     doc = np.repeat(np.repeat(np.arange(len(y)), np.diff(bags.start)), np.diff(at))
-    pair = np.unique(doc * np.int64(len(bags.term_start)) + words)
+    pair = _distinct(doc * np.int64(len(bags.term_start)) + words)
     doc, words = pair // len(bags.term_start), pair % len(bags.term_start)
     terms, at = _rows(bags.terms, bags.term_start, words)
-    pair = np.unique(np.repeat(doc, np.diff(at)) * np.int64(BUCKETS) + terms)
+    pair = _distinct(np.repeat(doc, np.diff(at)) * np.int64(BUCKETS) + terms)
     doc, terms = pair // BUCKETS, pair % BUCKETS
     pos, neg = np.bincount(terms, y[doc], BUCKETS), np.bincount(terms, 1 - y[doc], BUCKETS)
     p, n = max(1.0, float(y.sum())), max(1.0, float((1 - y).sum()))
