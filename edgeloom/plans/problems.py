@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.functions.ids import amount, id_number, sql_amount, sql_id_number
 from edgeloom.operators import rolling, skew
+from edgeloom.session import cut, scratch
 from edgeloom.sources.tables import load
 
 HEAVY_SHARE = 0.015
@@ -71,27 +72,41 @@ def _calls(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+MEASURES = ["calls", "duration"]
+CONTENT = ["target", "Date", "calls", "duration", "some", "rate"]  # rows of a caller that agree in these are re-deliveries
+
+
+def _trees(spark: SparkSession, d: str) -> DataFrame:
+    leaves = rolling.daily_leaves(_calls(spark, d), "source", "Date", MEASURES, CONTENT)
+    return cut(rolling.tree_rows(leaves, "source", MEASURES))
+
+
 def p3_trailing(spark: SparkSession, d: str) -> DataFrame:
-    leaves = rolling.daily_leaves(_calls(spark, d), "source", "Date", ["calls", "duration"], ["target", "Date", "calls", "duration", "some", "rate"])
-    return rolling.trailing(leaves, "source", ["calls", "duration"], windows=(7, 30))
+    return rolling.trailing(_trees(spark, d), "source", MEASURES, windows=(7, 30))
 
 
-def p3_tree_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """The stored tree itself: per caller, shard, level and position the sums and counts."""
-    leaves = rolling.daily_leaves(_calls(spark, d), "source", "Date", ["calls", "duration"])
-    t = rolling.tree_nodes(leaves, "source", ["calls", "duration"])
+def _flat(trees: DataFrame) -> DataFrame:
+    t = rolling.tree_nodes(trees, "source")
     return t.select("source", "shard", "level", "pos", *[F.round(c, 3).alias(c) if c.endswith("_sum") else F.col(c) for c in t.columns[4:]])
 
 
+def p3_tree_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The stored trees node by node: per caller, shard, level and position the sums and counts."""
+    return _flat(_trees(spark, d))
+
+
 def p3_late_corrections(spark: SparkSession, d: str) -> DataFrame:
-    """The tree of rows that arrived within a day, then corrected by the later ones through their ancestors only."""
-    calls = _calls(spark, d)
-    late = F.col("loaded_at") > F.col("Date") + F.expr("interval 1 day")
-    ms = ["calls", "duration"]
-    base = rolling.tree_nodes(rolling.daily_leaves(calls.where(~F.coalesce(late, F.lit(False))), "source", "Date", ms), "source", ms)
-    delta = rolling.tree_nodes(rolling.daily_leaves(calls.where(late), "source", "Date", ms), "source", ms)
-    t = rolling.apply_corrections(base, delta, "source")
-    return t.select("source", "shard", "level", "pos", *[F.round(c, 3).alias(c) if c.endswith("_sum") else F.col(c) for c in t.columns[4:]])
+    """The stored trees of rows that arrived within a day, then corrected by those that came later.
+
+    A late copy of a row that came in time is a re-delivery and corrects nothing.
+    """
+    once = cut(rolling.first_deliveries(_calls(spark, d), "source", "Date", MEASURES, CONTENT, "loaded_at"))
+    late = F.coalesce(F.col("loaded_at") > F.col("Date") + F.expr("interval 1 day"), F.lit(False))
+    base, delta = (rolling.tree_rows(rolling.daily_leaves(once.where(c), "source", "Date", MEASURES), "source", MEASURES) for c in (~late, late))
+    path = scratch(spark)
+    rolling.store_trees(base, path, "source")
+    rolling.correct_store(spark, path, delta, "source", MEASURES)
+    return _flat(rolling.stored_trees(spark, path, "source", MEASURES))
 
 
 QUERIES = {
@@ -113,8 +128,9 @@ _CALLS = f"""calls as (select call_id, {_S} source, {_T} target, "Date" ts, {sql
     {sql_amount('"duration"')} duration, "some" s1, "rate" r1 from dynamobi where "Class" = 1)"""
 
 _TREE = f"""with {_CALLS},
+once as (select distinct source, target, ts, calls, duration, s1, r1 from calls where source is not null and ts is not null),
 leaf as (select source, datediff('day', date '1970-01-01', cast(ts as date)) dy, count(*) n, coalesce(sum(calls), 0) cs,
-    count(calls) cn, coalesce(sum(duration), 0) ds, count(duration) dn from calls where source is not null and ts is not null group by all),
+    count(calls) cn, coalesce(sum(duration), 0) ds, count(duration) dn from once group by all),
 lv as (select unnest(range(0, {rolling.LEVELS} + 1)) level)
 select source, cast(dy // {rolling.SHARD} as int) shard, cast(level as int) as level, cast((dy % {rolling.SHARD}) // cast(pow(2, level) as int) as int) pos,
     cast(sum(n) as bigint) n_rows, round(sum(cs), 3) calls_sum, cast(sum(cn) as bigint) calls_n,

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import sys
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,21 +28,30 @@ def build_session(app: str = "edgeloom", cores: int = 8, **conf: str) -> SparkSe
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the folder the cluster names in spark.checkpoint.dir; make one only in local mode without it."""
+    """Use the folder the cluster names in spark.checkpoint.dir; make one only in local mode without it.
+
+    The folder comes back as a full path of its file system, whatever the session's default file system is.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    if named:
-        sc.setCheckpointDir(named)
-        return named
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="edgeloom-ckpt-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    sc.setCheckpointDir(made)
-    return made
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="edgeloom-ckpt-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+        named = f"file://{named}"
+    sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted by ``clean``."""
+    path = f"{ensure_checkpoint_dir(spark)}/edgeloom-{uuid.uuid4().hex}"
+    _written[path] = spark.sparkContext
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -49,41 +60,41 @@ def cut(df: DataFrame) -> DataFrame:
     A lost executor costs no recomputation of what came before. Unlike checkpoint(), a written table is computed once, not
     twice, and the planner knows its size; columns that are not needed later are not read.
     """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/edgeloom-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    _written.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
 
 
-_written: list[str] = []
-
+_written: dict[str, SparkContext] = {}
 
-def _delete(path: str) -> None:
-    from pyspark import SparkContext
 
-    try:
-        if path.startswith("/") or path.startswith("file:"):
-            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
-        elif (jvm := SparkContext._jvm) is not None:
-            hp = jvm.org.apache.hadoop.fs.Path(path)
-            hp.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(hp, True)
-    except Exception:  # noqa: BLE001  the folder's owner may have removed it
-        pass
+def _delete(path: str, sc: SparkContext) -> None:
+    """Delete with the session's own file system settings. A context that has stopped cannot: its folder keeps the table."""
+    if sc._jsc is None:
+        return
+    hp = sc._jvm.org.apache.hadoop.fs.Path(path)
+    hp.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hp, True)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table of ``cut`` that nothing reads any more, such as the round before the last of a loop."""
-    path = getattr(df, "_written_at", None) if "_written_at" in vars(df) else None
-    if path in _written:
-        _written.remove(path)
-        _delete(path)
+def discard(*frames: DataFrame | None) -> None:
+    """Delete tables of ``cut`` that nothing reads any more, such as the round before the last of a loop. Other frames stay."""
+    for df in frames:
+        path = vars(df).get("_written_at") if df is not None else None
+        if path in _written:
+            _delete(path, _written.pop(path))
 
 
-@atexit.register
 def clean() -> None:
     """Delete all tables that ``cut`` has written; results that read them must be stored before. Runs at exit."""
     while _written:
-        _delete(_written.pop())
+        _delete(*_written.popitem())
+
+
+@atexit.register
+def _clean_at_exit() -> None:
+    try:
+        clean()
+    except Exception as e:  # noqa: BLE001  at exit the gateway may be gone: say what is left behind
+        print(f"edgeloom: intermediate tables were not deleted: {e}", file=sys.stderr)
