@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.functions.hashing import key_hash
-from edgeloom.session import cut
+from edgeloom.session import cut, cut_counted
+
+
+BUCKETS = 4096  # counts of a pass that narrows a boundary
+SMALL = 100_000  # rows at a boundary that are put in order by one heap per task
 
 
 def global_rank(df: DataFrame, by: Sequence[str | Column], name: str = "rn") -> DataFrame:
@@ -16,7 +20,8 @@ def global_rank(df: DataFrame, by: Sequence[str | Column], name: str = "rn") ->
 
     Range-partitioned sort, then each partition's start from the row counts of those before it: a few numbers per
     partition, instead of a window without partitions that pulls all rows into one task. The order should be total;
-    rows that tie get ranks in an arbitrary but stable order. Nulls sort first. Empty input gives no rows.
+    rows that tie get ranks in an arbitrary but stable order. Nulls sort first. Empty input gives no rows. The rows are
+    read twice, by the sampling of range bounds and by the sort: ``cut`` them first where they are costly.
     """
     spark = df.sparkSession
     keys = [F.col(c) if isinstance(c, str) else c for c in by]
@@ -34,19 +39,81 @@ def global_rank(df: DataFrame, by: Sequence[str | Column], name: str = "rn") ->
     return out.withColumn(name, F.col("__start") + mask + 1).drop("__p", "__start", pos)
 
 
-def prefix(df: DataFrame, by: Sequence[str | Column], n: int) -> DataFrame:
-    """The first n rows in the order of ``by``."""
-    return global_rank(df, by, "__rn").where(F.col("__rn") <= n).drop("__rn")
+def among_first(df: DataFrame, value: Column, by: Sequence[str | Column], n: int) -> Column:
+    """A condition on ``df`` that holds for its first ``n`` rows in the order of ``value`` (BIGINT, never null), then ``by``.
+
+    No row is sorted or moved: rows are counted per bucket of values, then per bucket of the boundary bucket, until few
+    are left there (or one value), and only those are put in order to find the boundary row. At most 4096 counts a pass
+    reach the driver. Rows that tie with the n-th in everything are all in. ``df`` is read a few times, two columns or so
+    of it: ``cut`` it first where it is costly.
+    """
+    if n <= 0:
+        return F.lit(False)
+    keys = [F.col(c) if isinstance(c, str) else c for c in by]
+    v = df.select(value.alias("v"))
+    lo, hi = v.agg(F.min("v"), F.max("v")).first()
+    if lo is None:
+        return F.lit(True)
+    before = 0
+    while True:
+        width = (hi - lo) // BUCKETS + 1
+        per = v.where(F.col("v").between(lo, hi)).groupBy(F.expr(f"(v - {lo}L) div {width}L").alias("b")).count().collect()
+        for b, rows in sorted((r[0], r[1]) for r in per):  # noqa: B007
+            if before + rows >= n:
+                break
+            before += rows
+        else:
+            return F.lit(True)
+        lo, hi = lo + b * width, min(hi, lo + (b + 1) * width - 1)
+        if before + rows == n:
+            return value <= F.lit(hi)
+        if rows <= SMALL or lo == hi:
+            break
+    named = [value.alias("__v"), *[k.alias(f"__k{i}") for i, k in enumerate(keys)]]
+    edge = df.where(value.between(lo, hi)).select(*named)
+    names = edge.columns
+    if rows <= SMALL:
+        last = edge.orderBy(*names).limit(n - before).agg(F.max(F.struct(*names)).alias("m")).first()["m"]
+    else:
+        last = global_rank(edge, names, "__rn").where(F.col("__rn") == n - before).select(F.struct(*names).alias("m")).first()["m"]
+    bound = F.struct(*[F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(last, edge.schema.fields, strict=True)])
+    return F.struct(*named) <= bound
+
+
+def prefix(df: DataFrame, by: Sequence[str | Column], n: int, value: Column | None = None) -> DataFrame:
+    """The first n rows in the order of ``by``, by ``value`` before it where one is given (see ``among_first``)."""
+    df = cut(df)
+    if value is None:
+        return global_rank(df, by, "__rn").where(F.col("__rn") <= n).drop("__rn")
+    return df.where(among_first(df, value, by, n))
 
 
-def fraction_split(df: DataFrame, by: Sequence[str | Column], share: float, cap: int | None = None, name: str = "part") -> DataFrame:
-    """Label the first floor(n * share) rows 'train', the rest 'test'; ``cap`` keeps only that many test rows."""
-    ranked = global_rank(df, by, "__rn")
-    n = ranked.count()
+def fraction_split(df: DataFrame, by: Sequence[str | Column], share: float, cap: int | None = None, name: str = "part", value: Column | None = None) -> DataFrame:
+    """Label the first floor(n * share) rows 'train', the rest 'test'; ``cap`` keeps only that many test rows.
+
+    ``value`` as in ``prefix``; without it all rows are ranked.
+    """
+    df, (n,) = cut_counted(df)
     at = int(n * share)
-    if cap is not None:
-        ranked = ranked.where(F.col("__rn") <= at + cap)
-    return ranked.withColumn(name, F.when(F.col("__rn") <= at, "train").otherwise("test")).drop("__rn")
+    if value is None:
+        df = global_rank(df, by, "__rn")
+        first = lambda k: F.col("__rn") <= k
+    else:
+        first = lambda k: F.lit(True) if k >= n else among_first(df, value, by, k)
+    kept = df if cap is None else df.where(first(at + cap))
+    return kept.withColumn(name, F.when(first(at), "train").otherwise("test")).drop("__rn")
+
+
+def by_hash(seed: int, *keys: str) -> dict:
+    """Arguments ``by`` and ``value`` of a seeded random order."""
+    return {"by": shuffled(seed, *keys), "value": F.conv(F.substring(key_hash(seed, *keys), 1, 13), 16, 10).cast("bigint")}
+
+
+def by_time(ts: str, *keys: str) -> dict:
+    """Arguments ``by`` and ``value`` of an order by moment, nulls last, then by ``keys``; counted by seconds."""
+    c = F.col(ts)
+    seconds = F.unix_date(c.cast("date")).cast("bigint") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    return {"by": [c, *[F.col(k) for k in keys]], "value": F.coalesce(seconds, F.lit(1 << 40))}
 
 
 def shuffled(seed: int, *keys: str) -> list[Column]:

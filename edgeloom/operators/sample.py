@@ -15,12 +15,12 @@ from edgeloom.session import cut
 
 def sample_time(edges: DataFrame, size: int) -> DataFrame:
     """The first ``size`` edges by (Date, Source, Target); null dates last."""
-    return order.prefix(edges, [F.col("Date").isNull(), "Date", *KEY], size)
+    return order.prefix(edges, n=size, **order.by_time("Date", *KEY))
 
 
 def sample_random(edges: DataFrame, size: int, seed: int = 42) -> DataFrame:
     """``size`` edges in the order of a seeded hash."""
-    return order.prefix(edges, order.shuffled(seed, *KEY), size)
+    return order.prefix(edges, n=size, **order.by_hash(seed, *KEY))
 
 
 def sample_node(edges: DataFrame, size: int, seed: int = 42, batch: int = 1000) -> DataFrame:

@@ -11,6 +11,7 @@ from edgeloom.functions.ids import id_text, sql_id_text
 from edgeloom.operators import graph, model, order, report, sample, split
 from edgeloom.plans import graphs as g
 from edgeloom.plans.graphs import KEY, sql_degrees, sql_nodes, with_
+from edgeloom.session import cut
 from edgeloom.sources import edges as src
 from edgeloom.sources import generators
 from edgeloom.sources.tables import load
@@ -35,7 +36,7 @@ def src_edges_date_join(spark: SparkSession, d: str) -> DataFrame:
 
 def src_edges_social(spark: SparkSession, d: str) -> DataFrame:
     """Dateless edges in a seeded random order, kept as a rank."""
-    e = src.social_edges(load(spark, d, "youtube_growth"))
+    e = cut(src.social_edges(load(spark, d, "youtube_growth")))
     return order.global_rank(e, order.shuffled(SEED, *KEY))
 
 
@@ -70,21 +71,21 @@ def time_split_day(spark: SparkSession, d: str) -> DataFrame:
 def prefix_split(spark: SparkSession, d: str) -> DataFrame:
     """First quarter of the growth edges by date as train, the rest as test."""
     e = g.growth(spark, d)
-    return order.fraction_split(e, [F.col("Date").isNull(), "Date", *KEY], 0.25)
+    return order.fraction_split(e, share=0.25, **order.by_time("Date", *KEY))
 
 
 def fraction_split(spark: SparkSession, d: str) -> DataFrame:
-    return order.fraction_split(g.calls(spark, d), order.shuffled(SEED, *KEY), 0.25)
+    return order.fraction_split(g.calls(spark, d), share=0.25, **order.by_hash(SEED, *KEY))
 
 
 def capped_split(spark: SparkSession, d: str) -> DataFrame:
     """Like fraction_split, with the test part capped at 500,000 rows after the train prefix."""
-    return order.fraction_split(g.growth(spark, d), order.shuffled(SEED, *KEY), 0.25, cap=500_000)
+    return order.fraction_split(g.growth(spark, d), share=0.25, cap=500_000, **order.by_hash(SEED, *KEY))
 
 
 def train_test_split(spark: SparkSession, d: str) -> DataFrame:
     """Three quarters by date as train; of the rest the predictable edges."""
-    e = order.fraction_split(g.growth(spark, d), [F.col("Date").isNull(), "Date", *KEY], 0.75)
+    e = cut(order.fraction_split(g.growth(spark, d), share=0.75, **order.by_time("Date", *KEY)))  # read three times
     train = e.where("part = 'train'")
     return train.unionByName(split.filter_test(train, e.where("part = 'test'")))
 
@@ -104,12 +105,12 @@ def top_targets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sample_time(spark: SparkSession, d: str) -> DataFrame:
-    e = g.calls(spark, d)
+    e = cut(g.calls(spark, d))
     return sample.sample_time(e, _size(e, 0.25))
 
 
 def sample_random(spark: SparkSession, d: str) -> DataFrame:
-    e = g.calls(spark, d)
+    e = cut(g.calls(spark, d))
     return sample.sample_random(e, _size(e, 0.25), SEED)
 
 
@@ -266,7 +267,7 @@ ORACLE = {
     "prefix_split": with_("yt", more=_ranked("yt", f'"Date" nulls last, {_KS}')) + """select "Date", "Source", "Target", "Class", case when rn <= floor(n * 0.25) then 'train' else 'test' end part from r""",
     "fraction_split": with_("calls", more=_ranked("calls", f"{_H}, {_KS}")) + """select "Date", "Source", "Target", "Class", case when rn <= floor(n * 0.25) then 'train' else 'test' end part from r""",
     "capped_split": with_("yt", more=_ranked("yt", f"{_H}, {_KS}")) + """select "Date", "Source", "Target", "Class", case when rn <= floor(n * 0.25) then 'train' else 'test' end part from r
-        where rn <= floor(n * 0.25) + 500""",
+        where rn <= floor(n * 0.25) + 500000""",
     "train_test_split": with_("yt", more=_ranked("yt", f'"Date" nulls last, {_KS}')) + f"""select "Date", "Source", "Target", "Class", part from
         (select *, case when rn <= floor(n * 0.75) then 'train' else 'test' end part from r) q where part = 'train' or
         ("Source" in (select node from {sql_nodes('(select * from r where rn <= floor(n * 0.75))')}) and "Target" in (select node from {sql_nodes('(select * from r where rn <= floor(n * 0.75))')}))""",

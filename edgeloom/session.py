@@ -9,7 +9,8 @@ import tempfile
 import uuid
 
 from pyspark import SparkContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "edgeloom", cores: int = 8, **conf: str) -> SparkSession:
@@ -60,11 +61,19 @@ def cut(df: DataFrame) -> DataFrame:
     A lost executor costs no recomputation of what came before. Unlike checkpoint(), a written table is computed once, not
     twice, and the planner knows its size; columns that are not needed later are not read.
     """
+    return cut_counted(df)[0]
+
+
+def cut_counted(df: DataFrame, *more: Column) -> tuple[DataFrame, tuple]:
+    """``cut``, and the row count and further aggregates of the same rows, taken while they are written."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    seen = Observation()
+    watched = [F.count(F.lit(1)).alias("m0"), *[m.alias(f"m{i + 1}") for i, m in enumerate(more)]]
+    df.observe(seen, *watched).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
-    return out
+    got = seen.get
+    return out, tuple(got[f"m{i}"] for i in range(len(watched)))
 
 
 _written: dict[str, SparkContext] = {}
