@@ -5,23 +5,54 @@ Edges are a set: copies collapse first, self-loops stay. Nodes are the endpoints
 
 from __future__ import annotations
 
+from functools import cached_property
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.functions.hashing import key_hash
 from edgeloom.operators.fixpoint import until_stable
 from edgeloom.operators.split import induced, nodes
-from edgeloom.session import cut, discard
+from edgeloom.session import cut, cut_counted, discard
+
+
+class Graph:
+    """A graph that is read several times: its distinct edges, and once asked for its degrees, written down once."""
+
+    def __init__(self, edges: DataFrame) -> None:
+        self.edges = cut(edges.where("Source is not null and Target is not null").select("Source", "Target").distinct())
+
+    @cached_property
+    def degrees(self) -> DataFrame:
+        return cut(_degrees(self.edges))
+
+
+Edges = DataFrame | Graph
+
+
+def as_graph(edges: Edges) -> Graph:
+    return edges if isinstance(edges, Graph) else Graph(edges)
 
 
-def digraph(edges: DataFrame) -> DataFrame:
+def digraph(edges: Edges) -> DataFrame:
     """Distinct (Source, Target)."""
+    if isinstance(edges, Graph):
+        return edges.edges
     return edges.where("Source is not null and Target is not null").select("Source", "Target").distinct()
 
 
-def degrees(edges: DataFrame) -> DataFrame:
+def node_set(edges: Edges) -> DataFrame:
+    """(node): distinct endpoints."""
+    return edges.degrees.select("node") if isinstance(edges, Graph) else nodes(digraph(edges))
+
+
+def degrees(edges: Edges) -> DataFrame:
     """(node, in_degree, out_degree, degree): a self-loop counts on both sides. One shuffle, combined before it."""
-    e = digraph(edges)
+    return edges.degrees if isinstance(edges, Graph) else _degrees(digraph(edges))
+
+
+def _degrees(e: DataFrame) -> DataFrame:
     ends = F.explode(
         F.array(
             F.struct(F.col("Source").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")),
@@ -33,7 +64,7 @@ def degrees(edges: DataFrame) -> DataFrame:
     return d.withColumn("degree", F.col("in_degree") + F.col("out_degree"))
 
 
-def graph_info(edges: DataFrame) -> DataFrame:
+def graph_info(edges: Edges) -> DataFrame:
     """(nodes, edges, avg_in_degree, avg_out_degree) in one row."""
     d = degrees(edges)
     return d.agg(
@@ -42,42 +73,45 @@ def graph_info(edges: DataFrame) -> DataFrame:
     )
 
 
-def degree_histogram(edges: DataFrame, which: str = "degree") -> DataFrame:
+def degree_histogram(edges: Edges, which: str = "degree") -> DataFrame:
     return degrees(edges).groupBy(F.col(which).alias("degree")).agg(F.count(F.lit(1)).alias("nodes"))
 
 
-def undirected(edges: DataFrame) -> DataFrame:
+def undirected(edges: Edges) -> DataFrame:
     """(a, b, w), a < b: linked pairs without self-loops; w = 2 when both directions exist."""
     e = digraph(edges).where("Source <> Target")
     return e.groupBy(F.least("Source", "Target").alias("a"), F.greatest("Source", "Target").alias("b")).agg(F.count(F.lit(1)).alias("w"))
 
 
-def weak_components(edges: DataFrame) -> DataFrame:
+def weak_components(edges: Edges) -> DataFrame:
     """(node, component): the smallest id of the weak component.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014). Minima are taken by partial aggregation and
-    joined back, so no neighbourhood is collected; a hub's side of the join is split by adaptive execution.
+    Randomised contraction (Boegeholz, Brand and Todor, 2020): in a round every node joins the node of the smallest hash
+    among itself and its neighbours, edges are carried over to those, and what is left shrinks by a factor, whatever
+    the diameter. Minima are combined before the shuffle, so a hub's neighbours never meet in one task.
     """
-    both = edges.where("Source is not null and Target is not null").select(F.least("Source", "Target").alias("v"), F.greatest("Source", "Target").alias("u")).distinct()
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        # e: (u, v) with u > v
-        if large:
-            arcs = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        else:
-            arcs = e.select("u", "v")
-        m = arcs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        j = arcs.join(m, "u")
-        if large:
-            out = j.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            out = j.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v")))
-        return out.where("u > v").distinct()
-
-    pairs = both.where("u > v").select("u", "v")
-    stars = until_stable(pairs, lambda e: star(star(e, True), False))
-    roots = nodes(edges.where("Source is not null and Target is not null"))
-    return roots.join(stars.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
+    g = as_graph(edges)
+    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    live, (left,) = cut_counted(g.edges.where("Source <> Target").select(*pair("Source", "Target")).distinct())
+    joined: list[DataFrame] = []
+    while left:
+        ranked = lambda c, r=len(joined): F.struct(F.xxhash64(F.lit(r), F.col(c)), F.col(c).alias("id"))
+        both = live.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(live.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        best = both.groupBy("node").agg(F.min(ranked("other")).alias("m"))
+        into = cut(best.select("node", F.least(F.col("m"), ranked("node"))["id"].alias("into")))
+        joined.append(into)
+        moved = live.join(into.toDF("a", "ia"), "a").join(into.toDF("b", "ib"), "b").where("ia <> ib").select(*pair("ia", "ib")).distinct()
+        before = live
+        live, (left,) = cut_counted(moved)
+        discard(before)
+    if not joined:
+        return node_set(g).select("node", F.col("node").alias("component"))
+    root = joined[-1].toDF("node", "root")
+    for into in reversed(joined[:-1]):
+        root = cut(into.join(root.toDF("into", "root"), "into", "left").select("node", F.coalesce("root", "into").alias("root")))
+    name = root.groupBy("root").agg(F.min("node").alias("component"))
+    got = root.join(name, "root").select("node", "component")
+    return node_set(g).join(got, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def component_stats(components: DataFrame) -> DataFrame:
@@ -99,24 +133,23 @@ def largest_wcc_edges(edges: DataFrame) -> DataFrame:
     return induced(edges, largest_component(weak_components(edges)))
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def strong_components(edges: Edges) -> DataFrame:
     """(node, component): the smallest id of the strong component.
 
     Edges that start at a node without predecessors or end at one without successors lie on no cycle and are trimmed,
-    round by round. In what is left every node takes the smallest id that reaches it (its colour); within a colour, what
+    round by round while that takes away a fifth of them. In what is left every node takes the smallest id that reaches it (its colour); within a colour, what
     reaches the colour's node is its component. All colours finish together; the rest goes round again.
     """
-    e = cut(digraph(edges))
-    every = nodes(e)
-    e = cut(e.where("Source <> Target"))
-    n = e.count()
+    g = as_graph(edges)
+    every = node_set(g)
+    e, (n,) = cut_counted(g.edges.where("Source <> Target"))
     settled: DataFrame | None = None
     while n:
         heads, tails = e.select("Target").toDF("Source").distinct(), e.select("Source").toDF("Target").distinct()
-        trimmed = cut(e.join(heads, "Source", "left_semi").join(tails, "Target", "left_semi").select("Source", "Target"))
-        m = trimmed.count()
-        e, n, stable = trimmed, m, m == n
-        if not stable or not m:
+        trimmed, (m,) = cut_counted(e.join(heads, "Source", "left_semi").join(tails, "Target", "left_semi").select("Source", "Target"))
+        discard(e)
+        e, n, worthwhile = trimmed, m, m < 0.8 * n
+        if worthwhile or not m:
             continue
 
         def spread(c: DataFrame, e: DataFrame = e) -> DataFrame:
@@ -134,20 +167,22 @@ def strong_components(edges: DataFrame) -> DataFrame:
         found = cut(colour.join(reached, "node", "left_semi").select("node", F.col("colour").alias("component")))
         settled = found if settled is None else settled.unionByName(found)
         gone = found.select("node")
-        e = cut(e.join(gone.toDF("Source"), "Source", "left_anti").join(gone.toDF("Target"), "Target", "left_anti").select("Source", "Target"))
-        n = e.count()
+        before = e
+        e, (n,) = cut_counted(e.join(gone.toDF("Source"), "Source", "left_anti").join(gone.toDF("Target"), "Target", "left_anti").select("Source", "Target"))
+        discard(before, same, reached, colour)
     if settled is None:
         return every.select("node", F.col("node").alias("component"))
     return every.join(settled, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def clustering(edges: DataFrame) -> DataFrame:
+def clustering(edges: Edges) -> DataFrame:
     """(node, clustering): directed coefficient (Fagiolo, 2007), self-loops left out, 0 where there is no triangle.
 
     Each undirected triangle is found once from its corner of lowest degree, so a hub never expands its neighbours;
     the two directions of a link enter as its weight.
     """
-    und = cut(undirected(edges))
+    g = as_graph(edges)
+    und = cut(undirected(g))
     deg = und.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("k"))
     da, db = deg.toDF("a", "ka"), deg.toDF("b", "kb")
     low_first = (F.col("ka") < F.col("kb")) | ((F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")))
@@ -159,62 +194,70 @@ def clustering(edges: DataFrame) -> DataFrame:
     tri = wedges.join(close, ["u", "v"]).select(F.explode(F.array("x", "u", "v")).alias("node"), (F.lit(2) * F.col("w1") * F.col("w2") * F.col("w3")).alias("t"))
     t = tri.groupBy("node").agg(F.sum("t").alias("t"))
     half = und.select(F.explode(F.array("a", "b")).alias("node"), "w").groupBy("node").agg(F.sum("w").alias("d"), F.count(F.when(F.col("w") == 2, 1)).alias("r"))
-    base = nodes(digraph(edges)).join(half, "node", "left").join(t, "node", "left")
+    base = node_set(g).join(half, "node", "left").join(t, "node", "left")
     down = F.lit(2.0) * (F.col("d") * (F.col("d") - 1) - F.lit(2) * F.col("r"))
     return base.select("node", F.when(F.coalesce("t", F.lit(0)) > 0, F.col("t") / down).otherwise(F.lit(0.0)).alias("clustering"))
 
 
-def average_neighbor_degree(edges: DataFrame) -> DataFrame:
+def average_neighbor_degree(edges: Edges) -> DataFrame:
     """(node, avg_neighbor_degree): mean out-degree of the successors, 0 without any."""
-    e = digraph(edges)
+    g = as_graph(edges)
+    e = g.edges
     out = e.groupBy(F.col("Source").alias("Target")).agg(F.count(F.lit(1)).alias("k"))
     per = e.join(out, "Target", "left").groupBy(F.col("Source").alias("node")).agg(F.avg(F.coalesce("k", F.lit(0))).alias("avg_neighbor_degree"))
-    return nodes(e).join(per, "node", "left").fillna(0.0, ["avg_neighbor_degree"])
+    return node_set(g).join(per, "node", "left").fillna(0.0, ["avg_neighbor_degree"])
 
 
-def katz(edges: DataFrame, alpha: float = 0.1, beta: float = 1.0, iterations: int | None = None, tol: float = 1e-6, max_iter: int = 1000) -> DataFrame:
+def katz(edges: Edges, alpha: float = 0.1, beta: float = 1.0, iterations: int | None = None, tol: float = 1e-6, max_iter: int = 1000) -> DataFrame:
     """(node, katz): x <- alpha * A'x + beta, L2-normalised (Katz, 1953).
 
     Runs ``iterations`` rounds, or until the L1 change is below tol * nodes; raises RuntimeError when that does not
     happen within ``max_iter`` rounds or values overflow, as alpha must be below 1 / largest eigenvalue.
     """
-    e = cut(digraph(edges))
-    n_df = cut(nodes(e))
-    n = n_df.count()
+    g = as_graph(edges)
+    n_df, (n,) = cut_counted(node_set(g))
+    # kept by Source over the rounds, so that a round moves the vector and its sums, not the edges; a lost part is read again
+    e = g.edges.repartition(_partitions(g.edges), "Source").persist(StorageLevel.DISK_ONLY)
     x, before = n_df.withColumn("x", F.lit(0.0)), None
     for i in range(iterations if iterations is not None else max_iter):
         got = e.join(x, e.Source == x.node).groupBy(F.col("Target").alias("node")).agg(F.sum("x").alias("s"))
         new = x.withColumnRenamed("x", "old").join(got, "node", "left") if iterations is None else n_df.join(got, "node", "left")
         new = new.withColumn("x", F.lit(alpha) * F.coalesce("s", F.lit(0.0)) + F.lit(beta)).drop("s")
+        change = None
         if iterations is None or i % 4 == 3 or i == iterations - 1:
             # the plan must not grow with the rounds
-            new = cut(new)
-            if before is not None:
-                discard(before)
+            diff = [F.sum(F.abs(F.col("x") - F.col("old")))] if iterations is None else []
+            new, (_, *change) = cut_counted(new, *diff)
+            discard(before)
             before = new
+        x = new.select("node", "x")
         if iterations is None:
-            change = new.agg(F.sum(F.abs(F.col("x") - F.col("old")))).first()[0]
-            if change is None or change < tol * n:
-                x = new.select("node", "x")
+            if change[0] is None or change[0] < tol * n:
                 break
-            if change > 1e100:
+            if change[0] > 1e100:
+                e.unpersist()
                 raise RuntimeError("katz diverges: alpha is not below 1 / largest eigenvalue")
-        x = new.select("node", "x")
     else:
         if iterations is None:
+            e.unpersist()
             raise RuntimeError(f"katz did not converge in {max_iter} rounds")
+    e.unpersist()
     norm = x.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     return x.join(F.broadcast(norm)).select("node", (F.col("x") / F.col("norm")).alias("katz"))  # one row
 
 
-def bfs_counts(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, reverse: bool = False) -> DataFrame:
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bfs_counts(edges: Edges, roots: DataFrame, max_depth: int | None = None, reverse: bool = False) -> DataFrame:
     """(root, node, dist, paths): shortest distances from each root and the number of shortest paths, level by level.
 
     ``roots`` is (root); the root itself has distance 0 and one path. ``reverse`` follows edges backwards. The result has
     a row per reachable pair: bound the roots or the depth on large graphs.
     """
-    e = digraph(edges)
-    e = cut(e.select(F.col("Target").alias("f"), F.col("Source").alias("t")) if reverse else e.toDF("f", "t"))
+    e = as_graph(edges).edges
+    e = e.select(F.col("Target").alias("f"), F.col("Source").alias("t")) if reverse else e.toDF("f", "t")
     seen = cut(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("dist"), F.lit(1).cast("bigint").alias("paths")).distinct())
     front, depth = seen, 0
     while max_depth is None or depth < max_depth:
@@ -229,20 +272,20 @@ def bfs_counts(edges: DataFrame, roots: DataFrame, max_depth: int | None = None,
     return seen
 
 
-def betweenness(edges: DataFrame, k: int | None = 10, seed: int = 42) -> DataFrame:
+def betweenness(edges: Edges, k: int | None = 10, seed: int = 42) -> DataFrame:
     """(node, betweenness) from k hashed pivots (Brandes, 2001), or from all nodes with k None.
 
     Directed, endpoints left out, scaled by 1 / ((n - 1)(n - 2)) and by n / k.
     """
-    e = cut(digraph(edges))
-    every = cut(nodes(e))
-    n = every.count()
+    g = as_graph(edges)
+    e = g.edges
+    every, (n,) = cut_counted(node_set(g))
     roots = every.toDF("root")
     if k is not None and k < n:
         roots = roots.orderBy(key_hash(seed, "root"), "root").limit(k)
     roots = cut(roots)
-    b = cut(bfs_counts(e, roots))
-    depth = b.agg(F.max("dist")).first()[0] or 0
+    b, (_, depth) = cut_counted(bfs_counts(g, roots), F.max("dist"))
+    depth = depth or 0
     # dependency of level d from level d + 1
     delta = cut(b.where(F.col("dist") == depth).select("root", "node", F.lit(0.0).alias("delta")))
     total = delta
@@ -263,22 +306,23 @@ def betweenness(edges: DataFrame, k: int | None = 10, seed: int = 42) -> DataFra
     return every.join(got, "node", "left").fillna(0.0, ["betweenness"])
 
 
-def closeness(edges: DataFrame) -> DataFrame:
+def closeness(edges: Edges) -> DataFrame:
     """(node, closeness): inward distances, scaled by the share of nodes that reach it (Wasserman and Faust).
 
     All pairs by nature; meant for graphs whose reachable pairs fit the cluster.
     """
-    every = cut(nodes(digraph(edges)))
-    n = every.count()
-    b = bfs_counts(edges, every.toDF("root"), reverse=True)
+    g = as_graph(edges)
+    every, (n,) = cut_counted(node_set(g))
+    b = bfs_counts(g, every.toDF("root"), reverse=True)
     s = b.groupBy(F.col("root").alias("node")).agg((F.count(F.lit(1)) - 1).alias("r"), F.sum("dist").alias("d"))
     c = F.when((F.col("d") > 0) & F.lit(n > 1), F.col("r") / F.col("d") * F.col("r") / F.lit(max(1, n - 1))).otherwise(F.lit(0.0))
     return s.select("node", c.alias("closeness"))
 
 
-def reachable_count(edges: DataFrame) -> DataFrame:
+def reachable_count(edges: Edges) -> DataFrame:
     """(node, reachable): how many other nodes can be reached from each."""
-    b = bfs_counts(edges, nodes(digraph(edges)).toDF("root"))
+    g = as_graph(edges)
+    b = bfs_counts(g, node_set(g).toDF("root"))
     return b.groupBy(F.col("root").alias("node")).agg((F.count(F.lit(1)) - 1).alias("reachable"))
 
 

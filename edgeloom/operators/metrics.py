@@ -17,8 +17,9 @@ def _summary(name: str, column: str) -> list:
     ]
 
 
-def degree_metrics(edges: DataFrame) -> DataFrame:
+def degree_metrics(edges: graph.Edges) -> DataFrame:
     """One row: nodes, edges, and summaries of in-degree, out-degree, clustering and neighbour degree."""
+    edges = graph.as_graph(edges)
     v = graph.degrees(edges).join(graph.clustering(edges), "node").join(graph.average_neighbor_degree(edges), "node")
     return v.agg(
         F.count(F.lit(1)).alias("nodes"), F.coalesce(F.sum("out_degree"), F.lit(0)).alias("edges"),
@@ -27,9 +28,9 @@ def degree_metrics(edges: DataFrame) -> DataFrame:
     )
 
 
-def graph_metrics(edges: DataFrame, centralities: bool = False, pivots: int = 10) -> DataFrame:
+def graph_metrics(edges: graph.Edges, centralities: bool = False, pivots: int = 10) -> DataFrame:
     """``degree_metrics`` with strong and weak component sizes; optionally betweenness and closeness summaries."""
-    edges = cut(graph.digraph(edges))
+    edges = graph.as_graph(edges)
     out = degree_metrics(edges)
     for name, comp in (("scc", graph.strong_components(edges)), ("wcc", graph.weak_components(edges))):
         size = cut(comp).groupBy("component").agg(F.count(F.lit(1)).alias("n"))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from edgeloom.operators import graph
 from edgeloom.operators.split import KEY
+from edgeloom.session import written
 
 
-def common_successors(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def common_successors(edges: graph.Edges, pairs: DataFrame) -> DataFrame:
     """(Source, Target, common, adamic_adar) of the distinct pairs that share a successor.
 
     Each pair expands its endpoint with fewer successors and looks the other endpoint's edge up by an equality join,
@@ -30,13 +31,14 @@ def common_successors(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.join(weight, "v").groupBy(*KEY).agg(F.count(F.lit(1)).alias("common"), F.sum("aa").alias("adamic_adar"))
 
 
-def pair_features(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def pair_features(edges: graph.Edges, pairs: DataFrame) -> DataFrame:
     """``pairs`` with degrees of both ends, common successors and all similarities; nodes outside the graph count 0.
 
     Added columns: in_i, out_i, in_j, out_j, common, adamic_adar, jaccard, pref_attach, volume, friends. Copies of a
     pair stay; every pair column passes through. friends is 1 / (deg i + deg j - 1) rounded to 3 digits, null when that is
     1 / 0 or the nodes are unknown.
     """
+    edges, pairs = graph.as_graph(edges), written(pairs)
     deg = graph.degrees(edges).select("node", "in_degree", "out_degree")
     cs = common_successors(edges, pairs)
     j = pairs.join(deg.toDF("Source", "in_i", "out_i"), "Source", "left").join(deg.toDF("Target", "in_j", "out_j"), "Target", "left").join(cs, KEY, "left")
@@ -54,7 +56,7 @@ def pair_features(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 SIMILARITIES = {"common_neighbors": "common", "jaccard": "jaccard", "adamic_adar": "adamic_adar", "preferential_attachment": "pref_attach", "friendtns": "friends"}
 
 
-def similarity(edges: DataFrame, pairs: DataFrame, method: str) -> DataFrame:
+def similarity(edges: graph.Edges, pairs: DataFrame, method: str) -> DataFrame:
     """(Source, Target, score) by name; unused features are pruned from the plan. Unknown names raise ValueError."""
     if method not in SIMILARITIES:
         raise ValueError(f"unknown similarity {method!r}")
@@ -67,8 +69,9 @@ HEURISTICS = (
 )
 
 
-def heuristics(edges: DataFrame, pairs: DataFrame, label: str = "Class", with_katz: bool = True, **katz_args) -> DataFrame:
+def heuristics(edges: graph.Edges, pairs: DataFrame, label: str = "Class", with_katz: bool = True, **katz_args) -> DataFrame:
     """The 11 heuristic features (10 without katz) of each pair, keys first, label last; nulls become 0."""
+    edges = graph.as_graph(edges)
     f = pair_features(edges, pairs.select(*KEY, label))
     f = f.select(
         *KEY, label, F.col("in_i").alias("in_degree_i_to_j"), F.col("out_i").alias("out_degree_i_to_j"), F.col("in_j").alias("in_degree_j_to_i"),
@@ -81,16 +84,17 @@ def heuristics(edges: DataFrame, pairs: DataFrame, label: str = "Class", with_ka
     return f.select(*KEY, *[h for h in HEURISTICS if h != "katz" or with_katz], label)
 
 
-def link_stats_columns(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def link_stats_columns(edges: graph.Edges, pairs: DataFrame) -> DataFrame:
     """``pairs`` with Hub (in-degree of Target) and Common (common successors) in the train graph."""
     f = pair_features(edges, pairs)
     return f.select(*[F.col(c) for c in pairs.columns], F.col("in_j").alias("Hub"), F.col("common").alias("Common"))
 
 
-def katz_pairs(edges: DataFrame, pairs: DataFrame, beta: float = 0.05) -> DataFrame:
+def katz_pairs(edges: graph.Edges, pairs: DataFrame, beta: float = 0.05) -> DataFrame:
     """(Source, Target, katz_pair): beta * paths of length 1 + beta**2 * paths of length 2 (Liben-Nowell, Kleinberg)."""
-    e = graph.digraph(edges)
-    p = pairs.select(*KEY).where("Source is not null and Target is not null").distinct()
+    edges = graph.as_graph(edges)
+    e = edges.edges
+    p = written(pairs.select(*KEY).where("Source is not null and Target is not null").distinct())
     one = p.join(e, KEY, "left_semi").withColumn("n1", F.lit(1))
     # expand the side with fewer edges: successors of Source or predecessors of Target
     deg = graph.degrees(edges)

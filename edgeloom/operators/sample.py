@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from edgeloom.functions.hashing import hash_int
 from edgeloom.operators import graph, order, walks
 from edgeloom.operators.split import KEY, nodes
-from edgeloom.session import cut
+from edgeloom.session import cut, cut_counted, discard, written
 
 
 def sample_time(edges: DataFrame, size: int) -> DataFrame:
@@ -28,8 +28,9 @@ def sample_node(edges: DataFrame, size: int, seed: int = 42, batch: int = 1000)
 
     Takes every edge when the graph has fewer than ``size``.
     """
-    e = graph.digraph(edges)
-    ranked = order.global_rank(nodes(e), order.shuffled(seed, "node"), "rn").withColumn("batch", F.floor((F.col("rn") - 1) / batch))
+    edges = written(edges)
+    e = cut(graph.digraph(edges))
+    ranked = order.global_rank(cut(nodes(e)), order.shuffled(seed, "node"), "rn").withColumn("batch", F.floor((F.col("rn") - 1) / batch))
     out = e.groupBy(F.col("Source").alias("node")).agg(F.count(F.lit(1)).alias("k"))
     ranked = cut(ranked.join(out, "node", "left").fillna(0, ["k"]))
     sums = ranked.groupBy("batch").agg(F.sum("k").alias("k"))
@@ -65,10 +66,9 @@ def sample_traverse(edges: DataFrame, size: int, method: str = "bfs", seed: int
     """
     if method not in ("bfs", "dfs"):
         raise ValueError(f"unknown traversal {method!r}")
-    e = cut(graph.digraph(edges))
-    n_edges = e.count()
-    ranked = cut(order.global_rank(nodes(e), order.shuffled(seed, "node"), "root_rank"))
-    n_nodes = ranked.count()
+    edges = written(edges)
+    e, (n_edges,) = cut_counted(graph.digraph(edges))
+    ranked, (n_nodes,) = cut_counted(order.global_rank(cut(nodes(e)), order.shuffled(seed, "node"), "root_rank"))
     roots = max(1, min(n_nodes, 2 * size * n_nodes // max(1, n_edges)))
     while True:
         r = ranked.where(F.col("root_rank") <= roots).select("root_rank", F.col("node").alias("at"))
@@ -145,7 +145,7 @@ def sample_graph(edges: DataFrame, size: int, sampling: str, seed: int = 42) ->
 
 def node_index(edges: DataFrame) -> DataFrame:
     """(node, ix): nodes in order, from 0."""
-    return order.global_rank(nodes(edges), ["node"], "ix").withColumn("ix", F.col("ix") - 1)
+    return order.global_rank(written(nodes(edges)), ["node"], "ix").withColumn("ix", F.col("ix") - 1)
 
 
 def negative_edges(train: DataFrame, draws: int, *known: DataFrame, seed: int = 42, tag: str = "") -> DataFrame:
@@ -155,10 +155,11 @@ def negative_edges(train: DataFrame, draws: int, *known: DataFrame, seed: int =
     H('s', i) mod N and H('t', i) mod N of the sorted node list.
     """
     spark = train.sparkSession
-    ix = cut(node_index(train))
-    n = ix.count()
+    train = written(train)
+    ix, (n,) = cut_counted(node_index(train))
     if not n:
-        return spark.createDataFrame([], "Date timestamp_ntz, Source string, Target string, Class int")
+        kind = train.schema["Source"].dataType.simpleString()
+        return spark.createDataFrame([], f"Date timestamp_ntz, Source {kind}, Target {kind}, Class int")
     d = spark.range(draws).select(
         F.pmod(hash_int(seed, F.lit(f"{tag}s"), "id"), F.lit(n)).alias("si"), F.pmod(hash_int(seed, F.lit(f"{tag}t"), "id"), F.lit(n)).alias("ti")
     )
@@ -171,11 +172,13 @@ def negative_edges(train: DataFrame, draws: int, *known: DataFrame, seed: int =
 
 def negative_train(train: DataFrame, test: DataFrame, seed: int = 42) -> DataFrame:
     """As many draws as train rows, positives of train and test rejected."""
+    train = written(train)
     return negative_edges(train, train.count(), train, test, seed=seed)
 
 
 def negative_test(train: DataFrame, test: DataFrame, train_negatives: DataFrame, seed: int = 42) -> DataFrame:
     """As many draws as test rows, also rejecting the train frame's negatives."""
+    train, test = written(train), written(test)
     return negative_edges(train, test.count(), train, test, train_negatives, seed=seed, tag="test-")
 
 
@@ -194,9 +197,9 @@ def negative_corrupt(edges: DataFrame, seed: int = 42) -> DataFrame:
 
     Self-pairs, repeats and existing edges are rejected.
     """
-    e = graph.digraph(edges)
-    ix = cut(node_index(e))
-    n = max(1, ix.count())
+    e = cut(graph.digraph(edges))
+    ix, (n,) = cut_counted(node_index(e))
+    n = max(1, n)
     keep_source = F.pmod(hash_int(seed, F.lit("side"), *KEY), F.lit(2)) == 0
     d = e.select(*KEY, keep_source.alias("ks"), F.pmod(hash_int(seed, F.lit("node"), *KEY), F.lit(n)).alias("ix")).join(ix, "ix")
     d = d.select(F.when(F.col("ks"), F.col("Source")).otherwise(F.col("node")).alias("Source"), F.when(F.col("ks"), F.col("node")).otherwise(F.col("Target")).alias("Target"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom.session import written
+
 KEY = ["Source", "Target"]
 
 
@@ -16,13 +18,14 @@ def nodes(edges: DataFrame) -> DataFrame:
 
 def known_nodes(test: DataFrame, train: DataFrame) -> DataFrame:
     """Test rows whose endpoints both occur in train."""
-    n = nodes(train)
+    n = written(nodes(train))
     a, b = n.withColumnRenamed("node", "Source"), n.withColumnRenamed("node", "Target")
     return test.join(a, "Source", "left_semi").join(b, "Target", "left_semi").select(*test.columns)
 
 
 def filter_test(train: DataFrame, test: DataFrame) -> DataFrame:
     """Predictable test rows: both endpoints known, the edge itself not in train. Copies of test rows stay."""
+    train = written(train)  # read for its edges and its nodes
     new = test.join(train.select(*KEY).distinct(), KEY, "left_anti").select(*test.columns)
     return known_nodes(new, train)
 

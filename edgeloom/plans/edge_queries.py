@@ -91,16 +91,16 @@ def train_test_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def filter_test(spark: SparkSession, d: str) -> DataFrame:
-    return split.filter_test(g.calls_of(spark, d, "train"), g.test_pairs(spark, d))
+    return g.as_text(split.filter_test(g.call_numbers(spark, d, "train"), g.test_pairs(spark, d)))
 
 
 def known_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return split.known_nodes(g.calls_of(spark, d, "test"), g.calls_of(spark, d, "train")).select(*KEY)
+    return g.as_text(split.known_nodes(g.call_numbers(spark, d, "test"), g.call_numbers(spark, d, "train")).select(*KEY))
 
 
 def top_targets(spark: SparkSession, d: str) -> DataFrame:
     """The ten Targets with most edges; ties by id."""
-    e = g.calls(spark, d)
+    e = g.as_text(g.call_numbers(spark, d))
     return e.groupBy("Target").agg(F.count(F.lit(1)).alias("edges")).orderBy(F.desc("edges"), "Target").limit(10)
 
 
@@ -115,45 +115,45 @@ def sample_random(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sample_node(spark: SparkSession, d: str) -> DataFrame:
-    e = g.growth(spark, d)
+    e = cut(g.growth(spark, d))
     return sample.sample_node(e, _size(e, 0.1), SEED, batch=100)
 
 
 def sample_bfs(spark: SparkSession, d: str) -> DataFrame:
-    e = g.growth(spark, d)
+    e = cut(g.growth(spark, d))
     return sample.sample_traverse(e, _size(e, 0.1), "bfs", SEED)
 
 
 def sample_dfs(spark: SparkSession, d: str) -> DataFrame:
-    e = g.growth(spark, d)
+    e = cut(g.growth(spark, d))
     return sample.sample_traverse(e, _size(e, 0.1), "dfs", SEED)
 
 
 def sample_rw(spark: SparkSession, d: str) -> DataFrame:
-    e = g.growth(spark, d)
+    e = cut(g.growth(spark, d))
     return sample.sample_walk(e, _size(e, 0.05), SEED)
 
 
 def _frames(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return g.calls_of(spark, d, "train"), g.calls_of(spark, d, "test")
+    return tuple(cut(g.call_numbers(spark, d, part)) for part in ("train", "test"))
 
 
 def neg_train(spark: SparkSession, d: str) -> DataFrame:
-    return sample.negative_train(*_frames(spark, d), SEED)
+    return g.as_text(sample.negative_train(*_frames(spark, d), SEED))
 
 
 def neg_test(spark: SparkSession, d: str) -> DataFrame:
     tr, te = _frames(spark, d)
-    return sample.negative_test(tr, te, sample.negative_train(tr, te, SEED), SEED)
+    return g.as_text(sample.negative_test(tr, te, cut(sample.negative_train(tr, te, SEED)), SEED))
 
 
 def neg_all(spark: SparkSession, d: str) -> DataFrame:
     a, b = sample.with_negatives(*_frames(spark, d), SEED)
-    return a.withColumn("part", F.lit("train")).unionByName(b.withColumn("part", F.lit("test")))
+    return g.as_text(a.withColumn("part", F.lit("train")).unionByName(b.withColumn("part", F.lit("test"))))
 
 
 def neg_corrupt(spark: SparkSession, d: str) -> DataFrame:
-    return sample.negative_corrupt(g.calls_of(spark, d, "train"), SEED)
+    return g.as_text(sample.negative_corrupt(g.call_numbers(spark, d, "train"), SEED))
 
 
 def gen_gnp(spark: SparkSession, d: str) -> DataFrame:
@@ -184,7 +184,7 @@ def split_predictions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unpivot_degrees(spark: SparkSession, d: str) -> DataFrame:
-    return report.unpivot(graph.degrees(g.calls(spark, d)), "node", ["in_degree", "out_degree", "degree"])
+    return report.unpivot(g.as_text(graph.degrees(g.call_numbers(spark, d))), "node", ["in_degree", "out_degree", "degree"])
 
 
 def pivot_outcomes(spark: SparkSession, d: str) -> DataFrame:

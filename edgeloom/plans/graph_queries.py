@@ -18,7 +18,7 @@ DEPTH = 4
 
 
 def _train(spark: SparkSession, d: str) -> DataFrame:
-    return g.calls_of(spark, d, "train")
+    return g.call_numbers(spark, d, "train")
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -26,23 +26,23 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
-    return split.nodes(g.calls(spark, d))
+    return g.as_text(split.nodes(g.call_numbers(spark, d)))
 
 
 def degrees(spark: SparkSession, d: str) -> DataFrame:
-    return graph.degrees(g.calls(spark, d))
+    return g.as_text(graph.degrees(g.call_numbers(spark, d)))
 
 
 def degree_hist(spark: SparkSession, d: str) -> DataFrame:
-    return graph.degree_histogram(g.calls(spark, d))
+    return graph.degree_histogram(g.call_numbers(spark, d))
 
 
 def graph_info(spark: SparkSession, d: str) -> DataFrame:
-    return graph.graph_info(g.calls(spark, d))
+    return graph.graph_info(g.call_numbers(spark, d))
 
 
 def graph_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.degree_metrics(g.calls(spark, d))
+    return metrics.degree_metrics(g.call_numbers(spark, d))
 
 
 def graph_metrics_full(spark: SparkSession, d: str) -> DataFrame:
@@ -51,23 +51,23 @@ def graph_metrics_full(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clustering(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(graph.clustering(g.calls(spark, d)), "clustering")
+    return g.as_text(_rounded(graph.clustering(g.call_numbers(spark, d)), "clustering"))
 
 
 def avg_neighbor_degree(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(graph.average_neighbor_degree(g.calls(spark, d)), "avg_neighbor_degree")
+    return g.as_text(_rounded(graph.average_neighbor_degree(g.call_numbers(spark, d)), "avg_neighbor_degree"))
 
 
 def wcc(spark: SparkSession, d: str) -> DataFrame:
-    return graph.weak_components(g.calls(spark, d))
+    return g.as_text(graph.weak_components(g.call_numbers(spark, d)))
 
 
 def wcc_stats(spark: SparkSession, d: str) -> DataFrame:
-    return graph.component_stats(graph.weak_components(g.calls(spark, d)))
+    return graph.component_stats(graph.weak_components(g.call_numbers(spark, d)))
 
 
 def largest_wcc_edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph.largest_wcc_edges(g.calls(spark, d))
+    return g.as_text(graph.largest_wcc_edges(cut(g.call_numbers(spark, d))))
 
 
 def scc(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +79,7 @@ def scc_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def katz(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(graph.katz(_train(spark, d), iterations=KATZ_ROUNDS), "katz")
+    return g.as_text(_rounded(graph.katz(_train(spark, d), iterations=KATZ_ROUNDS), "katz"))
 
 
 def betweenness_k(spark: SparkSession, d: str) -> DataFrame:
@@ -105,42 +105,43 @@ def propflow(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(graph.propflow(e, split.nodes(e).toDF("root")), "mean_score")
 
 
-def _predictable(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    tr = cut(_train(spark, d))  # the graph is read several times
-    return tr, split.filter_test(tr, g.test_pairs(spark, d))
+def _predictable(spark: SparkSession, d: str) -> tuple[graph.Graph, DataFrame]:
+    """The train graph, written once, and the predictable test pairs."""
+    tr = graph.Graph(_train(spark, d))
+    return tr, cut(split.filter_test(tr.edges, g.test_pairs(spark, d)))
 
 
 def _similarity(method: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         tr, te = _predictable(spark, d)
-        return _rounded(pairs.similarity(tr, te.select(*KEY).distinct(), method), "score")
+        return g.as_text(_rounded(pairs.similarity(tr, te.select(*KEY).distinct(), method), "score"))
 
     return run
 
 
 def pair_volume(spark: SparkSession, d: str) -> DataFrame:
     tr, te = _predictable(spark, d)
-    return pairs.pair_features(tr, te).select(*KEY, "Class", "volume")
+    return g.as_text(pairs.pair_features(tr, te).select(*KEY, "Class", "volume"))
 
 
 def heuristics(spark: SparkSession, d: str) -> DataFrame:
     tr, te = _predictable(spark, d)
-    return _rounded(pairs.heuristics(tr, te, iterations=KATZ_ROUNDS), "katz", "adamic_adar", "jaccards_coef")
+    return g.as_text(_rounded(pairs.heuristics(tr, te, iterations=KATZ_ROUNDS), "katz", "adamic_adar", "jaccards_coef"))
 
 
 def heuristics_nokatz(spark: SparkSession, d: str) -> DataFrame:
     tr, te = _predictable(spark, d)
-    return _rounded(pairs.heuristics(tr, te, with_katz=False), "adamic_adar", "jaccards_coef")
+    return g.as_text(_rounded(pairs.heuristics(tr, te, with_katz=False), "adamic_adar", "jaccards_coef"))
 
 
 def links_stats_pairs(spark: SparkSession, d: str) -> DataFrame:
     tr, te = _predictable(spark, d)
-    return pairs.link_stats_columns(tr, te)
+    return g.as_text(pairs.link_stats_columns(tr, te))
 
 
 def katz_pair(spark: SparkSession, d: str) -> DataFrame:
     tr, te = _predictable(spark, d)
-    return _rounded(pairs.katz_pairs(tr, te), "katz_pair")
+    return g.as_text(_rounded(pairs.katz_pairs(tr, te), "katz_pair"))
 
 
 def hadamard(spark: SparkSession, d: str) -> DataFrame:
@@ -191,10 +192,11 @@ def feat_node2vec(spark: SparkSession, d: str) -> DataFrame:
 def rf_predict(spark: SparkSession, d: str) -> DataFrame:
     """Forest on the ten heuristics: trained on train pairs with negatives, applied to the predictable test pairs."""
     tr, te = _predictable(spark, d)
-    frame = tr.select("Date", *KEY, "Class").unionByName(sample.negative_train(tr, g.calls_of(spark, d, "test"), SEED))
+    frame = tr.edges.withColumn("Class", F.lit(1)).unionByName(sample.negative_train(tr.edges, g.call_numbers(spark, d, "test"), SEED).drop("Date"))
     names = [h for h in pairs.HEURISTICS if h != "katz"]
     fit = cut(pairs.heuristics(tr, frame, with_katz=False))
-    return model.fit_predict(fit, pairs.heuristics(tr, te, with_katz=False), names, depth=10).select(*KEY, "Class", "Predicted", F.round("Probability", 6).alias("Probability"))
+    got = model.fit_predict(fit, pairs.heuristics(tr, te, with_katz=False), names)
+    return g.as_text(got).select(*KEY, "Class", "Predicted", F.round("Probability", 6).alias("Probability"))
 
 
 QUERIES = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.functions.ids import id_text, sql_id_text
+from edgeloom.functions.ids import id_number, sql_id_text
 from edgeloom.sources import edges as src
 from edgeloom.sources.tables import load
 
@@ -17,13 +17,21 @@ def calls(spark: SparkSession, d: str) -> DataFrame:
     return src.call_edges(load(spark, d, "dynamobi"))
 
 
-def calls_of(spark: SparkSession, d: str, split: str) -> DataFrame:
-    return src.call_edges(load(spark, d, "dynamobi").where(F.col("split") == split))
+def call_numbers(spark: SparkSession, d: str, split: str | None = None) -> DataFrame:
+    """``calls`` with ids as BIGINT, of one split or of all."""
+    rows = load(spark, d, "dynamobi")
+    return src.call_edges(rows if split is None else rows.where(F.col("split") == split), numbers=True)
+
+
+def as_text(df: DataFrame) -> DataFrame:
+    """Id columns as strings again."""
+    ids = ("Source", "Target", "node", "component")
+    return df.select(*[F.col(c).cast("string").alias(c) if c in ids else F.col(c) for c in df.columns])
 
 
 def test_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct (Source, Target, Class) of the test rows, calls and non-edges."""
-    t = load(spark, d, "dynamobi").where("split = 'test'").select(id_text("Source").alias("Source"), id_text("Target").alias("Target"), "Class")
+    """Distinct (Source, Target, Class) of the test rows, calls and non-edges; ids as BIGINT."""
+    t = load(spark, d, "dynamobi").where("split = 'test'").select(id_number("Source").alias("Source"), id_number("Target").alias("Target"), "Class")
     return t.where("Source is not null and Target is not null").distinct()
 
 

@@ -76,6 +76,11 @@ def cut_counted(df: DataFrame, *more: Column) -> tuple[DataFrame, tuple]:
     return out, tuple(got[f"m{i}"] for i in range(len(watched)))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` itself if it is a table of ``cut``, else cut: for inputs that are read several times."""
+    return df if "_written_at" in vars(df) else cut(df)
+
+
 _written: dict[str, SparkContext] = {}
 
 

@@ -68,15 +68,16 @@ def read_friendships(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.lit(None).cast("timestamp_ntz").alias("Date"), "Source", "Target", F.lit(1).alias("Class"))
 
 
-def call_edges(df: DataFrame) -> DataFrame:
+def call_edges(df: DataFrame, numbers: bool = False) -> DataFrame:
     """Distinct call edges of a table with the call-log columns: Date of the first call of each pair, canonical ids.
 
     Rows of Class 0 are no calls; rows without a readable id are left out. The ids are grouped as numbers, half the
-    bytes of their text in the shuffle.
+    bytes of their text in the shuffle; with ``numbers`` they stay so, for graph work.
     """
     rows = df.where("Class = 1").select("Date", id_number("Source").alias("s"), id_number("Target").alias("t"))
     e = rows.where("s is not null and t is not null").groupBy("s", "t").agg(F.min("Date").alias("Date"))
-    return e.select("Date", F.col("s").cast("string").alias("Source"), F.col("t").cast("string").alias("Target"), F.lit(1).alias("Class"))
+    kind = "bigint" if numbers else "string"
+    return e.select("Date", F.col("s").cast(kind).alias("Source"), F.col("t").cast(kind).alias("Target"), F.lit(1).alias("Class"))
 
 
 def citation_edges(edges: DataFrame, dates: DataFrame) -> DataFrame:
