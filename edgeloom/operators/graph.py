@@ -5,8 +5,10 @@ Edges are a set: copies collapse first, self-loops stay. Nodes are the endpoints
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,18 +85,49 @@ def undirected(edges: Edges) -> DataFrame:
     return e.groupBy(F.least("Source", "Target").alias("a"), F.greatest("Source", "Target").alias("b")).agg(F.count(F.lit(1)).alias("w"))
 
 
-def weak_components(edges: Edges) -> DataFrame:
+FEW = 10_000  # links that one task joins up by itself
+
+
+def _union_find(links: DataFrame) -> DataFrame:
+    """(node, into): the components of a few links, found by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict = {}
+
+        def find(x):  # noqa: ANN001, ANN202
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                up[find(a)] = find(b)
+        if up:
+            yield pa.RecordBatch.from_arrays([pa.array(list(up), kind), pa.array([find(x) for x in list(up)], kind)], ["node", "into"])
+
+    kind = links.schema["a"].dataType.simpleString()
+    return links.select("a", "b").coalesce(1).mapInArrow(run, f"node {kind}, into {kind}")
+
+
+def weak_components(edges: Edges, few: int = FEW) -> DataFrame:
     """(node, component): the smallest id of the weak component.
 
     Randomised contraction (Boegeholz, Brand and Todor, 2020): in a round every node joins the node of the smallest hash
     among itself and its neighbours, edges are carried over to those, and what is left shrinks by a factor, whatever
-    the diameter. Minima are combined before the shuffle, so a hub's neighbours never meet in one task.
+    the diameter. Minima are combined before the shuffle, so a hub's neighbours never meet in one task. Once at most ``few``
+    links are left, one task joins them up, which saves the many short rounds of the end.
     """
     g = as_graph(edges)
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     live, (left,) = cut_counted(g.edges.where("Source <> Target").select(*pair("Source", "Target")).distinct())
     joined: list[DataFrame] = []
     while left:
+        if left <= few:
+            joined.append(cut(_union_find(live)))
+            break
         ranked = lambda c, r=len(joined): F.struct(F.xxhash64(F.lit(r), F.col(c)), F.col(c).alias("id"))
         both = live.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(live.select(F.col("b").alias("node"), F.col("a").alias("other")))
         best = both.groupBy("node").agg(F.min(ranked("other")).alias("m"))

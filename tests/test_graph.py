@@ -54,7 +54,8 @@ def test_components_by_brute_force(spark, seed):
     e, df = _random_graph(spark, 40, 45, seed)
     n = {x for p in e for x in p}
     both = e | {(b, a) for a, b in e}
-    assert rows(graph.weak_components(df)) == sorted((v, min(_reach(both, v)[0])) for v in n)
+    for few in (0, 12, graph.FEW):
+        assert rows(graph.weak_components(df, few)) == sorted((v, min(_reach(both, v)[0])) for v in n)
     reach = {v: set(_reach(e, v)[0]) for v in n}
     assert rows(graph.strong_components(df)) == sorted((v, min(u for u in reach[v] if v in reach[u])) for v in n)
 
