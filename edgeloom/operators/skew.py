@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom.session import cut_counted
+
 
 def keyed_states(df: DataFrame, keys: Mapping[str, Column], sums: Mapping[str, Column], rows: str = "rows") -> DataFrame:
     """One row per key combination: the row count and the sum of each measure.
@@ -66,18 +68,13 @@ def heavy_values(states: DataFrame, left: tuple[str, str], right: tuple[str, str
 
     ``states`` is a full ``eager_join`` on the left key; ``left`` and ``right`` are (key, row-count column). The left
     state of a key repeats once per right group, so it is taken once (max); right counts add up. Null keys count in
-    the totals but are no values.
+    the totals but are no values. One pass over the joined states; the totals are taken while the counts are written.
     """
-    (lk, ln), (rk, rn) = left, right
-    per_left = states.groupBy(F.col(lk).alias("value")).agg(F.max(ln).alias("n")).withColumn("field", F.lit(lk))
-    per_right = states.groupBy(F.col(rk).alias("value")).agg(F.sum(rn).alias("n")).withColumn("field", F.lit(rk))
-    per_key = per_left.select("field", F.col("value").cast("string").alias("value"), "n").unionByName(
-        per_right.select("field", F.col("value").cast("string").alias("value"), "n")
-    )
-    totals = per_key.groupBy("field").agg(F.sum("n").alias("total"))
-    # two rows at most: one per field
-    return (
-        per_key.join(F.broadcast(totals), "field")
-        .where(F.col("value").isNotNull() & F.col("n").isNotNull() & (F.col("n") >= F.lit(share) * F.col("total")))
-        .select("field", "value")
-    )
+    sides = [F.struct(F.lit(k).alias("field"), F.col(k).cast("string").alias("value"), F.col(n).alias("n")) for k, n in (left, right)]
+    each = states.select(F.explode(F.array(*sides)).alias("x")).select("x.*").where("n is not null")
+    once = F.when(F.col("field") == left[0], F.max("n")).otherwise(F.sum("n"))
+    per_key = each.groupBy("field", "value").agg(once.alias("n"))
+    of = lambda k: F.sum(F.when(F.col("field") == k, F.col("n")).otherwise(0))
+    per_key, (_, l_total, r_total) = cut_counted(per_key, of(left[0]), of(right[0]))
+    total = F.when(F.col("field") == left[0], l_total or 0).otherwise(r_total or 0)
+    return per_key.where(F.col("value").isNotNull() & (F.col("n") >= F.lit(share) * total)).select("field", "value")
