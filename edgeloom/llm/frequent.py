@@ -7,10 +7,11 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.functions.ids import id_number, sql_id_number
+from edgeloom.session import cut
 from edgeloom.sources.tables import load
 
 RUN_ROWS = 1 << 20  # values sorted at once in a map task: 8 MB
@@ -93,7 +94,8 @@ def frequent_values(df: DataFrame, fields: Mapping[str, Column], heap_size: int
     names = list(fields)
     schema = "field int, value bigint, n bigint"
     k = len(names)
-    runs = df.select(*[fields[c].alias(f"v{i}") for i, c in enumerate(names)]).mapInArrow(lambda it: _sorted_runs(it, k), schema)
+    # written once: the sampling of range bounds reads the runs, it does not sort them again
+    runs = cut(df.select(*[fields[c].alias(f"v{i}") for i, c in enumerate(names)]).mapInArrow(lambda it: _sorted_runs(it, k), schema))
     ranges = runs.repartitionByRange("field", "value").sortWithinPartitions("field", "value")
     top = ranges.mapInArrow(lambda it: _merge_runs(it, heap_size), schema)
     name = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("field") + 1)
@@ -112,10 +114,9 @@ def most_frequent(df: DataFrame, fields: Mapping[str, Column], k: int) -> DataFr
 def frequent_share(df: DataFrame, fields: Mapping[str, Column], share: float) -> DataFrame:
     """(field, value, n): the values that hold at least ``share`` of all rows of ``df``; complete for share > 1 / HEAP."""
     size = max(HEAP, int(1 / share) + 1)
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    got = frequent_values(df, fields, size)
-    # one row
-    return got.join(F.broadcast(total), F.col("n") >= F.lit(share) * F.col("total")).select("field", "value", "n")
+    seen = Observation()  # the rows are counted while they are sorted
+    got = frequent_values(df.observe(seen, F.count(F.lit(1)).alias("rows")), fields, size)
+    return got.where(F.col("n") >= F.lit(share) * F.lit(seen.get["rows"]))
 
 
 SHARE = 0.005
