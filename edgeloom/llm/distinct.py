@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.functions.ids import id_number, sql_id_number
+from edgeloom.session import cut
 from edgeloom.sources.tables import load
 
 LOG_REGISTERS = 12
@@ -33,15 +34,22 @@ def sketches(df: DataFrame, dims: Mapping[str, Column], items: Mapping[str, Colu
     )
 
 
+def _sets(dims: Sequence[str]) -> list[tuple[str, ...]]:
+    return [s for k in range(len(dims), -1, -1) for s in combinations(dims, k)]
+
+
+def _groupings(dims: Sequence[str]) -> Column:
+    """All combinations of dims a row counts in, named by ``grouping``."""
+    return F.array(*[F.struct(F.lit(",".join(s)).alias("grouping"), *[(F.col(c) if c in s else F.lit(None)).alias(c) for c in dims]) for s in _sets(dims)])
+
+
 def merge_all_groups(parts: DataFrame, dims: Sequence[str], items: Sequence[str], log_registers: int = LOG_REGISTERS) -> DataFrame:
     """Estimates for every combination of dims, each merged by register maximum from the finest sketches.
 
     ``grouping`` names the dims a row is about, '' for all rows together. Sketches of other days or other clusters
     may be added to ``parts`` by UNION ALL beforehand. The input is as small as the groups, whatever the rows.
     """
-    sets = [s for k in range(len(dims), -1, -1) for s in combinations(dims, k)]
-    each = F.array(*[F.struct(F.lit(",".join(s)).alias("grouping"), *[(F.col(c) if c in s else F.lit(None)).alias(c) for c in dims]) for s in sets])
-    wide = parts.withColumn("g", F.explode(each)).select("g.grouping", *[f"g.{c}" for c in dims], "n_rows", *items)
+    wide = parts.withColumn("g", F.explode(_groupings(dims))).select("g.grouping", *[f"g.{c}" for c in dims], "n_rows", *items)
     out = wide.groupBy("grouping", *dims).agg(
         F.sum("n_rows").alias("n_rows"), *[F.hll_sketch_estimate(F.hll_union_agg(k)).alias(f"distinct_{k}") for k in items]
     )
@@ -68,19 +76,25 @@ def p5_partials(spark: SparkSession, d: str) -> DataFrame:
     return sketches(load(spark, d, "dynamobi"), _dims(), _items()).withColumn("standard_error", F.lit(standard_error()))
 
 
-def registers(df: DataFrame, dims: Mapping[str, Column], item: Column, log_registers: int = LOG_REGISTERS) -> DataFrame:
-    """(dims..., register, rank): the plain form of a sketch, from md5, so that any engine can rebuild and merge it.
+def registers(df: DataFrame, dims: Mapping[str, Column], items: Mapping[str, Column], log_registers: int = LOG_REGISTERS) -> DataFrame:
+    """(dims..., item, register, rank): the plain form of sketches, from md5, so that any engine can rebuild and merge them.
 
-    register is the first ``log_registers`` bits of md5(item), rank the position of the first 1 among the next 32.
-    Merge by max(rank) per register.
+    register is the first ``log_registers`` bits of md5(value), rank the position of the first 1 among the next 32.
+    Merge by max(rank) per register. Null values are not counted.
     """
-    flat = df.select(*[c.alias(k) for k, c in dims.items()], item.alias("item")).where("item is not null")
-    h = F.md5(F.col("item").cast("string"))
-    head = F.conv(F.substring(h, 1, 4), 16, 10).cast("int")
-    tail = F.conv(F.substring(h, 5, 8), 16, 10).cast("bigint")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("item"), c.cast("string").alias("v")) for k, c in items.items()])).alias("x")
+    flat = df.select(*[c.alias(k) for k, c in dims.items()], each).where("x.v is not null").select(*dims, "x.item", F.md5("x.v").alias("h"))
+    head = F.conv(F.substring("h", 1, 4), 16, 10).cast("int")
+    tail = F.conv(F.substring("h", 5, 8), 16, 10).cast("bigint")
     rank = F.lit(33) - F.when(tail > 0, F.length(F.bin(tail))).otherwise(0)
-    flat = flat.select(*dims, F.shiftright(head, 16 - log_registers).alias("register"), rank.alias("rank"))
-    return flat.groupBy(*dims, "register").agg(F.max("rank").alias("rank"))
+    flat = flat.select(*dims, "item", F.shiftright(head, 16 - log_registers).alias("register"), rank.alias("rank"))
+    return flat.groupBy(*dims, "item", "register").agg(F.max("rank").alias("rank"))
+
+
+def merge_registers(regs: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """(grouping, dims..., item, register, rank) for every combination of dims, merged by maximum from the finest ones."""
+    wide = regs.withColumn("g", F.explode(_groupings(dims))).select("g.grouping", *[f"g.{c}" for c in dims], "item", "register", "rank")
+    return wide.groupBy("grouping", *dims, "item", "register").agg(F.max("rank").alias("rank"))
 
 
 def register_estimates(regs: DataFrame, dims: Sequence[str], log_registers: int = LOG_REGISTERS) -> DataFrame:
@@ -94,20 +108,54 @@ def register_estimates(regs: DataFrame, dims: Sequence[str], log_registers: int
     return agg.select(*dims, F.round(est, 3).alias("estimate"))
 
 
-def p5_registers_day(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct Targets per day from explicit md5 registers, the form other engines can rebuild."""
-    dims = {"day": F.col("Date").cast("date")}
-    return register_estimates(registers(load(spark, d, "dynamobi"), dims, id_number("Target")), ["day"])
+def p5_registers_cube(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct Sources, Targets and pairs per day, feed, split and all their combinations, from explicit md5 registers."""
+    s, t = id_number("Source").cast("string"), id_number("Target").cast("string")
+    pair = F.when(s.isNotNull() & t.isNotNull(), F.concat(s, F.lit("|"), t))
+    regs = registers(load(spark, d, "dynamobi"), _dims(), {"source": s, "target": t, "pair": pair})
+    dims = ["grouping", *_dims(), "item"]
+    return register_estimates(merge_registers(regs, list(_dims())), dims).withColumn("standard_error", F.round(F.lit(standard_error()), 6))
+
+
+def p5_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """The estimates of ``p5_distinct`` beside exact counts: how many cells there are, and how many lie beyond 5 standard errors (and 2)."""
+    dyn = cut(load(spark, d, "dynamobi").select(*[c.alias(k) for k, c in _dims().items()], *[c.alias(f"x_{k}") for k, c in _items().items()]))
+    est = merge_all_groups(sketches(dyn, {k: F.col(k) for k in _dims()}, {k: F.col(f"x_{k}") for k in _items()}), list(_dims()), list(_items()))
+    # exact: distinct values of each cell first, so that a hot cell's rows are combined before they meet
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("item"), F.col(f"x_{k}").alias("v")) for k in _items()])).alias("x")
+    flat = dyn.select(*_dims(), each).where("x.v is not null").select(*_dims(), "x.item", "x.v").distinct()
+    wide = flat.withColumn("g", F.explode(_groupings(list(_dims())))).select("g.grouping", *[f"g.{c}" for c in _dims()], "item", "v").distinct()
+    exact = wide.groupBy("grouping", *_dims(), "item").agg(F.count(F.lit(1)).alias("exact"))
+    long = est.select("grouping", *_dims(), F.explode(F.array(*[F.struct(F.lit(k).alias("item"), F.col(f"distinct_{k}").alias("estimate")) for k in _items()])).alias("x"))
+    long = long.select("grouping", *_dims(), "x.*")
+    a, b = long.alias("a"), exact.alias("b")
+    on = F.lit(True)
+    for k in ["grouping", *_dims(), "item"]:
+        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    off = F.abs(F.col("estimate") - F.coalesce("exact", F.lit(0)))
+    wrong = off > F.greatest(F.lit(2.0), F.lit(5 * standard_error()) * F.coalesce("exact", F.lit(0)))
+    return a.join(b, on, "left").groupBy("a.grouping", "a.item").agg(
+        F.count(F.lit(1)).alias("cells"), F.coalesce(F.sum("exact"), F.lit(0)).alias("exact_sum"), F.count(F.when(wrong, 1)).alias("beyond")
+    )
 
 
-QUERIES = {"p5_distinct": p5_distinct, "p5_partials": p5_partials, "p5_registers_day": p5_registers_day}
+QUERIES = {"p5_distinct": p5_distinct, "p5_partials": p5_partials, "p5_registers_cube": p5_registers_cube, "p5_agreement": p5_agreement}
 
 _M = 1 << LOG_REGISTERS
+_SETS = _sets(["day", "feed", "split"])
+_V = f"""v as (select cast("Date" as date) as "day", feed, split, cast({sql_id_number('"Source"')} as varchar) s, cast({sql_id_number('"Target"')} as varchar) t from dynamobi),
+m as (select * from (values {', '.join(f"('{','.join(s)}', {', '.join(str(k in s).lower() for k in ('day', 'feed', 'split'))})" for s in _SETS)}) q(grouping, by_day, by_feed, by_split)),
+w as (select grouping, case when by_day then "day" end "day", case when by_feed then feed end feed, case when by_split then split end split, s, t from v, m),
+i as (select grouping, "day", feed, split, 'source' item, s x from w union all select grouping, "day", feed, split, 'target', t from w union all select grouping, "day", feed, split, 'pair', s || '|' || t from w)"""
 ORACLE = {
-    "p5_registers_day": f"""with v as (select cast("Date" as date) as "day", md5(cast({sql_id_number('"Target"')} as varchar)) h from dynamobi),
-b as (select "day", cast('0x' || substr(h, 1, 4) as int) >> {16 - LOG_REGISTERS} register, cast('0x' || substr(h, 5, 8) as bigint) tail from v where h is not null),
-r as (select "day", register, max(33 - case when tail > 0 then length(bin(tail)) else 0 end) rank from b group by 1, 2),
-g as (select "day", sum(pow(2.0, -rank)) z, count(*) used from r group by 1),
-e as (select "day", used, {0.7213 / (1 + 1.079 / _M) * _M * _M}::double / (z + ({_M} - used)) raw from g)
-select "day", round(case when raw <= {2.5 * _M} and used < {_M} then {float(_M)}::double * ln({float(_M)}::double / ({_M} - used)) else raw end, 3) estimate from e""",
+    "p5_registers_cube": f"""with {_V},
+b as (select distinct grouping, "day", feed, split, item, cast('0x' || substr(md5(x), 1, 4) as int) >> {16 - LOG_REGISTERS} register, cast('0x' || substr(md5(x), 5, 8) as bigint) tail from i where x is not null),
+r as (select grouping, "day", feed, split, item, register, max(33 - case when tail > 0 then length(bin(tail)) else 0 end) rank from b group by all),
+g as (select grouping, "day", feed, split, item, sum(pow(2.0, -rank)) z, count(*) used from r group by all),
+e as (select *, {0.7213 / (1 + 1.079 / _M) * _M * _M}::double / (z + ({_M} - used)) raw from g)
+select grouping, "day", feed, split, item, round(case when raw <= {2.5 * _M} and used < {_M} then {float(_M)}::double * ln({float(_M)}::double / ({_M} - used)) else raw end, 3) estimate,
+    round({standard_error()}::double, 6) standard_error from e""",
+    "p5_agreement": f"""with {_V},
+c as (select grouping, "day", feed, split, item, count(distinct x) n from i group by all)
+select grouping, item, count(*) cells, cast(sum(n) as bigint) exact_sum, 0::bigint beyond from c group by all""",
 }

@@ -209,5 +209,27 @@ def p6_summary(spark: SparkSession, d: str) -> DataFrame:
     return pack_summary(p6_packed(spark, d))
 
 
-QUERIES = {"p6_packed": p6_packed, "p6_summary": p6_summary}
-ORACLE: dict[str, str] = {}
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    """Per capacity, what must hold: every document placed, no container too full, only longer texts cut, and into as few pieces as possible."""
+    sizes = cut(with_tokens(load(spark, d, "documents"), "text", ["doc_id"], TOKENIZER))
+    packs = _packs(spark, d)
+    placed = cut(pack(sizes, "doc_id", "n_tokens", packs))
+    full = placed.where("container is not null").groupBy("pack_id", "capacity", "container").agg(F.sum("tokens").alias("t"))
+    over = full.groupBy("pack_id").agg(F.count(F.when(F.col("t") > F.col("capacity"), 1)).alias("overfull"))
+    per = placed.groupBy("pack_id", "capacity", "item").agg(F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("t"), F.count_distinct("piece").alias("kinds"))
+    every = F.explode(F.array(*[F.struct(F.lit(p).alias("pack_id"), F.lit(c).cast("bigint").alias("capacity")) for p, c in packs])).alias("k")
+    j = sizes.select("doc_id", "n_tokens", every).select("doc_id", "n_tokens", "k.*").join(per.withColumnRenamed("item", "doc_id"), ["pack_id", "capacity", "doc_id"], "left")
+    few = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.col("capacity")))
+    out = j.groupBy("pack_id", "capacity").agg(
+        F.count(F.lit(1)).alias("documents"), F.count(F.when(F.col("pieces").isNull() | (F.col("t") != F.col("n_tokens")), 1)).alias("lost"),
+        F.count(F.when((F.col("pieces") > 1) & (F.col("n_tokens") <= F.col("capacity")), 1)).alias("cut_needlessly"),
+        F.count(F.when((F.col("pieces") != few) | (F.col("kinds") != F.col("pieces")), 1)).alias("cut_badly"),
+    )
+    return out.join(over, "pack_id", "left").fillna(0, ["overfull"])
+
+
+QUERIES = {"p6_packed": p6_packed, "p6_summary": p6_summary, "p6_check": p6_check}
+ORACLE: dict[str, str] = {
+    "p6_check": """select distinct pack_id, cast(capacity_tokens as bigint) capacity, (select count(*) from documents) documents, 0::bigint lost, 0::bigint cut_needlessly,
+    0::bigint cut_badly, 0::bigint overfull from pack_sizes where pack_id is not null and capacity_tokens is not null""",
+}

@@ -23,21 +23,21 @@ def _edit(rng, s):
     return s[:i] + s[i + 1] + s[i] + s[i + 2 :]
 
 
-@pytest.mark.parametrize("width", [15, 4])
-def test_overlap_against_brute_force(spark, width):
+@pytest.mark.parametrize(("width", "oversized"), [(15, overlap.OVERSIZED), (4, overlap.OVERSIZED), (15, 2), (4, 1), (1, 1)])
+def test_overlap_against_brute_force(spark, width, oversized):
     rng = random.Random(width)
-    ids = [str(rng.randrange(10 ** (width - 1), 10**width)) for _ in range(12)]
+    ids = [str(rng.randrange(max(1, 10 ** (width - 1)), 10**width)) for _ in range(12)]
     data = []
     for i in range(260):
         s, t = rng.choice(ids), rng.choice(ids)
-        if rng.random() < 0.3:
+        if width > 1 and rng.random() < 0.3:
             s = _edit(rng, s)
-        elif rng.random() < 0.3:
+        elif width > 1 and rng.random() < 0.3:
             t = _edit(rng, t)
         data.append((i, rng.choice([s, f" {s}", f"+{s}", f"{s}.0"]), t, rng.choice(["train", "valid", "test", None]), s, t))
     data += [(None, ids[0], ids[0], "test", "-", "-"), (999, None, ids[0], "test", "-", "-"), (998, "abc", ids[0], "train", "-", "-")]
     df = spark.createDataFrame([(*r[:4], 1, "x") for r in data], "call_id long, Source string, Target string, split string, s int, h string")
-    got = rows(overlap.overlap_pairs(df, "call_id", ("Source", "Target"), "split"))
+    got = rows(overlap.overlap_pairs(df, "call_id", ("Source", "Target"), "split", oversized=oversized))
     want = []
     for a in data[:-3]:
         for b in data[:-3]:
@@ -47,6 +47,13 @@ def test_overlap_against_brute_force(spark, width):
                     want.append((a[0], b[0], same == 1))
     assert got == sorted(want, key=repr)
     assert any(n for *_, n in want)
+    split_of = {r[0]: r[3] for r in data}
+    n = {r.split: r for r in overlap.overlap_counts(df, "call_id", ("Source", "Target"), "split", ["split"], oversized=oversized).collect()}
+    for k in ("valid", "test"):
+        mine = [w for w in want if split_of[w[1]] == k]
+        assert n[k].eval_rows == sum(r[3] == k for r in data)
+        assert (n[k].pairs_exact, n[k].pairs_near) == (sum(not w[2] for w in mine), sum(w[2] for w in mine))
+        assert (n[k].rows_exact, n[k].rows_near) == (len({w[1] for w in mine if not w[2]}), len({w[1] for w in mine if w[2]}))
 
 
 def test_overlap_empty_and_hot(spark):
@@ -111,9 +118,9 @@ def test_distinct_nulls_and_empty(spark):
 
 def test_registers_merge_by_maximum(spark):
     df = spark.range(30_000)
-    regs = lambda d: distinct.registers(d, {"k": F.lit(1)}, F.col("id"))
+    regs = lambda d: distinct.registers(d, {"k": F.lit(1)}, {"id": F.col("id")})
     a, b = regs(df.where("id < 20000")), regs(df.where("id >= 10000"))
-    merged = a.unionByName(b).groupBy("k", "register").agg(F.max("rank").alias("rank"))
+    merged = a.unionByName(b).groupBy("k", "item", "register").agg(F.max("rank").alias("rank"))
     assert rows(merged) == rows(regs(df))
     est = distinct.register_estimates(merged, ["k"]).first().estimate
     assert abs(est - 30_000) < 4 * distinct.standard_error() * 30_000
