@@ -156,7 +156,7 @@ def _text(w: DataFrame) -> DataFrame:
 
 
 def _uniform(spark: SparkSession, d: str) -> DataFrame:
-    return walks.uniform_walks(g.growth(spark, d), 6, 2, SEED)
+    return walks.uniform_walks(g.growth(spark, d), seed=SEED)
 
 
 def walk_uniform(spark: SparkSession, d: str) -> DataFrame:
@@ -164,11 +164,12 @@ def walk_uniform(spark: SparkSession, d: str) -> DataFrame:
 
 
 def walk_self_avoiding(spark: SparkSession, d: str) -> DataFrame:
-    return _text(walks.self_avoiding_walks(g.growth(spark, d), 6, 1, SEED))
+    return _text(walks.self_avoiding_walks(g.growth(spark, d), seed=SEED))
 
 
 def walk_node2vec(spark: SparkSession, d: str) -> DataFrame:
-    return _text(walks.node2vec_walks(g.growth(spark, d), 5, 1, 0.25, 2.0, SEED))
+    """Ten walks of ten nodes from every node, p = 0.25, q = 2."""
+    return _text(walks.node2vec_walks(g.growth(spark, d), 10, 10, 0.25, 2.0, SEED))
 
 
 def walk_len_hist(spark: SparkSession, d: str) -> DataFrame:
@@ -295,28 +296,42 @@ def _walk_start(num: int) -> str:
     return f"""w0 as (select node || '#' || no walk_id, [node] walk, node at_ from {sql_nodes('yt')} n, range({num}) r(no))"""
 
 
-def _uniform_sql(length: int, num: int) -> str:
-    out = f"""ixd as (select "Source" s, "Target" t, row_number() over (partition by "Source" order by "Target") - 1 ix, count(*) over (partition by "Source") k from yt), {_walk_start(num)}"""
+_IXD = 'ixd as materialized (select "Source" s, "Target" t, row_number() over (partition by "Source" order by "Target") - 1 ix, count(*) over (partition by "Source") k from yt)'
+
+
+def _uniform_sql(length: int = 80, num: int = 10) -> str:
+    """A recursive walk, all positions of which are kept."""
+    h = sql_hash_int(SEED, "walk_id", "no")
+    return f"""{_IXD}, {_walk_start(num)}, kd as (select distinct s, k from ixd),
+wk(walk_id, no, at_) as (select walk_id, 1, at_ from w0 union all select walk_id, no + 1, x.t from wk join kd on kd.s = wk.at_ join ixd x on x.s = wk.at_ and x.ix = {h} % kd.k where no < {length}),
+w as (select walk_id, list(at_ order by no) walk from wk group by 1)"""
+
+
+def _avoid_sql(length: int = 10, num: int = 5) -> str:
+    out = f"{_IXD}, {_walk_start(num)}"
     for i in range(1, length):
-        out += f""", w{i} as materialized (select walk_id, case when x.t is null then walk else list_append(walk, x.t) end walk, x.t at_ from w{i - 1} w
-    left join (select distinct s, k from ixd) d on d.s = w.at_ left join ixd x on x.s = w.at_ and x.ix = {sql_hash_int(SEED, 'walk_id', repr(str(i)))} % d.k)"""
+        out += f""", c{i} as materialized (select walk_id, x.t, row_number() over (partition by walk_id order by x.ix) - 1 rn, count(*) over (partition by walk_id) free
+    from w{i - 1} w join ixd x on x.s = w.at_ and not list_contains(w.walk, x.t)),
+w{i} as materialized (select w.walk_id, case when c.t is null then walk else list_append(walk, c.t) end walk, c.t at_ from w{i - 1} w
+    left join c{i} c on c.walk_id = w.walk_id and c.rn = {sql_hash_int(SEED, 'w.walk_id', repr(str(i)))} % c.free)"""
     return out + f", w as (select walk_id, walk from w{length - 1})"
 
 
-def _race_sql(length: int, num: int, avoid: bool, p: float = 1, q: float = 1) -> str:
-    out = _walk_start(num)
+def _node2vec_sql(length: int = 10, num: int = 10, p: float = 0.25, q: float = 2.0, tries: int = 40) -> str:
+    """All tries of each step, the first accepted one taken; 40 rejections in a row do not happen."""
+    top = max(1.0, 1 / q)
+    beyond, unit = max(0.0, 1 / p - top), float(1 << 32)
+    out = f"{_IXD}, kd as materialized (select distinct s, k from ixd), {_walk_start(num)}"
     for i in range(1, length):
-        u = f"""(({sql_hash_int(SEED, 'walk_id', repr(str(i)), 'y."Target"')} + 1) / {float((1 << 32) + 1)})"""
-        cond = 'and not list_contains(w.walk, y."Target")' if avoid else ""
-        if avoid:
-            cost = u
-        elif i == 1:
-            cost = f"-ln({u})"
-        else:
-            cost = f"""-ln({u}) / (case when y."Target" = w.walk[-2] then {1 / p} when exists (select 1 from yt z where z."Source" = w.walk[-2] and z."Target" = y."Target") then 1.0 else {1 / q} end)"""
-        out += f""", c{i} as materialized (select walk_id, y."Target" t, {cost} c from w{i - 1} w join yt y on y."Source" = w.at_ {cond}),
-b{i} as (select walk_id, t from (select *, row_number() over (partition by walk_id order by c, t) rn from c{i}) z where rn = 1),
-w{i} as materialized (select walk_id, case when t is null then walk else list_append(walk, t) end walk, t at_ from w{i - 1} left join b{i} using (walk_id))"""
+        h = lambda tag: sql_hash_int(SEED, "walk_id", repr(str(i)), "j", repr(tag))  # noqa: B023, E731
+        prev = "walk[-2]" if i > 1 else "null"
+        out += f""", s{i} as materialized (select walk_id, at_, k, {prev} pv, case when exists (select 1 from yt z where z."Source" = at_ and z."Target" = {prev}) then {beyond} else 0.0 end::double extra
+    from w{i - 1} w join kd on kd.s = w.at_),
+t{i} as materialized (select s.walk_id, j, pv, x.t, extra > 0 and {h('area')} / {unit}::double < extra / (s.k * {top}::double + extra) own, {h('accept')} / {unit}::double u
+    from s{i} s cross join range({tries}) r(j) join ixd x on x.s = s.at_ and x.ix = {h('at')} % s.k),
+b{i} as materialized (select walk_id, arg_min(case when own then pv else t end, j) t from t{i} where own or u < (case when pv is null then {top} when t = pv then {min(1 / p, top)}
+    when exists (select 1 from yt z where z."Source" = pv and z."Target" = t{i}.t) then 1.0 else {1 / q} end)::double / {top} group by 1),
+w{i} as materialized (select w.walk_id, case when b.t is null then walk else list_append(walk, b.t) end walk, b.t at_ from w{i - 1} w left join b{i} b using (walk_id))"""
     return out + f", w as (select walk_id, walk from w{length - 1})"
 
 
@@ -361,9 +376,9 @@ ORACLE = {
     "hadamard": with_("hp") + """select "Source", "Target", cast(unnest(range(len(a.embedding))) as int) dim,
         round(unnest(list_transform(range(len(a.embedding)), lambda i: cast(a.embedding[i + 1] as double) * cast(b.embedding[i + 1] as double))), 6) + 0.0 as "value"
         from hp join embeddings a on cast(a.vec_id as varchar) = "Source" join embeddings b on cast(b.vec_id as varchar) = "Target" """,
-    "walk_uniform": with_("yt", more=_uniform_sql(6, 2)) + _WTEXT,
-    "walk_self_avoiding": with_("yt", more=_race_sql(6, 1, True)) + _WTEXT,
-    "walk_node2vec": with_("yt", more=_race_sql(5, 1, False, 0.25, 2.0)) + _WTEXT,
-    "walk_len_hist": with_("yt", more=_uniform_sql(6, 2)) + 'select cast(len(walk) as int) as "length", count(*) walks from w group by 1',
-    "walk_avg_len": with_("yt", more=_uniform_sql(6, 2)) + "select round(avg(len(walk)), 6) avg_length from w",
+    "walk_uniform": with_("yt", more=_uniform_sql()) + _WTEXT,
+    "walk_self_avoiding": with_("yt", more=_avoid_sql()) + _WTEXT,
+    "walk_node2vec": with_("yt", more=_node2vec_sql()) + _WTEXT,
+    "walk_len_hist": with_("yt", more=_uniform_sql()) + 'select cast(len(walk) as int) as "length", count(*) walks from w group by 1',
+    "walk_avg_len": with_("yt", more=_uniform_sql()) + "select round(avg(len(walk)), 6) avg_length from w",
 }
