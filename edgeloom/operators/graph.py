@@ -382,7 +382,7 @@ def max_flow(edges: DataFrame, pairs: DataFrame, max_rounds: int = 10_000) -> Da
     Shortest augmenting paths, one per pair and round, for all pairs side by side: a level-synchronous search of each
     pair's residual graph keeps one predecessor per node, and the path found flips its edges. A pair is done when its
     Target is out of reach. Rounds are at most the largest flow plus one; bound the pairs on large graphs. Source = Target
-    gives null.
+    gives null. Raises RuntimeError when pairs still have a path after ``max_rounds``.
     """
     e = cut(digraph(edges).where("Source <> Target").toDF("u", "v"))
     ends = pairs.select("Source", "Target").where("Source is not null and Target is not null").distinct()
@@ -417,10 +417,14 @@ def max_flow(edges: DataFrame, pairs: DataFrame, max_rounds: int = 10_000) -> Da
             steps = s if steps is None else steps.unionByName(s)
             at = s.select(*k, F.col("via").alias("at"))
         if steps is None:
+            live = found
             break
         add = steps.where("fwd").select(*k, F.col("via").alias("u"), F.col("at").alias("v"))
         drop = steps.where("not fwd").select(*k, F.col("at").alias("u"), F.col("via").alias("v"))
         used = cut(used.join(drop, [*k, "u", "v"], "left_anti").select(*k, "u", "v").unionByName(add))
         flow = cut(flow.join(found.withColumn("one", F.lit(1)), k, "left").select(*k, (F.col("f") + F.coalesce("one", F.lit(0))).alias("f")))
+        discard(live)
         live = found
+    if not live.isEmpty():
+        raise RuntimeError(f"max_flow has not ended within {max_rounds} rounds")
     return ends.join(flow, k, "left").select(*k, F.col("f").cast("bigint").alias("max_flow"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.functions.hashing import hash_int
+from edgeloom.operators import order, report
 from edgeloom.session import cut
 
 
@@ -27,7 +28,11 @@ def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], labe
         m = GBTClassifier(maxIter=trees, seed=seed, labelCol=label, featuresCol="features")
     else:
         raise ValueError(f"unknown model {model!r}")
-    got = m.fit(assemble(train, features)).transform(assemble(test, features))
+    fitted = m.fit(assemble(train, features))
+    if model == "rf" and fitted.hasSummary:
+        # the training summary holds the session, which cannot be sent along with the model
+        fitted._java_obj.setSummary(train.sparkSession._jvm.scala.Option.apply(None))
+    got = fitted.transform(assemble(test, features))
     return got.select(*[F.col(c) for c in test.columns], F.col("prediction").cast("int").alias("Predicted"), vector_to_array("probability")[1].alias("Probability"))
 
 
@@ -56,12 +61,8 @@ def probability_auc(df: DataFrame, label: str = "Class", score: str = "Probabili
 
     Null without both classes. Ties count half.
     """
-    from edgeloom.operators.order import global_rank
-
     per = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count(F.when(F.col(label) == 1, 1)).alias("p"), F.count(F.when(F.col(label) != 1, 1)).alias("n"))
-    from edgeloom.operators.sample import _running
-
-    run = _running(global_rank(per, ["s"], "rn"), "n")
+    run = order.running_total(order.global_rank(cut(per), ["s"], "rn"), "n")
     a = run.agg(F.sum(F.col("p") * (F.col("total") - F.col("n") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return a.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.round(F.col("u") / (F.col("p") * F.col("n")), 6)).alias("roc_auc_prob"))
 
@@ -87,11 +88,9 @@ def link_stats(df: DataFrame, *group: str) -> DataFrame:
 
 def cross_validate(df: DataFrame, features: Sequence[str], label: str = "Class", folds: int = 2, seed: int = 42, **model) -> DataFrame:
     """(fold, quality...): stratified by hashing, every row tested once."""
-    from edgeloom.operators.report import union_all
-
     keyed = cut(df.withColumn("fold", F.pmod(hash_int(seed, *features, label), F.lit(folds)).cast("int")))
     parts = []
     for k in range(folds):
         got = fit_predict(keyed.where(F.col("fold") != k), keyed.where(F.col("fold") == k), features, label, seed=seed, **model)
         parts.append(evaluate(got, ["fold"], label))
-    return union_all(parts)
+    return report.union_all(parts)

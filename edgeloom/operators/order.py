@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.functions.hashing import key_hash
@@ -116,6 +116,19 @@ def by_time(ts: str, *keys: str) -> dict:
     return {"by": [c, *[F.col(k) for k in keys]], "value": F.coalesce(seconds, F.lit(1 << 40))}
 
 
+def running_total(ranked: DataFrame, value: str) -> DataFrame:
+    """Running total in rank order by blocks of 100,000 ranks: totals inside a block plus those of the blocks before."""
+    blocked = ranked.withColumn("__blk", F.floor(F.col("rn") / 100_000))
+    inner = blocked.withColumn("__in", F.sum(value).over(Window.partitionBy("__blk").orderBy("rn")))
+    per = blocked.groupBy("__blk").agg(F.sum(value).alias("__s")).collect()  # one number per 100,000 ranks
+    run, rows = 0, []
+    for blk, s in sorted((r[0], r[1] or 0) for r in per):
+        rows.append((blk, run))
+        run += s
+    base = ranked.sparkSession.createDataFrame(rows, "__blk bigint, __base bigint")
+    return inner.join(F.broadcast(base), "__blk").withColumn("total", F.col("__base") + F.col("__in")).drop("__blk", "__in", "__base")
+
+
 def shuffled(seed: int, *keys: str) -> list[Column]:
     """A seeded random order: md5 of the keys, then the keys themselves."""
     return [key_hash(seed, *keys), *[F.col(k) for k in keys]]

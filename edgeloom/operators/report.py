@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from edgeloom.operators import order
+from edgeloom.session import cut
+
 QUALITY = "size bigint, model string, precision double, recall double, roc_auc double, accuracy double, f1_score double"
 DAY_QUALITY = "day string, model string, method string, precision double, recall double, roc_auc double, accuracy double, f1_score double"
 LINK_STATS = "Size bigint, Method string, Split string, Common double, Hub double, pct_common_0 double, NUnique bigint"
@@ -59,9 +62,28 @@ def read_metrics_json(spark: SparkSession, path: str, fields: Mapping[str, str]
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, n, mean, std, min, max) of numeric columns in one scan; sample deviation."""
+    """(column, n, mean, std, min, q25, q50, q75, max) of numeric columns; sample deviation, exact quartiles.
+
+    Rows shrink to counts per distinct value at once; a quartile lies between the values at two ranks, found by running
+    totals of those counts. A column without values has a row of nulls. Nulls do not count.
+    """
     one = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x"))
-    return one.groupBy(F.col("x.column").alias("column")).agg(
-        F.count("x.v").alias("n"), F.round(F.avg("x.v"), 6).alias("mean"), F.round(F.stddev_samp("x.v"), 6).alias("std"),
-        F.min("x.v").alias("min"), F.max("x.v").alias("max"),
+    per = cut(one.groupBy("x.column", "x.v").agg(F.count(F.lit(1)).alias("k")))
+    v, k = F.col("v"), F.when(F.col("v").isNotNull(), F.col("k")).otherwise(0)
+    mean = per.groupBy("column").agg((F.sum(v * k) / F.nullif(F.sum(k), F.lit(0))).alias("m"))
+    # a row per column
+    stats = per.join(F.broadcast(mean), "column").groupBy("column").agg(
+        F.sum(k).alias("n"), F.round(F.first("m"), 6).alias("mean"),
+        F.round(F.sqrt(F.sum(k * (v - F.col("m")) * (v - F.col("m"))) / F.nullif(F.sum(k) - 1, F.lit(0))), 6).alias("std"), F.min("v").alias("min"), F.max("v").alias("max"),
     )
+    ranked = order.running_total(order.global_rank(per.where("v is not null"), ["column", "v"], "rn"), "k")
+    before = ranked.groupBy("column").agg(F.min(F.col("total") - F.col("k")).alias("start"), F.sum("k").alias("size"))
+    ranked = ranked.join(F.broadcast(before), "column").select("column", "v", "size", (F.col("total") - F.col("start") - F.col("k")).alias("lo"), (F.col("total") - F.col("start") - 1).alias("hi"))
+    aggs = []
+    for q in (25, 50, 75):
+        at = (F.col("size") - 1) * F.lit(q / 100)
+        low = F.max(F.when(F.floor(at).between(F.col("lo"), F.col("hi")), F.col("v")))
+        high = F.max(F.when(F.ceil(at).between(F.col("lo"), F.col("hi")), F.col("v")))
+        aggs.append(F.round(low + (high - low) * F.max(at - F.floor(at)), 6).alias(f"q{q}"))
+    quartiles = ranked.groupBy("column").agg(*aggs)
+    return stats.join(quartiles, "column", "left").select("column", "n", "mean", "std", "min", "q25", "q50", "q75", "max")

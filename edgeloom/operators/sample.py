@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from hashlib import md5
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,27 +39,12 @@ def sample_node(edges: DataFrame, size: int, seed: int = 42, batch: int = 1000)
     sums = ranked.groupBy("batch").agg(F.sum("k").alias("k"))
     # one number per batch of nodes; running totals over batches, cut at the batch that reaches the size
     before = order.global_rank(sums, ["batch"], "rn")
-    totals = _running(before, "k")
+    totals = order.running_total(before, "k")
     last = totals.where(F.col("total") - F.col("k") < size).select("batch")
     chosen = ranked.join(last, "batch", "left_semi").select(F.col("node").alias("Source"))
     return edges.join(chosen, "Source", "left_semi").select(*edges.columns)
 
 
-def _running(ranked: DataFrame, value: str) -> DataFrame:
-    """Running total in rank order by blocks of 100,000 ranks: totals inside a block plus those of the blocks before."""
-    from pyspark.sql import Window
-
-    blocked = ranked.withColumn("__blk", F.floor(F.col("rn") / 100_000))
-    inner = blocked.withColumn("__in", F.sum(value).over(Window.partitionBy("__blk").orderBy("rn")))
-    per = blocked.groupBy("__blk").agg(F.sum(value).alias("__s")).collect()  # one number per 100,000 ranks
-    run, rows = 0, []
-    for blk, s in sorted((r[0], r[1] or 0) for r in per):
-        rows.append((blk, run))
-        run += s
-    base = ranked.sparkSession.createDataFrame(rows, "__blk bigint, __base bigint")
-    return inner.join(F.broadcast(base), "__blk").withColumn("total", F.col("__base") + F.col("__in")).drop("__blk", "__in", "__base")
-
-
 def sample_traverse(edges: DataFrame, size: int, method: str = "bfs", seed: int = 42) -> DataFrame:
     """Two-hop stars of hashed roots until at least ``size`` edges: out-edges of a root, then of its successors.
 
@@ -81,12 +69,96 @@ def sample_traverse(edges: DataFrame, size: int, method: str = "bfs", seed: int
             break
         roots = min(n_nodes, roots * 2)
     per = first.groupBy("step").agg(F.count(F.lit(1)).alias("k"))
-    totals = _running(order.global_rank(per, ["step"], "rn"), "k")
+    totals = order.running_total(order.global_rank(per, ["step"], "rn"), "k")
     keep = totals.where(F.col("total") - F.col("k") < size).select("step")
     chosen = first.join(keep, "step", "left_semi").select(*KEY)
     return edges.join(chosen, KEY, "left_semi").select(*edges.columns)
 
 
+DFS_LIMIT = 20_000_000  # edges that one task may hold
+
+
+def sample_search(edges: DataFrame, size: int, method: str = "bfs", seed: int = 42, limit: int = DFS_LIMIT) -> DataFrame:
+    """True traversal: all out-edges of visited nodes until at least ``size`` edges, restarted at hashed nodes.
+
+    bfs goes level by level; the last level is taken node by node, by id, up to the node that reaches the size. When
+    nothing new can be reached it starts again from the next hashed nodes, twice as many each time, side by side. dfs is
+    sequential by nature: one task walks the graph, successors in descending order, each restart from the next hashed
+    node; more than ``limit`` edges raise ValueError. A graph of at most ``size`` edges comes back whole.
+    """
+    if method not in ("bfs", "dfs"):
+        raise ValueError(f"unknown traversal {method!r}")
+    edges = written(edges)
+    e, (n_edges,) = cut_counted(graph.digraph(edges))
+    if n_edges <= size:
+        return edges.join(e, KEY, "left_semi").select(*edges.columns)
+    if size <= 0:
+        return edges.where("false")
+    if method == "dfs":
+        if n_edges > limit:
+            raise ValueError(f"dfs is meant for at most {limit} edges")
+        chosen = _depth_first(e, size, seed)
+    else:
+        chosen = _breadth_first(e, size, seed)
+    return edges.join(chosen.select(F.col("node").alias("Source")), "Source", "left_semi").select(*edges.columns)
+
+
+def _breadth_first(e: DataFrame, size: int, seed: int) -> DataFrame:
+    ranked, (n_nodes,) = cut_counted(order.global_rank(cut(nodes(e)), order.shuffled(seed, "node"), "rn"))
+    out = cut(e.groupBy(F.col("Source").alias("node")).agg(F.count(F.lit(1)).alias("k")))
+    visited, reached, roots, next_root = None, 0, 1, 1
+    frontier = ranked.where("rn = 1").select("node")
+    while True:
+        level, (found, k) = cut_counted(frontier.join(out, "node", "left").fillna(0, ["k"]), F.sum("k"))
+        k = k or 0
+        if reached + k >= size:
+            totals = order.running_total(order.global_rank(level, ["node"], "rn"), "k")
+            last = totals.where(F.col("total") - F.col("k") < size - reached).select("node")
+            return last if visited is None else visited.unionByName(last)
+        reached += k
+        if found:
+            seen = level.select("node") if visited is None else visited.unionByName(level.select("node"))
+            known, visited = visited, cut(seen)
+            discard(known)
+            met = level.select(F.col("node").alias("Source")).join(e, "Source").select(F.col("Target").alias("node")).distinct()
+            frontier, (more,) = cut_counted(met.join(visited, "node", "left_anti"))
+            if more:
+                continue
+        next_root, roots = next_root + roots, min(2 * roots, n_nodes)
+        fresh = ranked.where(F.col("rn").between(next_root, next_root + roots - 1)).select("node")
+        frontier = fresh.join(visited, "node", "left_anti")
+
+
+def _depth_first(e: DataFrame, size: int, seed: int) -> DataFrame:
+    kind = e.schema["Source"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        after: dict = {}
+        every: dict = {}
+        for b in batches:
+            for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                after.setdefault(s, []).append(t)
+                every[s] = every[t] = None
+        roots = sorted(every, key=lambda n: (md5(f"{seed}|{n}".encode()).hexdigest(), n))
+        seen: dict = {}
+        got = 0
+        for r in roots:
+            stack = [r]
+            while stack and got < size:
+                n = stack.pop()
+                if n in seen:
+                    continue
+                seen[n] = None
+                got += len(after.get(n, ()))
+                stack += [t for t in sorted(after.get(n, ())) if t not in seen]
+            if got >= size:
+                break
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), b.schema.field(0).type)], ["node"])
+
+    return cut(e.coalesce(1).mapInArrow(run, f"node {kind}"))
+
+
 def sample_walk(edges: DataFrame, size: int, seed: int = 42, restart: float = 0.15, walkers: int | None = None, max_steps: int = 1000, dead_ends: int = 100) -> DataFrame:
     """Random walks with restart until ``size`` distinct edges are met, the first ones by (step, walker).
 
@@ -106,6 +178,7 @@ def sample_walk(edges: DataFrame, size: int, seed: int = 42, restart: float = 0.
     state = cut(state.select("walker", F.col("drawn").alias("start"), F.col("drawn").alias("at"), F.lit(0).alias("dead")))
     first: DataFrame | None = None
     recent: list[DataFrame] = []
+    steps: list[DataFrame] = []
     for step in range(max_steps):
         moved = walks.pick_uniform(state, index, "at", hash_int(seed, "walker", F.lit(step)), "to")
         dead = F.col("dead") + F.when(F.col("to").isNull(), 1).otherwise(0)
@@ -113,6 +186,7 @@ def sample_walk(edges: DataFrame, size: int, seed: int = 42, restart: float = 0.
         moved = moved.withColumn("dead", dead).withColumn("new", (F.col("to").isNotNull() & (u < restart)) | (F.col("dead") == dead_ends))
         moved = moved.withColumn("draw", F.pmod(hash_int(seed, "walker", F.lit(step), F.lit("s")), n) + 1).join(starts, "draw")
         moved = cut(moved.select("walker", "start", "at", "to", "dead", "new", "drawn"))
+        steps.append(moved)
         recent.append(moved.where("to is not null").select("at", "to", F.lit(step).alias("step"), "walker").toDF(*KEY, "step", "walker"))
         state = moved.select(
             "walker", F.when(F.col("new"), F.col("drawn")).otherwise(F.col("start")).alias("start"),
@@ -120,9 +194,11 @@ def sample_walk(edges: DataFrame, size: int, seed: int = 42, restart: float = 0.
         )
         if step % 10 == 9 or step == max_steps - 1:
             met = reduce(DataFrame.unionByName, recent).groupBy(*KEY).agg(F.min(F.struct("step", "walker")).alias("o"))
-            first = cut(met if first is None else first.unionByName(met).groupBy(*KEY).agg(F.min("o").alias("o")))
-            recent = []
-            if first.count() >= size:
+            known = first
+            first, (n_met,) = cut_counted(met if first is None else first.unionByName(met).groupBy(*KEY).agg(F.min("o").alias("o")))
+            discard(known, *steps[:-1])  # the last step is the walkers' state
+            recent, steps = [], steps[-1:]
+            if n_met >= size:
                 chosen = order.prefix(first, ["o"], size).select(*KEY)
                 return edges.join(chosen, KEY, "left_semi").select(*edges.columns)
     raise RuntimeError(f"random walks met fewer than {size} distinct edges within {max_steps} steps")
@@ -189,6 +265,8 @@ def with_negatives(train: DataFrame, test: DataFrame, seed: int = 42) -> tuple[D
     train, test = cut(train.select(*cols)), cut(test.select(*cols))
     nt = cut(negative_train(train, test, seed))
     ns = negative_test(train, test, nt, seed)
+    # no date, of whatever type the dates are
+    nt, ns = (n.withColumn("Date", F.lit(None).cast(e.schema["Date"].dataType)) for n, e in ((nt, train), (ns, test)))
     return train.unionByName(nt), test.unionByName(ns)
 
 

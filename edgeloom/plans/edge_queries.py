@@ -11,7 +11,7 @@ from edgeloom.functions.ids import id_text, sql_id_text
 from edgeloom.operators import graph, model, order, report, sample, split
 from edgeloom.plans import graphs as g
 from edgeloom.plans.graphs import KEY, sql_degrees, sql_nodes, with_
-from edgeloom.session import cut
+from edgeloom.session import cut, scratch
 from edgeloom.sources import edges as src
 from edgeloom.sources import generators
 from edgeloom.sources.tables import load
@@ -129,6 +129,55 @@ def sample_dfs(spark: SparkSession, d: str) -> DataFrame:
     return sample.sample_traverse(e, _size(e, 0.1), "dfs", SEED)
 
 
+def sample_bfs_full(spark: SparkSession, d: str) -> DataFrame:
+    e = cut(g.growth(spark, d))
+    return sample.sample_search(e, _size(e, 0.1), "bfs", SEED)
+
+
+def sample_dfs_full(spark: SparkSession, d: str) -> DataFrame:
+    e = cut(g.growth(spark, d))
+    return sample.sample_search(e, _size(e, 0.1), "dfs", SEED)
+
+
+def src_friendships(spark: SparkSession, d: str) -> DataFrame:
+    """Written as a raw file of friendship pairs and read back: no dates, copies kept, comments skipped."""
+    path = scratch(spark)
+    pairs = load(spark, d, "youtube_growth").where("Source is not null and Target is not null").select("Source", "Target")
+    pairs.select(F.concat_ws(" ", "Source", "Target")).unionAll(spark.createDataFrame([("% a comment",)], "c string")).write.text(path)
+    return src.read_friendships(spark, path)
+
+
+def src_social_file(spark: SparkSession, d: str) -> DataFrame:
+    """Written as a raw file of pairs and read back: constant Date, copies removed."""
+    path = scratch(spark)
+    load(spark, d, "youtube_growth").where("Source is not null and Target is not null").select(F.concat_ws(" ", "Source", "Target")).write.text(path)
+    return src.read_social(spark, path, SEED)
+
+
+def io_csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Quality per day, written as result CSV in two parts, the second appended, and read back."""
+    got = cut(eval_by_day(spark, d).where("day is not null").select(F.col("day").cast("string").alias("day"), "tp", "precision", "recall", "roc_auc", "accuracy", "f1_score"))
+    path = scratch(spark)
+    even = F.dayofmonth(F.col("day").cast("date")) % 2 == 0
+    report.write_results(got.where(even), path)
+    report.write_results(got.where(~even), path, resume=True)
+    return report.read_results(spark, path, "day string, tp bigint, precision double, recall double, roc_auc double, accuracy double, f1_score double")
+
+
+def io_json_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Degrees metrics of train, valid and test, written as one JSON object by split and read back."""
+    parts = [graph.graph_info(g.call_numbers(spark, d, k)).select(F.lit(k).alias("split"), "*") for k in ("train", "valid", "test")]
+    path = scratch(spark)
+    report.write_metrics_json(report.union_all(parts), "split", path)
+    return report.read_metrics_json(spark, path, {"nodes": "bigint", "edges": "bigint", "avg_in_degree": "double", "avg_out_degree": "double"})
+
+
+def transpose_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Link statistics with a column per outcome and a row per statistic."""
+    stats = link_stats(spark, d).select("Split", *[F.col(c).cast("double").alias(c) for c in ("Common", "Hub", "pct_common_0", "NUnique")])
+    return report.transpose(stats, "Split").withColumnRenamed("key", "statistic").select("statistic", "TP", "TN", "FP", "FN", "POS", "NEG")
+
+
 def sample_rw(spark: SparkSession, d: str) -> DataFrame:
     e = cut(g.growth(spark, d))
     return sample.sample_walk(e, _size(e, 0.05), SEED)
@@ -200,6 +249,8 @@ QUERIES = {
     "describe_debug": describe_debug, "time_split_calendar": time_split_calendar, "time_split_day": time_split_day, "prefix_split": prefix_split,
     "fraction_split": fraction_split, "capped_split": capped_split, "train_test_split": train_test_split, "filter_test": filter_test,
     "known_nodes": known_nodes, "top_targets": top_targets, "sample_time": sample_time, "sample_random": sample_random, "sample_node": sample_node,
+    "sample_bfs_full": sample_bfs_full, "sample_dfs_full": sample_dfs_full, "src_friendships": src_friendships, "src_social_file": src_social_file,
+    "io_csv_round_trip": io_csv_round_trip, "io_json_round_trip": io_json_round_trip, "transpose_outcomes": transpose_outcomes,
     "sample_bfs": sample_bfs, "sample_dfs": sample_dfs, "sample_rw": sample_rw, "neg_train": neg_train, "neg_test": neg_test, "neg_all": neg_all,
     "neg_corrupt": neg_corrupt, "gen_gnp": gen_gnp, "gen_random_dates": gen_random_dates, "eval_metrics": eval_metrics, "eval_by_day": eval_by_day,
     "link_stats": link_stats, "split_predictions": split_predictions, "unpivot_degrees": unpivot_degrees, "pivot_outcomes": pivot_outcomes,
@@ -245,11 +296,29 @@ _OUT = """o as (select *, case when "Class" = 1 then case when "Predicted" = 1 t
     from debug where "Class" is not null and "Predicted" is not null)"""
 _SP = f"""{_OUT}, sp as (select *, o as "Split" from o union all select *, case when "Predicted" = 1 then 'POS' else 'NEG' end from o)"""
 _DESC = " union all ".join(
-    f"""select '{c}' as "column", count("{c}") n, round(avg("{c}"), 6) mean, round(stddev_samp("{c}"), 6) std, cast(min("{c}") as double) min, cast(max("{c}") as double) max from debug"""
+    f"""select '{c}' as "column", count("{c}") n, round(avg("{c}"), 6) mean, round(stddev_samp("{c}"), 6) std, cast(min("{c}") as double) min,
+    round(quantile_cont("{c}", 0.25), 6) q25, round(quantile_cont("{c}", 0.5), 6) q50, round(quantile_cont("{c}", 0.75), 6) q75, cast(max("{c}") as double) max from debug"""
     for c in ("source_in", "source_out", "target_in", "target_out", "Hub", "Common")
 )
 
+_INFO = " union all ".join(
+    f"""select '{k}' size, count(*) nodes, cast(sum(o) as bigint) edges, round(avg(i), 6) avg_in_degree, round(avg(o), 6) avg_out_degree from {sql_degrees(f'c_{k}')} q"""
+    for k in ("train", "valid", "test")
+)
+_BY_SPLIT = ", ".join(
+    f"""c_{k} as (select distinct {_S} "Source", {_T} "Target" from dynamobi where "Class" = 1 and split = '{k}' and {_S} is not null and {_T} is not null)""" for k in ("train", "valid", "test")
+)
+
 ORACLE = {
+    "src_friendships": 'select cast(null as timestamp) "Date", "Source", "Target", 1 "Class" from youtube_growth where "Source" is not null and "Target" is not null',
+    "src_social_file": 'select distinct 1 "Date", "Source", "Target", 1 "Class" from youtube_growth where "Source" is not null and "Target" is not null',
+    "io_csv_round_trip": f"""select cast("day" as varchar) "day", tp, "precision", recall, roc_auc, accuracy, f1_score from (select "day", {_EVAL} from (select cast("Date" as date) as "day", {_COUNTS} from debug
+        where "Class" is not null and "Predicted" is not null group by 1) q) z where "day" is not null""",
+    "io_json_round_trip": f"with {_BY_SPLIT} {_INFO}",
+    "transpose_outcomes": f"""with {_SP}, st as (select "Split", avg("Common") c, avg("Hub") h, 100.0 * avg(cast("Common" = 0 as int)) z, count(distinct {_T}) u from sp group by 1),
+        lg as (select 'Common' statistic, "Split", round(c, 4) x from st union all select 'Hub', "Split", round(h, 4) from st union all select 'pct_common_0', "Split", round(z, 4) from st
+        union all select 'NUnique', "Split", cast(u as double) from st)
+        select statistic, {', '.join(f"""max(x) filter ("Split" = '{k}') "{k}" """ for k in ("TP", "TN", "FP", "FN", "POS", "NEG"))} from lg group by 1""",
     "src_edges_dedup": with_("calls") + "select * from calls",
     "dedup_edges": f"""select "Date", s "Source", t "Target", call_id, "Class", split, feed from (select *, row_number() over (partition by s, t order by "Date" nulls last, call_id) rn
         from (select *, {_S} s, {_T} t from dynamobi) q where s is not null and t is not null) w where rn = 1""",

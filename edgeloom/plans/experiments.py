@@ -1,4 +1,4 @@
-"""Link-prediction studies: feature families, size sweeps, day-by-day tests, error buckets, random graphs, p/q grids.
+"""Studies of how well future links are foreseen: feature families, size sweeps, day-by-day tests, error buckets, random graphs, p/q grids.
 
 Each returns a result frame in one of the report schemas. The loops run over a handful of sizes, days or families; every
 step inside is a distributed plan. Reported sizes are true numbers of positive train edges.
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.operators import embed, model, order, pairs, report, sample, split
+from edgeloom.operators.graph import Edges, Graph
 from edgeloom.operators.metrics import degree_metrics
 from edgeloom.operators.split import KEY
 from edgeloom.session import cut
@@ -21,16 +22,17 @@ FAMILIES = ("heuristic", "node2vec", "deepwalk")
 QUALITY = ("precision", "recall", "roc_auc", "accuracy", "f1_score")
 
 
-def family_features(graph: DataFrame, frame: DataFrame, family: str, with_katz: bool = True, size: int = 128, seed: int = 42, **walk) -> tuple[DataFrame, list[str]]:
+def family_features(graph: Edges, frame: DataFrame, family: str, with_katz: bool = True, katz_rounds: int | None = None, size: int = 128, seed: int = 42, **walk) -> tuple[DataFrame, list[str]]:
     """(features of each row of ``frame``, their names) from the train graph; embedding rows need both ends in it.
 
-    ``frame`` has Source, Target, Class; every other column is dropped except ``part`` and ``day``.
+    ``frame`` has Source, Target, Class; every other column is dropped except ``part`` and ``day``. ``katz_rounds``
+    bounds the rounds of Katz, which need not converge on every graph.
     """
     extra = [c for c in ("part", "day") if c in frame.columns]
     base = frame.select(*KEY, "Class", *extra)
     keyed = base.select(*KEY, "Class").distinct()
     if family == "heuristic":
-        f = pairs.heuristics(graph, keyed, with_katz=with_katz)
+        f = pairs.heuristics(graph, keyed, with_katz=with_katz, iterations=katz_rounds)
         names = [h for h in pairs.HEURISTICS if with_katz or h != "katz"]
     elif family in ("node2vec", "deepwalk"):
         emb = cut((embed.node2vec if family == "node2vec" else embed.deepwalk)(graph, seed=seed, size=size, **walk))
@@ -45,8 +47,8 @@ def evaluate_families(train: DataFrame, test: DataFrame, families: Sequence[str]
 
     Both frames have Source, Target, Class with their negatives; the graph is the positive part of ``train``.
     """
-    graph = cut(train.where("Class = 1").select(*KEY).distinct())
-    size = graph.count()
+    graph = Graph(train.where("Class = 1"))
+    size = graph.edges.count()
     parts = []
     for fam in families:
         both = train.select(*KEY, "Class").withColumn("part", F.lit("train")).withColumn("day", F.lit(None).cast("string"))
@@ -109,12 +111,13 @@ def error_buckets(edges: DataFrame, sizes: Sequence[int], families: Sequence[str
         test = cut(split.filter_test(train, rest))
         a, b = (cut(x) for x in sample.with_negatives(train, test, seed))
         size = train.count()
+        links = Graph(train)
         for fam in families:
             both = a.select(*KEY, "Class").withColumn("part", F.lit("train")).unionByName(b.select(*KEY, "Class").withColumn("part", F.lit("test")))
-            f, names = family_features(train, both, fam, seed=seed, **features)
+            f, names = family_features(links, both, fam, seed=seed, **features)
             f = cut(f)
             got = model.fit_predict(f.where("part = 'train'"), f.where("part = 'test'"), names, trees=trees, depth=depth, seed=seed)
-            stats = model.link_stats(pairs.link_stats_columns(train, got.select(*KEY, "Class", "Predicted")))
+            stats = model.link_stats(pairs.link_stats_columns(links, got.select(*KEY, "Class", "Predicted")))
             parts.append(stats.select(F.lit(size).alias("Size"), F.lit(fam).alias("Method"), *stats.columns))
     return report.union_all(parts)
 

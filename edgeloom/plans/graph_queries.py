@@ -14,7 +14,7 @@ from edgeloom.sources.tables import load
 
 SEED = 42
 KATZ_ROUNDS = 20
-DEPTH = 4
+DEPTH = 24  # levels that the SQL of distances is unrolled to; the queries follow paths of any length
 
 
 def _train(spark: SparkSession, d: str) -> DataFrame:
@@ -100,6 +100,14 @@ def shortest_path_count(spark: SparkSession, d: str) -> DataFrame:
     return graph.bfs_counts(e, split.nodes(e).toDF("root"))
 
 
+def max_flow(spark: SparkSession, d: str) -> DataFrame:
+    """Most edge-disjoint paths from every citing paper to the most cited one."""
+    e = cut(g.citations(spark, d))
+    top = e.groupBy("Target").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "Target").limit(1).select("Target")
+    pairs = e.select("Source").distinct().join(F.broadcast(top))  # one row
+    return graph.max_flow(e, pairs)
+
+
 def propflow(spark: SparkSession, d: str) -> DataFrame:
     e = g.citations(spark, d)
     return _rounded(graph.propflow(e, split.nodes(e).toDF("root")), "mean_score")
@@ -190,18 +198,37 @@ def feat_node2vec(spark: SparkSession, d: str) -> DataFrame:
     return embed.embedding_features(e.withColumn("Class", F.lit(1)), emb, 128)
 
 
-def rf_predict(spark: SparkSession, d: str) -> DataFrame:
-    """Forest on the ten heuristics: trained on train pairs with negatives, applied to the predictable test pairs."""
+_NAMES = [h for h in pairs.HEURISTICS if h != "katz"]
+
+
+def _frames(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The ten heuristics of train pairs with negatives, and of the predictable test pairs."""
     tr, te = _predictable(spark, d)
     frame = tr.edges.withColumn("Class", F.lit(1)).unionByName(sample.negative_train(tr.edges, g.call_numbers(spark, d, "test"), SEED).drop("Date"))
-    names = [h for h in pairs.HEURISTICS if h != "katz"]
-    fit = cut(pairs.heuristics(tr, frame, with_katz=False))
-    got = model.fit_predict(fit, pairs.heuristics(tr, te, with_katz=False), names)
+    return cut(pairs.heuristics(tr, frame, with_katz=False)), cut(pairs.heuristics(tr, te, with_katz=False))
+
+
+def rf_predict(spark: SparkSession, d: str) -> DataFrame:
+    """Forest on the ten heuristics: trained on train pairs with negatives, applied to the predictable test pairs."""
+    fit, apply = _frames(spark, d)
+    got = model.fit_predict(fit, apply, _NAMES)
+    return g.as_text(got).select(*KEY, "Class", "Predicted", F.round("Probability", 6).alias("Probability"))
+
+
+def gbt_predict(spark: SparkSession, d: str) -> DataFrame:
+    """Boosted trees on the same frames as the forest."""
+    fit, apply = _frames(spark, d)
+    got = model.fit_predict(fit, apply, _NAMES, model="gbt")
     return g.as_text(got).select(*KEY, "Class", "Predicted", F.round("Probability", 6).alias("Probability"))
 
 
+def cv_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Two-fold cross-validation of the forest on the train frame."""
+    return model.cross_validate(_frames(spark, d)[0], _NAMES)
+
+
 QUERIES = {
-    "nodes": nodes, "degrees": degrees, "degree_hist": degree_hist, "graph_info": graph_info, "graph_metrics": graph_metrics,
+    "gbt_predict": gbt_predict, "cv_quality": cv_quality, "max_flow": max_flow, "nodes": nodes, "degrees": degrees, "degree_hist": degree_hist, "graph_info": graph_info, "graph_metrics": graph_metrics,
     "graph_metrics_full": graph_metrics_full, "clustering": clustering, "avg_neighbor_degree": avg_neighbor_degree, "wcc": wcc, "wcc_stats": wcc_stats,
     "largest_wcc_edges": largest_wcc_edges, "scc": scc, "scc_stats": scc_stats, "katz": katz, "betweenness_k": betweenness_k, "closeness": closeness,
     "reachable_count": reachable_count, "shortest_path_count": shortest_path_count, "propflow": propflow,
@@ -276,6 +303,20 @@ def _flow(e: str, depth: int) -> str:
     return out
 
 
+def _between(k: int) -> str:
+    """Betweenness from k hashed pivots: unrolled levels forward, then dependencies from the last level back."""
+    out = _levels("hp", DEPTH).replace(_DIST.format(nodes=sql_nodes("hp")), f"""pv as (select node from (select node, row_number() over (order by {sql_key_hash(SEED, 'node')}, node) rn from {sql_nodes('hp')} q) z where rn <= {k}),
+        {_DIST.format(nodes='pv')}""")
+    out += f", v as materialized (select * from s{DEPTH}), x{DEPTH} as (select root, node, 0.0::double delta from v where dist = {DEPTH})"
+    for i in range(DEPTH - 1, 0, -1):
+        out += f""", x{i} as materialized (select a.root, a.node, coalesce(sum(a.paths / w.paths::double * (1 + coalesce(y.delta, 0))), 0) delta from v a left join hp e on e."Source" = a.node
+    left join v w on w.root = a.root and w.node = e."Target" and w.dist = {i + 1} left join x{i + 1} y on y.root = w.root and y.node = w.node where a.dist = {i} group by 1, 2)"""
+    every = " union all ".join(f"select * from x{i}" for i in range(1, DEPTH + 1))
+    n = f"(select count(*) from {sql_nodes('hp')} z)"
+    return out + f""", b as (select node, sum(delta) d from ({every}) q where root <> node group by 1),
+bt as (select n.node, round(coalesce(d, 0.0) * ({n} / {k}::double) / (({n} - 1.0) * ({n} - 2.0)), 6) betweenness from {sql_nodes('hp')} n left join b using (node))"""
+
+
 # successors of both ends, by plain self-joins
 _PAIR = f"""pd as (select * from {sql_degrees('tr')} q), up as (select distinct "Source", "Target" from ft),
 cm as (select p."Source", p."Target", count(*) c, sum(case when v.i + v.o > 1 then 1.0 / ln(v.i + v.o) else 0 end) aa from up p join tr a on a."Source" = p."Source"
@@ -354,8 +395,9 @@ ORACLE = {
     "scc": with_("yt", more=_scc("yt")) + "select * from sc",
     "scc_stats": with_("yt", more=_scc("yt")) + _STATS.format("sc"),
     "katz": with_("tr", more=_KATZ) + "select * from kz",
-    "closeness": with_("hp", more=_levels("hp", 20).replace('e."Target" node', 'e."Source" node').replace('e."Source" = d.node', 'e."Target" = d.node').replace('s.node = e."Target"', 's.node = e."Source"'))
-    + f""", c as (select root, count(*) - 1 r, sum(dist) d from s20 group by 1)
+    "betweenness_k": with_("hp", more=_between(10)) + "select * from bt",
+    "closeness": with_("hp", more=_levels("hp", DEPTH).replace('e."Target" node', 'e."Source" node').replace('e."Source" = d.node', 'e."Target" = d.node').replace('s.node = e."Target"', 's.node = e."Source"'))
+    + f""", c as (select root, count(*) - 1 r, sum(dist) d from s""" + str(DEPTH) + f""" group by 1)
         select root node, round(case when d > 0 then r / d * r / (select count(*) - 1 from {sql_nodes('hp')} q) else 0 end, 6) closeness from c""",
     "reachable_count": with_("hp", more=_reach("hp")) + f"select node, count(distinct case when b <> node then b end) reachable from {sql_nodes('hp')} n left join reach on a = node group by 1",
     "shortest_path_count": with_("hp", more=_levels("hp", DEPTH)) + f"select root, node, dist, paths from s{DEPTH}",

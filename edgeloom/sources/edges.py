@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from edgeloom.functions.hashing import key_hash
 from edgeloom.functions.ids import id_number
 
 CALL_LOG = "Date timestamp_ntz, Source string, Target string, Calls string, some string, duration string, rate string"
@@ -55,7 +56,7 @@ def read_citations(spark: SparkSession, edges: str, dates: str) -> DataFrame:
 def read_social(spark: SparkSession, path: str, seed: int = 42) -> DataFrame:
     """Space-separated pairs without dates: Date is the constant 1, copies removed, in a seeded random order."""
     df = spark.read.schema(SOCIAL).option("sep", " ").csv(path)
-    return social_edges(df)
+    return social_edges(df).orderBy(key_hash(seed, "Source", "Target"), "Source", "Target")
 
 
 def read_growth(spark: SparkSession, path: str) -> DataFrame:

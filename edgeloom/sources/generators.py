@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import pi
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +51,14 @@ def gnp_digraph(spark: SparkSession, n: int, p: float, seed: int = 1) -> DataFra
 
 
 def gaussian_matrix(spark: SparkSession, rows: int, columns: int = 100, seed: int = 1) -> DataFrame:
-    """``columns`` standard-normal features named by number and a random binary Class."""
-    cols = [F.randn(seed + i).alias(str(i)) for i in range(columns)]
-    return spark.range(rows).select(*cols, (F.rand(seed + columns) < 0.5).cast("int").alias("Class"))
+    """``columns`` standard-normal features named by number and a random binary Class.
+
+    Each cell comes from two hashes of its place (Box and Muller, 1958), so any partitioning gives the same matrix.
+    """
+    unit = F.lit(float((1 << 32) + 1))
+    u = lambda i, k: (hash_int(seed, "id", F.lit(i), F.lit(k)) + 1) / unit
+    cols = [(F.sqrt(F.lit(-2.0) * F.log(u(i, "r"))) * F.cos(F.lit(2 * pi) * u(i, "a"))).alias(str(i)) for i in range(columns)]
+    return spark.range(rows).select(*cols, F.pmod(hash_int(seed, "id", F.lit("Class")), F.lit(2)).cast("int").alias("Class"))
 
 
 def token_corpus(spark: SparkSession, sentences: int, tokens: int = 10, letters: int = 4, seed: int = 1) -> DataFrame:
