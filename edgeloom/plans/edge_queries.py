@@ -310,6 +310,20 @@ _BY_SPLIT = ", ".join(
 )
 
 ORACLE = {
+    "gen_gnp": f"""with d as (select s, j, least(floor(ln(({sql_hash_int(1, 's', 'j')} + 1) / {float((1 << 32) + 1)}::double) / ln(1 - 0.002::double)) + 1, 2000) gap from range(2000) a(s), range(60) b(j)),
+        c as (select s, sum(gap) over (partition by s order by j) - 1 at_ from d)
+        select 1 "Date", cast(s as varchar) "Source", cast(cast(at_ + case when at_ >= s then 1 else 0 end as bigint) as varchar) "Target", 1 "Class" from c where at_ < 1999""",
+    "sample_rw": with_("yt", more=f"""ixd as materialized (select "Source" s, "Target" t, row_number() over (partition by "Source" order by "Target") - 1 ix, count(*) over (partition by "Source") k from yt),
+        kd as materialized (select distinct s, k from ixd), sz as (select cast(floor(count(*) * 0.05) as bigint) z from yt),
+        st as materialized (select s node, row_number() over (order by {sql_key_hash(SEED, 's')}, s) rn, count(*) over () n from kd),
+        wk(walker, step, start_, at_, dead, f, t) as (select w, 0, node, node, 0, null::varchar, null::varchar from range(1, (select greatest(64, -(-z // 16)) from sz) + 1) r(w) join st on rn = (w - 1) % n + 1
+        union all select walker, step + 1, case when renew then node else start_ end, case when renew then node else coalesce(t2, start_) end, case when d2 = 100 then 0 else d2 end, at_, t2 from (
+            select q.*, st.node, (t2 is not null and u < 0.15) or d2 = 100 renew from (
+                select walker, step, start_, at_, x.t t2, dead + case when x.t is null then 1 else 0 end d2, {sql_hash_int(SEED, 'walker', 'step', "'r'")} / 4294967296.0::double u, {sql_hash_int(SEED, 'walker', 'step', "'s'")} hs
+                from wk left join kd on kd.s = at_ left join ixd x on x.s = at_ and x.ix = {sql_hash_int(SEED, 'walker', 'step')} % kd.k where step < 400) q
+            join st on st.rn = hs % st.n + 1) z),
+        met as (select f, t, min(row(step, walker)) o from wk where t is not null group by 1, 2), pick as (select f, t, row_number() over (order by o) rn from met)
+        """) + """select yt.* from yt join pick on pick.f = "Source" and pick.t = "Target" where rn <= (select z from sz)""",
     "src_friendships": 'select cast(null as timestamp) "Date", "Source", "Target", 1 "Class" from youtube_growth where "Source" is not null and "Target" is not null',
     "src_social_file": 'select distinct 1 "Date", "Source", "Target", 1 "Class" from youtube_growth where "Source" is not null and "Target" is not null',
     "io_csv_round_trip": f"""select cast("day" as varchar) "day", tp, "precision", recall, roc_auc, accuracy, f1_score from (select "day", {_EVAL} from (select cast("Date" as date) as "day", {_COUNTS} from debug

@@ -314,7 +314,16 @@ def _between(k: int) -> str:
     every = " union all ".join(f"select * from x{i}" for i in range(1, DEPTH + 1))
     n = f"(select count(*) from {sql_nodes('hp')} z)"
     return out + f""", b as (select node, sum(delta) d from ({every}) q where root <> node group by 1),
-bt as (select n.node, round(coalesce(d, 0.0) * ({n} / {k}::double) / (({n} - 1.0) * ({n} - 2.0)), 6) betweenness from {sql_nodes('hp')} n left join b using (node))"""
+btr as (select n.node, coalesce(d, 0.0) * ({n} / {k}::double) / (({n} - 1.0) * ({n} - 2.0)) betweenness_raw from {sql_nodes('hp')} n left join b using (node)),
+bt as (select node, round(betweenness_raw, 6) betweenness from btr)"""
+
+
+def _inward() -> str:
+    """ic(cl2): closeness over inward distances, by a recursion that ends at the graph's depth."""
+    n = f"(select count(*) - 1 from {sql_nodes('hp')} z)"
+    return f"""iw(root, node, dist) as (select node, node, 0 from {sql_nodes('hp')} q union select iw.root, e."Source", dist + 1 from iw join hp e on e."Target" = iw.node where dist < {DEPTH}),
+im as (select root, node, min(dist) dist from iw group by 1, 2),
+ic as (select root, coalesce(count(*) - 1, 0) r, case when sum(dist) > 0 then (count(*) - 1) / sum(dist) * (count(*) - 1) / {n} else 0 end cl2 from im group by 1)"""
 
 
 # successors of both ends, by plain self-joins
@@ -400,6 +409,13 @@ ORACLE = {
     + f""", c as (select root, count(*) - 1 r, sum(dist) d from s""" + str(DEPTH) + f""" group by 1)
         select root node, round(case when d > 0 then r / d * r / (select count(*) - 1 from {sql_nodes('hp')} q) else 0 end, 6) closeness from c""",
     "reachable_count": with_("hp", more=_reach("hp")) + f"select node, count(distinct case when b <> node then b end) reachable from {sql_nodes('hp')} n left join reach on a = node group by 1",
+    "graph_metrics_full": with_("hp", more=f"""{_clust('hp')}, {_and('hp')}, dg as (select * from {sql_degrees('hp')} q), {_cc('hp')}, {_scc('hp')}, {_between(10)},
+        sz1 as (select count(*) n from sc group by component), sz2 as (select count(*) n from cc group by component),
+        {_inward()}""")
+    + f"""select * from (select count(*) nodes, cast(sum(o) as bigint) edges, {_summary('in_degree', 'i')}, {_summary('out_degree', 'o')}, {_summary('clustering', 'clustering')},
+        {_summary('neighbor_degree', 'avg_neighbor_degree')} from dg join cl using (node) join av using (node)) a,
+        (select count(*) scc_count, {_summary('scc', 'n')} from sz1) b, (select count(*) wcc_count, {_summary('wcc', 'n')} from sz2) c,
+        (select {_summary('betweenness', 'b')} from (select node, betweenness_raw b from btr) q) e, (select {_summary('closeness', 'cl2')} from ic) f""",
     "shortest_path_count": with_("hp", more=_levels("hp", DEPTH)) + f"select root, node, dist, paths from s{DEPTH}",
     "propflow": with_("hp", more=_flow("hp", 5)) + "select root, round(avg(score), 6) mean_score from f5 group by 1",
     "sim_common": _sim("common"),

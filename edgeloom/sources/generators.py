@@ -2,52 +2,48 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from math import pi
+from math import log, pi, sqrt
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edgeloom.functions.hashing import hash_int
+from edgeloom.session import cut, cut_counted
 
 
 def gnp_digraph(spark: SparkSession, n: int, p: float, seed: int = 1) -> DataFrame:
     """G(n, p), directed, without self-loops, as edges with Class 1 and Date 1.
 
-    Per source node the gaps between its targets are geometric (Batagelj and Brandes, 2005), so the work is in
-    proportion to the edges; every node has its own generator, so any partitioning gives the same graph.
+    Per source node the gaps between its targets are geometric (Batagelj and Brandes, 2005), so the work is in proportion to
+    the edges. Gap j of a node comes from a hash of both, so any partitioning gives the same graph. Gaps are drawn in
+    blocks; nodes whose gaps do not yet pass the last target draw another one.
     """
     if not 0 <= p <= 1:
         raise ValueError("p must be in 0..1")
-    schema = "Source string, Target string"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            src, dst = [], []
-            for s in b.column(0).to_pylist():
-                if p <= 0:
-                    continue
-                if p >= 1:
-                    t = np.arange(n - 1)
-                else:
-                    rng, t, at = np.random.default_rng([seed, s]), [], -1
-                    while True:
-                        gaps = rng.geometric(p, max(16, int(1.2 * n * p)))
-                        run_at = at + np.cumsum(gaps)
-                        t.append(run_at[run_at < n - 1])
-                        if len(t[-1]) < len(run_at):
-                            break
-                        at = int(run_at[-1])
-                    t = np.concatenate(t)
-                t = t + (t >= s)  # skip the node itself
-                src += [str(s)] * len(t)
-                dst += [str(x) for x in t]
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(dst, pa.string())], ["Source", "Target"])
-
-    e = spark.range(n).mapInArrow(run, schema)
-    return e.select(F.lit(1).alias("Date"), "Source", "Target", F.lit(1).alias("Class"))
+    ids = spark.range(n)
+    if p <= 0 or n < 2:
+        at = ids.select(F.col("id").alias("s"), F.lit(0).cast("bigint").alias("at")).where("false")
+    elif p >= 1:
+        at = ids.select(F.col("id").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(n - 2))).alias("at"))
+    else:
+        block = int(n * p + 6 * sqrt(n * p)) + 16
+        open_, first, parts = ids.select(F.col("id").alias("s"), F.lit(-1).cast("bigint").alias("last")), 0, []
+        while True:
+            j = open_.withColumn("j", F.explode(F.sequence(F.lit(first), F.lit(first + block - 1))))
+            u = (hash_int(seed, "s", "j") + 1) / F.lit(float((1 << 32) + 1))
+            gap = F.least(F.floor(F.log(u) / F.lit(log(1 - p))) + 1, F.lit(n)).cast("bigint")
+            mine = Window.partitionBy("s").orderBy("j")
+            placed = cut(j.withColumn("at", F.col("last") + F.sum(gap).over(mine)))
+            parts.append(placed.where(F.col("at") < n - 1).select("s", "at"))
+            open_, (more,) = cut_counted(placed.groupBy("s").agg(F.max("at").alias("last")).where(F.col("last") < n - 1))
+            if not more:
+                break
+            first += block
+        at = parts[0]
+        for x in parts[1:]:
+            at = at.unionByName(x)
+    target = F.col("at") + (F.col("at") >= F.col("s")).cast("bigint")  # skips the node itself
+    return at.select(F.lit(1).alias("Date"), F.col("s").cast("string").alias("Source"), target.cast("string").alias("Target"), F.lit(1).alias("Class"))
 
 
 def gaussian_matrix(spark: SparkSession, rows: int, columns: int = 100, seed: int = 1) -> DataFrame:
