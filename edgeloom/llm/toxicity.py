@@ -278,6 +278,7 @@ def _log_odds(bags: Bags, y: np.ndarray) -> np.ndarray:
     return np.where(pos + neg > 0, np.log((pos + 0.5) / (p + 1)) - np.log((neg + 0.5) / (n + 1)), 0.0)
 
 
+LINEAR_START = 0.7  # share of the log odds the linear part starts from; the rest is left to the pairwise part
 SETTLED = 0.01  # a calm passage with a likelihood below this teaches nothing in a round
 
 
@@ -290,7 +291,7 @@ def fit(bags: Bags, y: np.ndarray, trust: np.ndarray | None = None, rounds: int
     if not len(y) or y.max() < 0.5 or y.min() > 0.5:
         fm.v[:] = 0
         return fm
-    fm.w[:] = _log_odds(bags, y)
+    fm.w[:] = LINEAR_START * _log_odds(bags, y)
     keep = np.flatnonzero((np.diff(bags.start) > 0) & (y != 0.5))  # an even vote teaches nothing
     if not len(keep):
         return fm
