@@ -292,7 +292,7 @@ def bfs_counts(edges: Edges, roots: DataFrame, max_depth: int | None = None, rev
     e = as_graph(edges).edges
     e = e.select(F.col("Target").alias("f"), F.col("Source").alias("t")) if reverse else e.toDF("f", "t")
     seen = cut(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("dist"), F.lit(1).cast("bigint").alias("paths")).distinct())
-    front, depth = seen, 0
+    front, depth, parts = seen, 0, [seen]
     while max_depth is None or depth < max_depth:
         depth += 1
         step = front.join(e, front.node == e.f).groupBy("root", F.col("t").alias("node")).agg(F.sum("paths").alias("paths"))
@@ -300,8 +300,11 @@ def bfs_counts(edges: Edges, roots: DataFrame, max_depth: int | None = None, rev
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        parts.append(front)
         if depth % 8 == 0:
             seen = cut(seen)
+            discard(*parts[:-1])  # the last level is searched from
+            parts = [front, seen]
     return seen
 
 
@@ -404,9 +407,11 @@ def max_flow(edges: DataFrame, pairs: DataFrame, max_rounds: int = 10_000) -> Da
             new = new.groupBy(*k, "at").agg(F.min(F.struct("via", "fwd")).alias("p")).select(*k, "at", "p.via", "p.fwd", F.lit(depth).alias("level"))
             new = cut(new)
             hit = new.where(F.col("at") == F.col("Target")).select(*k)
+            before = (found, seen, front)
             found = cut(hit if found is None else found.unionByName(hit))
             seen = cut(seen.unionByName(new))
             front = cut(new.join(found, k, "left_anti").select(*new.columns))
+            discard(new, *before)
         # walk back from each Target
         at = found.withColumn("at", F.col("Target"))
         steps = None
@@ -421,9 +426,10 @@ def max_flow(edges: DataFrame, pairs: DataFrame, max_rounds: int = 10_000) -> Da
             break
         add = steps.where("fwd").select(*k, F.col("via").alias("u"), F.col("at").alias("v"))
         drop = steps.where("not fwd").select(*k, F.col("at").alias("u"), F.col("via").alias("v"))
+        before = (used, flow, seen, front)
         used = cut(used.join(drop, [*k, "u", "v"], "left_anti").select(*k, "u", "v").unionByName(add))
         flow = cut(flow.join(found.withColumn("one", F.lit(1)), k, "left").select(*k, (F.col("f") + F.coalesce("one", F.lit(0))).alias("f")))
-        discard(live)
+        discard(live, *before)
         live = found
     if not live.isEmpty():
         raise RuntimeError(f"max_flow has not ended within {max_rounds} rounds")

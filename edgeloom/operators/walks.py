@@ -118,8 +118,12 @@ def self_avoiding_walks(edges: graph.Edges, path_length: int = 10, n_walks: int
     found by looking up the walk's own nodes, and their positions skipped.
     """
 
+    held: list[DataFrame] = []
+
     def move(s: DataFrame, index: DataFrame, k: int) -> DataFrame:
         s = cut(s)  # read twice
+        discard(*held)
+        held[:] = [s]
         seen = s.where("k > 0").select("walk_id", F.col("at").alias("Source"), F.explode("part").alias("Target"))
         taken = seen.join(index.select("Source", "Target", "ix"), ["Source", "Target"]).groupBy("walk_id").agg(F.array_sort(F.collect_list("ix")).alias("taken"))  # path_length at most
         s = s.join(taken, "walk_id", "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<bigint>")))
@@ -146,11 +150,14 @@ def node2vec_walks(edges: graph.Edges, walk_length: int = 80, num_walks: int = 1
     beyond = max(0.0, 1.0 / p - top)
     unit = F.lit(float(1 << 32))
     links = g.edges.select(F.col("Source").cast("string").alias("from"), F.col("Target").cast("string").alias("to"))
+    held: list[DataFrame] = []
 
     def move(s: DataFrame, index: DataFrame, k: int) -> DataFrame:
         back = links.select(F.col("from").alias("at"), F.col("to").alias("prev"), F.lit(True).alias("back"))
         s = s.join(back, ["at", "prev"], "left").select(*s.columns, F.when(F.col("back"), F.lit(beyond)).otherwise(F.lit(0.0)).alias("extra"))
         open_, done, first = cut(s), None, 0
+        discard(*held)
+        held[:] = [open_]
         while True:
             tries = open_.withColumn("j", F.explode(F.sequence(F.lit(first), F.lit(first + TRIES - 1))))
             h = lambda tag: hash_int(seed, "walk_id", F.lit(k), "j", F.lit(tag))
@@ -164,6 +171,7 @@ def node2vec_walks(edges: graph.Edges, walk_length: int = 80, num_walks: int = 1
             node = F.when(F.col("own"), F.col("prev")).otherwise(F.col("to"))
             best = tries.where(good).groupBy("walk_id").agg(F.min(F.struct("j", node.alias("to"), F.when(~F.col("own"), F.col("kt")).alias("kt"))).alias("b"))
             got, (_, missing) = cut_counted(open_.join(best, "walk_id", "left"), F.count(F.when(F.col("b").isNull(), 1)))
+            held.append(got)
             mine = got.where("b is not null").select(*open_.columns, "b.to", "b.kt")
             done = mine if done is None else done.unionByName(mine)
             if not missing:

@@ -278,6 +278,16 @@ def _summary(name: str, c: str) -> str:
     return f"round(cast(min({c}) as double), 6) min_{name}, round(cast(max({c}) as double), 6) max_{name}, round(avg({c}), 6) avg_{name}, round(stddev_pop({c}), 6) std_{name}"
 
 
+def metrics_sql() -> str:
+    """Counts and summaries of the degree, clustering and neighbour vectors of ``vectors_sql``, which is to precede them."""
+    return f"""select count(*) nodes, cast(sum(o) as bigint) edges, {_summary('in_degree', 'i')}, {_summary('out_degree', 'o')}, {_summary('clustering', 'clustering')},
+        {_summary('neighbor_degree', 'avg_neighbor_degree')} from dg join cl using (node) join av using (node)"""
+
+
+def vectors_sql(e: str) -> str:
+    return f"{_clust(e)}, {_and(e)}, dg as (select * from {sql_degrees(e)} q)"
+
+
 _KATZ = f"kn as (select node from {sql_nodes('tr')} q), k0 as (select node, 0.0::double x from kn)" + "".join(
     f""", k{i + 1} as materialized (select n.node, 0.1 * coalesce(sum(k.x), 0) + 1 x from kn n left join tr on tr."Target" = n.node left join k{i} k on k.node = tr."Source" group by 1)"""
     for i in range(KATZ_ROUNDS)
@@ -392,9 +402,7 @@ ORACLE = {
     "degrees": with_("calls") + f"select node, i in_degree, o out_degree, i + o degree from {sql_degrees('calls')} q",
     "degree_hist": with_("calls") + f"select i + o degree, count(*) nodes from {sql_degrees('calls')} q group by 1",
     "graph_info": with_("calls") + f"""select count(*) nodes, cast(sum(o) as bigint) edges, round(avg(i), 6) avg_in_degree, round(avg(o), 6) avg_out_degree from {sql_degrees('calls')} q""",
-    "graph_metrics": with_("calls", more=f"{_clust('calls')}, {_and('calls')}, dg as (select * from {sql_degrees('calls')} q)")
-    + f"""select count(*) nodes, cast(sum(o) as bigint) edges, {_summary('in_degree', 'i')}, {_summary('out_degree', 'o')}, {_summary('clustering', 'clustering')},
-        {_summary('neighbor_degree', 'avg_neighbor_degree')} from dg join cl using (node) join av using (node)""",
+    "graph_metrics": with_("calls", more=vectors_sql("calls")) + metrics_sql(),
     "clustering": with_("calls", more=_clust("calls")) + "select node, round(clustering, 6) clustering from cl",
     "avg_neighbor_degree": with_("calls", more=_and("calls")) + "select node, round(avg_neighbor_degree, 6) avg_neighbor_degree from av",
     "wcc": with_("calls", more=_cc("calls")) + "select * from cc",
@@ -409,11 +417,10 @@ ORACLE = {
     + f""", c as (select root, count(*) - 1 r, sum(dist) d from s""" + str(DEPTH) + f""" group by 1)
         select root node, round(case when d > 0 then r / d * r / (select count(*) - 1 from {sql_nodes('hp')} q) else 0 end, 6) closeness from c""",
     "reachable_count": with_("hp", more=_reach("hp")) + f"select node, count(distinct case when b <> node then b end) reachable from {sql_nodes('hp')} n left join reach on a = node group by 1",
-    "graph_metrics_full": with_("hp", more=f"""{_clust('hp')}, {_and('hp')}, dg as (select * from {sql_degrees('hp')} q), {_cc('hp')}, {_scc('hp')}, {_between(10)},
+    "graph_metrics_full": with_("hp", more=f"""{vectors_sql('hp')}, {_cc('hp')}, {_scc('hp')}, {_between(10)},
         sz1 as (select count(*) n from sc group by component), sz2 as (select count(*) n from cc group by component),
         {_inward()}""")
-    + f"""select * from (select count(*) nodes, cast(sum(o) as bigint) edges, {_summary('in_degree', 'i')}, {_summary('out_degree', 'o')}, {_summary('clustering', 'clustering')},
-        {_summary('neighbor_degree', 'avg_neighbor_degree')} from dg join cl using (node) join av using (node)) a,
+    + f"""select * from ({metrics_sql()}) a,
         (select count(*) scc_count, {_summary('scc', 'n')} from sz1) b, (select count(*) wcc_count, {_summary('wcc', 'n')} from sz2) c,
         (select {_summary('betweenness', 'b')} from (select node, betweenness_raw b from btr) q) e, (select {_summary('closeness', 'cl2')} from ic) f""",
     "shortest_path_count": with_("hp", more=_levels("hp", DEPTH)) + f"select root, node, dist, paths from s{DEPTH}",

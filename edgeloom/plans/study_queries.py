@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import pi
+from math import pi, sqrt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from edgeloom.functions.ids import id_number
 from edgeloom.operators import embed, sample, split
 from edgeloom.plans import experiments as ex
 from edgeloom.plans import graphs as g
+from edgeloom.plans.graph_queries import metrics_sql, vectors_sql
 from edgeloom.sources import generators
 from edgeloom.sources.edges import dedup_first
 from edgeloom.session import cut
@@ -97,6 +98,14 @@ QUERIES = {
     "study_grid": study_grid, "study_random_links": study_random_links, "embed_stress": embed_stress, "study_buckets": study_buckets, "study_random_graphs": study_random_graphs, "gen_matrix": gen_matrix, "gen_corpus": gen_corpus,
 }
 
+def _gnp(n: int, p: float) -> str:
+    """gn: the edges of G(n, p), from more gaps than any node needs."""
+    draws = int(n * p + 12 * sqrt(n * p)) + 30
+    return f"""dr as (select s, j, least(floor(ln(({sql_hash_int(1, 's', 'j')} + 1) / {_UNIT}::double) / ln(1 - {p}::double)) + 1, {n}) gap from range({n}) a(s), range({draws}) b(j)),
+    pl as (select s, sum(gap) over (partition by s order by j) - 1 at_ from dr),
+    gn as (select cast(s as varchar) "Source", cast(cast(at_ + case when at_ >= s then 1 else 0 end as bigint) as varchar) "Target" from pl where at_ < {n - 1})"""
+
+
 _UNIT = float((1 << 32) + 1)
 
 
@@ -106,6 +115,7 @@ def _cell(i: int) -> str:
 
 
 ORACLE = {
+    "study_random_graphs": " union all ".join(f"select * from (with {_gnp(n, 0.01)}, {vectors_sql('gn')} select {n} size, * from ({metrics_sql()}) m) w" for n in (500, 1000)),
     "gen_matrix": f"select {', '.join(_cell(i) for i in range(100))}, cast({sql_hash_int(1, 'id', repr('Class'))} % 2 as int) \"Class\" from range(1000) r(id)",
     "embed_stress": "select count(*) tokens, cast(100 as int) size, 0::bigint broken from (select distinct string_agg(chr(97 + cast(cast('0x' || substr(md5('1|' || id || '|' || t || '|' || k), 1, 8) as bigint) % 26 as int)), '' order by k) w "
     "from range(20000) a(id), range(10) b(t), range(4) c(k) group by id, t) q",

@@ -1,10 +1,13 @@
 import datetime as dt
 import gzip
+import hashlib
+import random
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from edgeloom.operators import order, split
+from edgeloom.operators import order, report, sample, split
 from edgeloom.plans import edge_queries
 from edgeloom.sources import edges as src
 
@@ -72,3 +75,87 @@ def test_capped_split_keeps_the_window(spark, tmp_path):
     e = spark.range(1000).selectExpr("cast(id as string) Source", "cast(id + 1 as string) Target", "id Date")
     e.write.parquet(str(tmp_path / "youtube_growth.parquet"))
     assert rows(edge_queries.capped_split(spark, str(tmp_path)).groupBy("part").count()) == [("test", 750), ("train", 250)]
+
+
+@pytest.mark.parametrize("small", [1, 7, 100_000])
+def test_among_first_is_the_head_of_the_order(spark, monkeypatch, small):
+    monkeypatch.setattr(order, "SMALL", small)
+    rng = random.Random(small)
+    data = [(rng.choice([None, 1, 2, 2, 5, 10**12]), str(i), rng.randrange(3)) for i in range(300)]
+    df = spark.createDataFrame(data, "v bigint, k string, x int")
+    value = F.coalesce("v", F.lit(1 << 60))
+    want = sorted(data, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    for n in (0, 1, 57, 150, 299, 300, 1000):
+        assert rows(df.where(order.among_first(df, value, ["k"], n))) == sorted(want[:n], key=repr)
+    assert df.where("false").where(order.among_first(df.where("false"), value, ["k"], 3)).count() == 0
+    copies = spark.createDataFrame([(1, "a")] * 3 + [(2, "b")], "v bigint, k string")
+    assert copies.where(order.among_first(copies, F.col("v"), ["k"], 2)).count() == 3  # ties with the last row are in
+
+
+def test_time_order_has_null_dates_last(spark):
+    t = dt.datetime(2008, 7, 1)
+    data = [(None, "a", "b"), (t + dt.timedelta(seconds=1), "c", "d"), (t, "e", "f"), (t, "a", "z"), (t + dt.timedelta(microseconds=1), "a", "a")]
+    df = spark.createDataFrame([(*r, 1) for r in data], "Date timestamp_ntz, Source string, Target string, Class int")
+    want = sorted(data, key=lambda r: (r[0] is None, r[0] or t, r[1], r[2]))
+    for n in range(6):
+        assert rows(sample.sample_time(df, n), "Date", "Source", "Target") == sorted(want[:n], key=repr)
+    parts = {r.Source + r.Target: r.part for r in order.fraction_split(df, share=0.4, **order.by_time("Date", "Source", "Target")).collect()}
+    assert sorted(k for k, p in parts.items() if p == "train") == sorted(s + x for _, s, x in want[:2])
+
+
+def test_quartiles(spark):
+    rng = random.Random(5)
+    a, b = [float(rng.randrange(9)) for _ in range(41)], [rng.random() for _ in range(40)]
+    df = spark.createDataFrame([(a[i] if i < 41 else None, b[i] if i < 40 else None, None) for i in range(45)], "a double, b double, c double")
+    got = {r.column: r for r in report.describe(df, ["a", "b", "c"]).collect()}
+    for k, v in (("a", a), ("b", b)):
+        import numpy as np
+
+        assert (got[k].n, got[k].min, got[k].max) == (len(v), min(v), max(v))
+        assert [got[k].q25, got[k].q50, got[k].q75] == pytest.approx(list(np.quantile(v, [0.25, 0.5, 0.75])), abs=1e-6)
+        assert (got[k].mean, got[k].std) == pytest.approx((np.mean(v), np.std(v, ddof=1)), abs=1e-6)
+    assert (got["c"].n, got["c"].mean, got["c"].q50) == (0, None, None)
+    assert report.describe(df.where("false"), ["a"]).count() == 0
+
+
+@pytest.mark.parametrize("method", ["bfs", "dfs"])
+def test_full_traversal_by_brute_force(spark, method):
+    rng = random.Random(3)
+    e = {(str(rng.randrange(60)), str(rng.randrange(60))) for _ in range(120)} | {("x", "x")}
+    df = spark.createDataFrame(sorted(e), "Source string, Target string").withColumn("Class", F.lit(1))
+    key = lambda n: (hashlib.md5(f"42|{n}".encode()).hexdigest(), n)
+    nodes = sorted({x for p in e for x in p}, key=key)
+    after = {n: sorted(t for s, t in e if s == n) for n in nodes}
+
+    def visit(size):
+        seen, got, roots, at = [], 0, 1, 0
+        if method == "dfs":
+            for r in nodes:
+                stack = [r]
+                while stack and got < size:
+                    n = stack.pop()
+                    if n not in seen:
+                        seen.append(n)
+                        got += len(after[n])
+                        stack += [t for t in after[n] if t not in seen]
+            return seen
+        level = nodes[:1]
+        while True:
+            for n in sorted(level):
+                seen.append(n)
+                got += len(after[n])
+                if got >= size:
+                    return seen
+            level = sorted({t for n in level for t in after[n]} - set(seen))
+            while not level:
+                at, roots = at + roots, min(2 * roots, len(nodes))
+                level = [n for n in nodes[at : at + roots] if n not in seen]
+
+    for size in (1, 30, 90, len(e) - 1):
+        kept = set(visit(size))
+        assert rows(sample.sample_search(df, size, method), "Source", "Target") == sorted((s, t) for s, t in e if s in kept)
+    assert sample.sample_search(df, len(e), method).count() == len(e) and sample.sample_search(df, 0, method).count() == 0
+    with pytest.raises(ValueError, match="unknown"):
+        sample.sample_search(df, 1, "none")
+    with pytest.raises(ValueError, match="at most"):
+        sample.sample_search(df, 1, "dfs", limit=5)

@@ -170,7 +170,7 @@ def test_embedding_queries_use_the_full_setting(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 1)], "Source int, Target int").write.parquet(str(tmp_path / "hepph_edges.parquet"))
     seen = []
     monkeypatch.setattr(embed, "Word2Vec", lambda **kw: seen.append(kw) or Word2Vec(**kw))
-    monkeypatch.setattr(embed.walk_ops, "uniform_walks", lambda e, length, num, seed: seen.append((length, num)) or walks.node2vec_walks(e, 4, 1, seed=seed))
+    monkeypatch.setattr(embed.walk_ops, "uniform_walks", lambda e, length, num, seed: seen.append((length, num)) or walks.self_avoiding_walks(e, 4, 1, seed=seed))
     emb = graph_queries.embed_deepwalk(spark, str(tmp_path)).collect()
     assert seen[0] == (80, 10) and (seen[1]["vectorSize"], seen[1]["maxIter"]) == (128, 4)
     assert len(emb) == 3 and all(len(r.emb) == 128 for r in emb)
