@@ -121,10 +121,16 @@ def p5_agreement(spark: SparkSession, d: str) -> DataFrame:
     """The estimates of ``p5_distinct`` beside exact counts: how many cells there are, and how many lie beyond 5 standard errors (and 2)."""
     dyn = cut(load(spark, d, "dynamobi").select(*[c.alias(k) for k, c in _dims().items()], *[c.alias(f"x_{k}") for k, c in _items().items()]))
     est = merge_all_groups(sketches(dyn, {k: F.col(k) for k in _dims()}, {k: F.col(f"x_{k}") for k in _items()}), list(_dims()), list(_items()))
-    # exact: distinct values of each cell first, so that a hot cell's rows are combined before they meet
+    kinds = [(k, t) for k, t in dyn.dtypes if k in _dims()]
+    # exact: the cells of each value, no more than there are finest groups, then its cells of each grouping; only counts move on
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("item"), F.col(f"x_{k}").alias("v")) for k in _items()])).alias("x")
-    flat = dyn.select(*_dims(), each).where("x.v is not null").select(*_dims(), "x.item", "x.v").distinct()
-    wide = flat.withColumn("g", F.explode(_groupings(list(_dims())))).select("g.grouping", *[f"g.{c}" for c in _dims()], "item", "v").distinct()
+    per = dyn.select(each, F.struct(*_dims()).alias("cell")).where("x.v is not null").groupBy("x.item", "x.v").agg(F.collect_set("cell").alias("cells"))
+
+    def seen_in(keep: tuple[str, ...]) -> Column:
+        return F.transform("cells", lambda c: F.struct(F.lit(",".join(keep)).alias("grouping"), *[(c[k] if k in keep else F.lit(None).cast(t)).alias(k) for k, t in kinds]))
+
+    cells = [seen_in(keep) for keep in _sets(list(_dims()))]
+    wide = per.select("item", F.explode(F.array_distinct(F.concat(*cells))).alias("g")).select("g.*", "item")
     exact = wide.groupBy("grouping", *_dims(), "item").agg(F.count(F.lit(1)).alias("exact"))
     long = est.select("grouping", *_dims(), F.explode(F.array(*[F.struct(F.lit(k).alias("item"), F.col(f"distinct_{k}").alias("estimate")) for k in _items()])).alias("x"))
     long = long.select("grouping", *_dims(), "x.*")
