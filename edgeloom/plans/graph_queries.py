@@ -94,6 +94,23 @@ def reachable_count(spark: SparkSession, d: str) -> DataFrame:
     return graph.reachable_count(g.citations(spark, d))
 
 
+def reach_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Estimates of reach and closeness on the citations beside the exact ones: nodes, and how many lie beyond 5 standard errors (or one node)."""
+    e = graph.Graph(g.citations(spark, d))
+    exact = graph.reachable_count(e).join(graph.closeness(e), "node")
+    near = graph.reach_estimates(e).select("node", (F.col("reached") - 1).alias("about")).join(graph.closeness_estimates(e).withColumnRenamed("closeness", "close"), "node")
+    tol = 5 * 1.04 / 64
+    far = F.abs(F.col("about") - F.col("reachable")) > F.greatest(F.lit(1.0), F.lit(tol) * F.col("reachable"))
+    # closeness has the reach squared over summed distances, so three times its error
+    off = F.abs(F.col("close") - F.col("closeness")) > F.lit(3 * tol) * F.col("closeness") + 1e-9
+    return exact.join(near, "node").agg(F.count(F.lit(1)).alias("nodes"), F.count(F.when(far, 1)).alias("reach_beyond"), F.count(F.when(off, 1)).alias("closeness_beyond"))
+
+
+def reach_calls(spark: SparkSession, d: str) -> DataFrame:
+    """About how many nodes each node of the call graph reaches, and the summed distances, from sketches."""
+    return g.as_text(graph.reach_estimates(g.call_numbers(spark, d)))
+
+
 def shortest_path_count(spark: SparkSession, d: str) -> DataFrame:
     """Distances, however long, and shortest paths from every cited or citing paper."""
     e = g.citations(spark, d)
@@ -228,7 +245,7 @@ def cv_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "gbt_predict": gbt_predict, "cv_quality": cv_quality, "max_flow": max_flow, "nodes": nodes, "degrees": degrees, "degree_hist": degree_hist, "graph_info": graph_info, "graph_metrics": graph_metrics,
+    "reach_agreement": reach_agreement, "reach_calls": reach_calls, "gbt_predict": gbt_predict, "cv_quality": cv_quality, "max_flow": max_flow, "nodes": nodes, "degrees": degrees, "degree_hist": degree_hist, "graph_info": graph_info, "graph_metrics": graph_metrics,
     "graph_metrics_full": graph_metrics_full, "clustering": clustering, "avg_neighbor_degree": avg_neighbor_degree, "wcc": wcc, "wcc_stats": wcc_stats,
     "largest_wcc_edges": largest_wcc_edges, "scc": scc, "scc_stats": scc_stats, "katz": katz, "betweenness_k": betweenness_k, "closeness": closeness,
     "reachable_count": reachable_count, "shortest_path_count": shortest_path_count, "propflow": propflow,
@@ -412,6 +429,7 @@ ORACLE = {
     "scc": with_("yt", more=_scc("yt")) + "select * from sc",
     "scc_stats": with_("yt", more=_scc("yt")) + _STATS.format("sc"),
     "katz": with_("tr", more=_KATZ) + "select * from kz",
+    "reach_agreement": with_("hp") + f"select count(*) nodes, 0::bigint reach_beyond, 0::bigint closeness_beyond from {sql_nodes('hp')} q",
     "betweenness_k": with_("hp", more=_between(10)) + "select * from bt",
     "closeness": with_("hp", more=_levels("hp", DEPTH).replace('e."Target" node', 'e."Source" node').replace('e."Source" = d.node', 'e."Target" = d.node').replace('s.node = e."Target"', 's.node = e."Source"'))
     + f""", c as (select root, count(*) - 1 r, sum(dist) d from s""" + str(DEPTH) + f""" group by 1)

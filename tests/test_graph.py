@@ -174,3 +174,19 @@ def test_embedding_queries_use_the_full_setting(spark, tmp_path, monkeypatch):
     emb = graph_queries.embed_deepwalk(spark, str(tmp_path)).collect()
     assert seen[0] == (80, 10) and (seen[1]["vectorSize"], seen[1]["maxIter"]) == (128, 4)
     assert len(emb) == 3 and all(len(r.emb) == 128 for r in emb)
+
+
+def test_reach_estimates(spark, tiny):
+    """Small sets are exact, large ones within the stated error."""
+    e, df = _random_graph(spark, 300, 700, 5)
+    reach = {v: _reach(e, v)[0] for v in {x for p in e for x in p}}
+    got = {r.node: r for r in graph.reach_estimates(df).collect()}
+    assert set(got) == set(reach)
+    for v, d in reach.items():
+        assert abs(got[v].reached - len(d)) <= max(1, 5 * 1.04 / 64 * len(d))
+        assert abs(got[v].distance_sum - sum(d.values())) <= max(2, 0.2 * sum(d.values()))
+    close = lambda df: {r.node: round(r.closeness, 6) for r in df.collect()}
+    assert close(graph.closeness_estimates(tiny)) == close(graph.closeness(tiny))
+    assert graph.reach_estimates(tiny.where("false")).count() == 0
+    with pytest.raises(RuntimeError):
+        graph.reach_estimates(df, max_rounds=1)
