@@ -17,7 +17,7 @@ from edgeloom.functions.hashing import hash_int
 from edgeloom.operators import graph, order
 from edgeloom.session import cut, cut_counted, discard
 
-CUT_EVERY = 8
+CUT_EVERY = 4
 TRIES = 4  # proposals of a walk per round of acceptance and rejection
 
 
