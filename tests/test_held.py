@@ -4,9 +4,11 @@ import random
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from edgeloom import session
-from edgeloom.operators import graph, held
+from edgeloom.operators import graph, held, walks
+from edgeloom.plans import graph_queries
 
 
 def _graphs(spark):
@@ -33,3 +35,13 @@ def test_reach_and_closeness(spark, monkeypatch, words):
             monkeypatch.setattr(held, "WORDS", words)
             a, b, tables = _both(monkeypatch, lambda f=f, df=df: [(r[0], round(r[1], 9)) for r in sorted(f(df).collect())])
             assert a == b and tables <= 2  # the edges, and the sums of closeness; not a table per level
+
+
+def test_agreement_writes_no_table_per_level_of_the_exact_search(spark, monkeypatch, tmp_path):
+    spark.createDataFrame([(i, i + 1) for i in range(10)], "Source int, Target int").write.parquet(str(tmp_path / "hepph_edges.parquet"))
+    calls = []
+    monkeypatch.setattr(graph, "cut", lambda df, real=graph.cut: calls.append(1) or real(df))
+    monkeypatch.setattr(graph, "cut_counted", lambda df, *more, real=graph.cut_counted: calls.append(1) or real(df, *more))
+    assert rows(graph_queries.reach_agreement(spark, str(tmp_path))) == [(11, 0, 0)]
+    # the edges, two estimates of eleven rounds and a start, a few single tables; the exact searches took 26 more
+    assert len(calls) <= 30
