@@ -2,7 +2,8 @@
 
 Successors of a node are numbered, and a walk looks its next node up by number: a hub's neighbourhood is never expanded.
 Walks travel as (walk_id, node, a few recent nodes); their nodes are written down in blocks and put together at the
-end, so shuffled data and plans are linear in the length.
+end, so shuffled data and plans are linear in the length. Where a task can hold the graph, uniform and second-order walks are
+made by tasks with a share of the nodes each (``held``), by the same hashes.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.functions.hashing import hash_int
-from edgeloom.operators import graph, order
+from edgeloom.operators import graph, held, order
 from edgeloom.session import cut, cut_counted, discard
 
 CUT_EVERY = 4
@@ -108,7 +109,10 @@ def uniform_walks(edges: graph.Edges, walk_length: int = 80, num_walks: int = 10
 
     walk_id is node#number; step k of a walk takes successor number H(walk_id, k) mod out-degree. Nodes are strings.
     """
-    return _walk(edges, walk_length, num_walks, seed, lambda s, index, k: _look_up(s, index, F.pmod(hash_int(seed, "walk_id", F.lit(k)), _some("k"))))
+    g = graph.as_graph(edges)
+    if g.held is not None and num_walks > 0:
+        return held.walks(g.held, g.edges.sparkSession, walk_length, num_walks, held.uniform_step(seed))
+    return _walk(g, walk_length, num_walks, seed, lambda s, index, k: _look_up(s, index, F.pmod(hash_int(seed, "walk_id", F.lit(k)), _some("k"))))
 
 
 def self_avoiding_walks(edges: graph.Edges, path_length: int = 10, n_walks: int = 5, seed: int = 42) -> DataFrame:
@@ -118,12 +122,12 @@ def self_avoiding_walks(edges: graph.Edges, path_length: int = 10, n_walks: int
     found by looking up the walk's own nodes, and their positions skipped.
     """
 
-    held: list[DataFrame] = []
+    kept: list[DataFrame] = []
 
     def move(s: DataFrame, index: DataFrame, k: int) -> DataFrame:
         s = cut(s)  # read twice
-        discard(*held)
-        held[:] = [s]
+        discard(*kept)
+        kept[:] = [s]
         seen = s.where("k > 0").select("walk_id", F.col("at").alias("Source"), F.explode("part").alias("Target"))
         taken = seen.join(index.select("Source", "Target", "ix"), ["Source", "Target"]).groupBy("walk_id").agg(F.array_sort(F.collect_list("ix")).alias("taken"))  # path_length at most
         s = s.join(taken, "walk_id", "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<bigint>")))
@@ -146,18 +150,20 @@ def node2vec_walks(edges: graph.Edges, walk_length: int = 80, num_walks: int = 1
     if p == 1 and q == 1:
         return uniform_walks(edges, walk_length, num_walks, seed)
     g = graph.as_graph(edges)
+    if g.held is not None and num_walks > 0:
+        return held.walks(g.held, g.edges.sparkSession, walk_length, num_walks, held.second_order_step(p, q, seed))
     top = max(1.0, 1.0 / q)
     beyond = max(0.0, 1.0 / p - top)
     unit = F.lit(float(1 << 32))
     links = g.edges.select(F.col("Source").cast("string").alias("from"), F.col("Target").cast("string").alias("to"))
-    held: list[DataFrame] = []
+    kept: list[DataFrame] = []
 
     def move(s: DataFrame, index: DataFrame, k: int) -> DataFrame:
         back = links.select(F.col("from").alias("at"), F.col("to").alias("prev"), F.lit(True).alias("back"))
         s = s.join(back, ["at", "prev"], "left").select(*s.columns, F.when(F.col("back"), F.lit(beyond)).otherwise(F.lit(0.0)).alias("extra"))
         open_, done, first = cut(s), None, 0
-        discard(*held)
-        held[:] = [open_]
+        discard(*kept)
+        kept[:] = [open_]
         while True:
             tries = open_.withColumn("j", F.explode(F.sequence(F.lit(first), F.lit(first + TRIES - 1))))
             h = lambda tag: hash_int(seed, "walk_id", F.lit(k), "j", F.lit(tag))
@@ -171,7 +177,7 @@ def node2vec_walks(edges: graph.Edges, walk_length: int = 80, num_walks: int = 1
             node = F.when(F.col("own"), F.col("prev")).otherwise(F.col("to"))
             best = tries.where(good).groupBy("walk_id").agg(F.min(F.struct("j", node.alias("to"), F.when(~F.col("own"), F.col("kt")).alias("kt"))).alias("b"))
             got, (_, missing) = cut_counted(open_.join(best, "walk_id", "left"), F.count(F.when(F.col("b").isNull(), 1)))
-            held.append(got)
+            kept.append(got)
             mine = got.where("b is not null").select(*open_.columns, "b.to", "b.kt")
             done = mine if done is None else done.unionByName(mine)
             if not missing:

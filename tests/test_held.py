@@ -45,3 +45,18 @@ def test_agreement_writes_no_table_per_level_of_the_exact_search(spark, monkeypa
     assert rows(graph_queries.reach_agreement(spark, str(tmp_path))) == [(11, 0, 0)]
     # the edges, two estimates of eleven rounds and a start, a few single tables; the exact searches took 26 more
     assert len(calls) <= 30
+
+
+@pytest.mark.parametrize("p,q", [(1, 1), (0.25, 2.0), (2.0, 0.5), (0.5, 1)])
+def test_walks_are_those_of_the_joins(spark, monkeypatch, p, q):
+    for df in _graphs(spark):
+        a, b, tables = _both(monkeypatch, lambda df=df: rows(walks.node2vec_walks(df, 7, 2, p, q), "walk_id", "walk"))
+        assert a == b and tables == 1
+
+
+def test_walk_lengths_need_no_table_of_steps(spark, tmp_path):
+    spark.createDataFrame([(str(i), str(i + 1), 1, 1) for i in range(30)], "Source string, Target string, X int, Date bigint").write.parquet(str(tmp_path / "youtube_growth.parquet"))
+    for f, want in ((graph_queries.walk_len_hist, [(i, 10) for i in range(1, 32)]), (graph_queries.walk_avg_len, [(16.0,)])):
+        before = len(session._written)
+        assert sorted(rows(f(spark, str(tmp_path)))) == want
+        assert len(session._written) - before == 1
