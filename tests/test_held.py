@@ -47,6 +47,27 @@ def test_agreement_writes_no_table_per_level_of_the_exact_search(spark, monkeypa
     assert len(calls) <= 30
 
 
+def test_path_counts_and_betweenness(spark, monkeypatch):
+    for df in _graphs(spark):
+        roots = graph.node_set(df).toDF("root").unionByName(spark.createDataFrame([("nowhere",), ("n1",)], "root string"))
+        for kw in ({}, {"max_depth": 2}, {"reverse": True}):
+            a, b, tables = _both(monkeypatch, lambda df=df, roots=roots, kw=kw: rows(graph.bfs_counts(df, roots, **kw)))
+            assert a == b and tables == 1
+        for k in (None, 3):
+            a, b, tables = _both(monkeypatch, lambda df=df, k=k: [(r[0], round(r[1], 9)) for r in sorted(graph.betweenness(df, k).collect())])
+            assert a == b and tables <= 4
+
+
+def test_too_many_paths_are_an_error(spark):
+    # 64 diamonds in a row: 2 ** 64 shortest paths
+    e = [p for i in range(64) for p in ((f"{i}", f"{i}a"), (f"{i}", f"{i}b"), (f"{i}a", f"{i + 1}"), (f"{i}b", f"{i + 1}"))]
+    df = spark.createDataFrame(e, "Source string, Target string")
+    with pytest.raises(Exception, match="BIGINT"):
+        graph.bfs_counts(df, spark.createDataFrame([("0",)], "root string")).collect()
+    near = graph.bfs_counts(df, spark.createDataFrame([("2",)], "root string"))
+    assert near.where("node = '64'").first().paths == 2**62
+
+
 @pytest.mark.parametrize("p,q", [(1, 1), (0.25, 2.0), (2.0, 0.5), (0.5, 1)])
 def test_walks_are_those_of_the_joins(spark, monkeypatch, p, q):
     for df in _graphs(spark):
