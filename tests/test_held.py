@@ -68,6 +68,21 @@ def test_too_many_paths_are_an_error(spark):
     assert near.where("node = '64'").first().paths == 2**62
 
 
+def test_max_flow(spark, monkeypatch):
+    for df in _graphs(spark):
+        ids = graph.node_set(df).limit(12)
+        pairs = ids.toDF("Source").crossJoin(ids.toDF("Target")).unionByName(spark.createDataFrame([("nowhere", "n1"), ("n1", "nowhere"), ("c0", "c12")], "Source string, Target string"))
+        a, b, tables = _both(monkeypatch, lambda df=df, pairs=pairs: rows(graph.max_flow(df, pairs)))
+        assert a == b and tables <= 4
+
+
+def test_max_flow_takes_paths_back(spark):
+    # the path over m and k shuts both others out, unless it is taken back
+    e = [("s", "m"), ("s", "x"), ("x", "k"), ("m", "k"), ("m", "y"), ("y", "t"), ("k", "t")]
+    df = spark.createDataFrame(e, "Source string, Target string")
+    assert rows(graph.max_flow(df, spark.createDataFrame([("s", "t")], "Source string, Target string"))) == [("s", "t", 2)]
+
+
 @pytest.mark.parametrize("p,q", [(1, 1), (0.25, 2.0), (2.0, 0.5), (0.5, 1)])
 def test_walks_are_those_of_the_joins(spark, monkeypatch, p, q):
     for df in _graphs(spark):
