@@ -68,6 +68,15 @@ def test_too_many_paths_are_an_error(spark):
     assert near.where("node = '64'").first().paths == 2**62
 
 
+def test_propflow(spark, monkeypatch):
+    for df in _graphs(spark):
+        w = df.withColumn("w", (F.length("Source") * 3 + F.length("Target")).cast("double"))
+        roots = graph.node_set(df).toDF("root").unionByName(spark.createDataFrame([("nowhere",)], "root string"))
+        for kw in ({}, {"depth": 2, "weight": "w"}):
+            a, b, tables = _both(monkeypatch, lambda w=w, roots=roots, kw=kw: [(r[0], round(r[1], 9)) for r in sorted(graph.propflow(w, roots, **kw).collect())])
+            assert a == b and tables == 1
+
+
 def test_max_flow(spark, monkeypatch):
     for df in _graphs(spark):
         ids = graph.node_set(df).limit(12)
