@@ -90,3 +90,14 @@ def test_grid_and_random_graphs(spark, edges):
 def test_moments(spark):
     df = spark.range(50).select(moments.random_moment("2008-07-01", "2008-08-01", 1, "id").alias("m"), moments.epoch_now().alias("n"), moments.day_of_path(F.lit("/data/x/2008-07-28.txt.gz")).alias("d"))
     assert df.where("m < '2008-07-01' or m >= '2008-08-01' or n not rlike '^[0-9]{10}$' or d <> '07-28'").count() == 0
+
+
+def test_equal_walks_are_fitted_once(edges, monkeypatch):
+    """With p = q = 1 node2vec and deepwalk have the same walks: one fit for both, the same figures; other p have their own."""
+    fits = []
+    monkeypatch.setattr(ex.embed, "train_embedding", lambda *a, real=ex.embed.train_embedding, **kw: fits.append(1) or real(*a, **kw))
+    both = ["node2vec", "deepwalk"]
+    got = ex.sweep_sizes(edges, [150], families=both, **SMALL).collect()
+    assert len(fits) == 1 and [r.method for r in got] == both and tuple(got[0])[3:] == tuple(got[1])[3:]
+    assert {r.Method for r in ex.error_buckets(edges, [150], both, **SMALL).collect()} == set(both) and len(fits) == 2
+    assert ex._walked("node2vec", p=0.5) == "node2vec" and ex._walked("heuristic", p=1.0) == "heuristic"
