@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.functions.hashing import hash_int
-from edgeloom.operators import order, report
+from edgeloom.operators import forest, order, report
 from edgeloom.session import cut
 
 
@@ -21,8 +21,15 @@ def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], label: str = "Class", model: str = "rf", trees: int = 13, depth: int = 20, seed: int = 42) -> DataFrame:
-    """``test`` with Predicted and Probability from a forest ('rf') or boosted trees ('gbt') fitted on ``train``."""
+    """``test`` with Predicted and Probability from a forest ('rf') or boosted trees ('gbt') fitted on ``train``.
+
+    Forests of two classes are grown by tasks that hold all rows (``forest``) up to ``forest.MAX_CELLS`` features of rows, larger ones by Spark's.
+    """
     if model == "rf":
+        c = F.col(label)
+        n, odd = train.agg(F.count(F.lit(1)), F.count(F.when(c.isNull() | ~c.isin(0, 1), 1))).first()
+        if n and not odd and n * len(features) <= forest.MAX_CELLS:
+            return forest.fit_predict(train, test.fillna(0, subset=list(features)), n, features, label, trees, depth, seed)
         m = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol=label, featuresCol="features")
     elif model == "gbt":
         m = GBTClassifier(maxIter=trees, seed=seed, labelCol=label, featuresCol="features")
