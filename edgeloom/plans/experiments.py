@@ -7,6 +7,7 @@ step inside is a distributed plan. Reported sizes are true numbers of positive t
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from edgeloom.sources import generators
 
 FAMILIES = ("heuristic", "node2vec", "deepwalk")
 QUALITY = ("precision", "recall", "roc_auc", "accuracy", "f1_score")
+SIDE_BY_SIDE = 5_000_000  # numbers of all vectors that are fitted at the same time: the driver gathers them
 
 
 def _walked(family: str, p: float = 1.0, q: float = 1.0, **_) -> str:
@@ -27,11 +29,15 @@ def _walked(family: str, p: float = 1.0, q: float = 1.0, **_) -> str:
     return "deepwalk" if family == "node2vec" and p == 1 and q == 1 else family
 
 
-def family_features(graph: Edges, frame: DataFrame, family: str, with_katz: bool = True, katz_rounds: int | None = None, size: int = 128, seed: int = 42, **walk) -> tuple[DataFrame, list[str]]:
+def _vectors(graph: Edges, family: str, **fit) -> DataFrame:
+    return (embed.node2vec if family == "node2vec" else embed.deepwalk)(graph, **fit)
+
+
+def family_features(graph: Edges, frame: DataFrame, family: str, with_katz: bool = True, katz_rounds: int | None = None, size: int = 128, seed: int = 42, emb: DataFrame | None = None, **walk) -> tuple[DataFrame, list[str]]:
     """(features of each row of ``frame``, their names) from the train graph; embedding rows need both ends in it.
 
     ``frame`` has Source, Target, Class; every other column is dropped except ``part`` and ``day``. ``katz_rounds``
-    bounds the rounds of Katz, which need not converge on every graph.
+    bounds the rounds of Katz, which need not converge on every graph. ``emb``: the vectors, where they are fitted already.
     """
     extra = [c for c in ("part", "day") if c in frame.columns]
     base = frame.select(*KEY, "Class", *extra)
@@ -40,20 +46,20 @@ def family_features(graph: Edges, frame: DataFrame, family: str, with_katz: bool
         f = pairs.heuristics(graph, keyed, with_katz=with_katz, iterations=katz_rounds)
         names = [h for h in pairs.HEURISTICS if with_katz or h != "katz"]
     elif family in ("node2vec", "deepwalk"):
-        emb = cut((embed.node2vec if family == "node2vec" else embed.deepwalk)(graph, seed=seed, size=size, **walk))
+        emb = emb if emb is not None else cut(_vectors(graph, family, seed=seed, size=size, **walk))
         f, names = embed.embedding_features(keyed, emb, size), [f"e{i}" for i in range(size)]
     else:
         raise ValueError(f"unknown family {family!r}")
     return (f if not extra else base.join(f, [*KEY, "Class"])), names
 
 
-def evaluate_families(train: DataFrame, test: DataFrame, families: Sequence[str] = FAMILIES, kind: str = "rf", seed: int = 42, trees: int = 13, depth: int = 20, group: Sequence[str] = (), **features) -> DataFrame:
+def evaluate_families(train: DataFrame, test: DataFrame, families: Sequence[str] = FAMILIES, kind: str = "rf", seed: int = 42, trees: int = 13, depth: int = 20, group: Sequence[str] = (), graph: Graph | None = None, **features) -> DataFrame:
     """(size, model, method, <group>, quality...): each family fitted on ``train`` and applied to ``test``.
 
-    Both frames have Source, Target, Class with their negatives; the graph is the positive part of ``train``.
+    Both frames have Source, Target, Class with their negatives; the graph is the positive part of ``train``, written unless it is given.
     """
-    graph = Graph(train.where("Class = 1"))
-    size = graph.edges.count()
+    graph = graph or Graph(train.where("Class = 1"))
+    size = graph.size
     parts = []
     same: dict[str, DataFrame] = {}
     for fam in families:
@@ -137,9 +143,23 @@ def error_buckets(edges: DataFrame, sizes: Sequence[int], families: Sequence[str
     return report.union_all(parts)
 
 
-def node2vec_grid(train: DataFrame, test: DataFrame, ps: Sequence[float] = (0.25, 1, 2), qs: Sequence[float] = (1,), seed: int = 42, **kw) -> DataFrame:
-    """Quality of node2vec features per (p, q)."""
-    parts = [evaluate_families(train, test, ["node2vec"], seed=seed, p=float(p), q=float(q), **kw).withColumn("p", F.lit(float(p))).withColumn("q", F.lit(float(q))) for p in ps for q in qs]
+def node2vec_grid(train: DataFrame, test: DataFrame, ps: Sequence[float] = (0.25, 1, 2), qs: Sequence[float] = (1,), seed: int = 42, size: int = 128, **kw) -> DataFrame:
+    """Quality of node2vec features per (p, q).
+
+    A skip-gram fit keeps few cores busy, so those of the settings run side by side, as many as have at most SIDE_BY_SIDE numbers in their vectors.
+    """
+    graph = Graph(train.where("Class = 1"))
+    settings = [(float(p), float(q)) for p in ps for q in qs]
+    numbers = graph.degrees.count() * size
+    graph.held  # noqa: B018  sent once, before the settings share it
+    fit = {k: kw.pop(k) for k in ("walk_length", "num_walks", "window", "iterations", "partitions") if k in kw}
+    with ThreadPoolExecutor(max(1, min(len(settings), SIDE_BY_SIDE // max(1, numbers)))) as pool:
+        vectors = list(pool.map(lambda x: cut(_vectors(graph, "node2vec", seed=seed, size=size, p=x[0], q=x[1], **fit)), settings))
+    parts = []
+    for (p, q), emb in zip(settings, vectors, strict=True):
+        train.sparkSession.sparkContext._jvm.System.gc()  # what the fits left on the driver
+        got = evaluate_families(train, test, ["node2vec"], seed=seed, graph=graph, size=size, emb=emb, p=p, q=q, **kw)
+        parts.append(got.withColumn("p", F.lit(p)).withColumn("q", F.lit(q)))
     return report.union_all(parts)
 
 

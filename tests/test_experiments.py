@@ -1,4 +1,5 @@
 import random
+import threading
 
 import pytest
 from conftest import rows
@@ -101,3 +102,34 @@ def test_equal_walks_are_fitted_once(edges, monkeypatch):
     assert len(fits) == 1 and [r.method for r in got] == both and tuple(got[0])[3:] == tuple(got[1])[3:]
     assert {r.Method for r in ex.error_buckets(edges, [150], both, **SMALL).collect()} == set(both) and len(fits) == 2
     assert ex._walked("node2vec", p=0.5) == "node2vec" and ex._walked("heuristic", p=1.0) == "heuristic"
+
+
+def test_grid_fits_side_by_side(edges, monkeypatch):
+    """Settings are fitted at the same time, on one graph, and have the rows of one after the other; vectors too large for that take turns."""
+    train = edges.select(*KEY, "Class")
+    neg = train.select(F.col("Target").alias("Source"), F.col("Source").alias("Target"), F.lit(0).alias("Class"))
+    both = cut(train.unionByName(neg))
+    meet, graphs = threading.Barrier(2), []
+
+    def waits(*a, real=ex.embed.train_embedding, **kw):
+        meet.wait(60)  # broken unless both get here
+        return real(*a, **kw)
+
+    monkeypatch.setattr(ex, "Graph", lambda *a, real=ex.Graph: graphs.append(1) or real(*a))
+    monkeypatch.setattr(ex.embed, "train_embedding", waits)
+    keys = ("size", "model", "method", "p", "q")
+    got = rows(ex.node2vec_grid(both, both, [0.25, 1], **SMALL), *keys)
+    assert len(graphs) == 1 and [r[3:] for r in got] == [(0.25, 1.0), (1.0, 1.0)]
+    monkeypatch.undo()
+    monkeypatch.setattr(ex, "SIDE_BY_SIDE", 0)
+    running = []
+
+    def alone(*a, real=ex.embed.train_embedding, **kw):
+        assert not running
+        running.append(1)
+        out = real(*a, **kw)
+        running.pop()
+        return out
+
+    monkeypatch.setattr(ex.embed, "train_embedding", alone)
+    assert got == rows(ex.node2vec_grid(both, both, [0.25, 1], **SMALL), *keys)
