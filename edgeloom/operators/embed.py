@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.operators import pairs as pair_ops
+from edgeloom.operators import skipgram
 from edgeloom.operators import walks as walk_ops
 from edgeloom.session import written
 
 
-MAX_NUMBERS = 200_000_000  # numbers of all vectors together: they are held by the driver and every task of the fit
+MAX_NUMBERS = 200_000_000  # numbers of all vectors together: a task of the fit may hold them all
 WALKS_PER_TASK = 200_000
 
 
 def train_embedding(walks: DataFrame, size: int = 128, window: int = 4, iterations: int = 4, partitions: int | None = None, seed: int = 42) -> DataFrame:
     """(node, emb ARRAY<FLOAT>): skip-gram over walks.
 
-    One partition is repeatable; more train side by side and are averaged after each iteration. Without ``partitions``
-    there is one per WALKS_PER_TASK walks. The fit holds all vectors in each task, so it refuses more than MAX_NUMBERS.
+    As many ``partitions`` train side by side and are averaged after each iteration (``skipgram``), with the same result however the
+    walks come. Without ``partitions`` there is one per WALKS_PER_TASK walks. A task holds the vectors of the nodes it visits, all of
+    them at worst, so the fit refuses more than MAX_NUMBERS.
     """
     walks = written(walks.select("walk"))
     words = walks.select(F.explode("walk").alias("w")).agg(F.approx_count_distinct("w", 0.02)).first()[0]
@@ -28,9 +28,7 @@ def train_embedding(walks: DataFrame, size: int = 128, window: int = 4, iteratio
         raise ValueError(f"about {words} vectors of {size} numbers are more than {MAX_NUMBERS} numbers")
     if partitions is None:
         partitions = min(-(-max(1, walks.count()) // WALKS_PER_TASK), walks.sparkSession.sparkContext.defaultParallelism)
-    w2v = Word2Vec(vectorSize=size, windowSize=window, maxIter=iterations, minCount=0, numPartitions=partitions, seed=seed, inputCol="walk", outputCol="__v")
-    v = w2v.fit(walks).getVectors()
-    return v.select(F.col("word").alias("node"), vector_to_array("vector", "float32").alias("emb"))
+    return skipgram.train(walks, size, window, iterations, partitions, seed, words * size)
 
 
 def deepwalk(edges: DataFrame, walk_length: int = 80, num_walks: int = 10, seed: int = 42, **fit) -> DataFrame:
